@@ -1,8 +1,8 @@
 """Operators for preparing large text corpora. Nothing else in the library imports this subpackage."""
 
-from . import quality_rules, url_rules
+from . import language_profiles, licence_scan, packing, quality_rules, toxicity, url_rules
 
-MODULES = (url_rules, quality_rules)
+MODULES = (packing, toxicity, language_profiles, licence_scan, url_rules, quality_rules)
 
 
 def queries() -> dict:
