@@ -1,13 +1,58 @@
-"""The corpus pipeline: stages over documents, each written as Parquet and read again by the next."""
+"""The corpus pipeline: stages over documents, each written as Parquet and read again by the next.
+
+quality rules -> language ID -> MinHash near-dedup -> mixing to target weights -> packing.
+Rejected documents and near copies go; all rows that reach mixing get a place in the
+mix, and packing turns all of them into token sequences.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from reelspark.llm import language_profiles, mixing, near_dedup, packing, quality_rules
+from reelspark.llm.shared import materialise
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps what the line-first quality rules keep."""
+    return quality_rules.judge(docs, docs.columns).where("kept").select(*docs.columns)
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps documents in a language that could be told; profiles are learned from the documents themselves."""
+    found = language_profiles.identify(docs, language_profiles.fit(docs), docs.columns)
+    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= 0.01)).select(*docs.columns)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document of smallest doc_id of each group; of rows that share that doc_id, one. Rows without doc_id stay."""
+    kept = near_dedup.near_duplicates(docs).where("id = component_id").select("id").distinct()
+    one = docs.join(kept, F.col("doc_id") == F.col("id"), "left_semi").groupBy("doc_id").agg(F.min(F.struct(*[c for c in docs.columns if c != "doc_id"])).alias("r"))
+    return one.select(*[F.col("doc_id") if c == "doc_id" else F.col("r")[c].alias(c) for c in docs.columns]).unionByName(docs.where("doc_id IS NULL"))
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Puts the documents in the order of the mix: each file that is written holds a run of it, in order."""
+    return mixing.mix(docs, ["doc_id", "text"]).orderBy("mix_slot", "mix_place").select(*docs.columns)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of token sequences of 2048, with their place in a document and a checksum of their ids."""
+    import public_tokenizers
+
+    return packing.pack(docs, ["doc_id", "source"], public_tokenizers.path("word_bpe_49k.json"), derive={"ids_crc32": F.crc32("ids")})
+
+
+STAGES = [("quality_rules", quality), ("language_id", language), ("near_dedup", near_copies), ("mixing", mixed), ("packing", packed)]
+#: Language profiles, the schedule and tokenizer ids are not for SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir: str):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = materialise(docs, name)
     return docs

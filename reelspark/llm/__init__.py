@@ -1,8 +1,8 @@
 """Operators for preparing large text corpora. Nothing else in the library imports this subpackage."""
 
-from . import language_profiles, licence_scan, packing, quality_rules, toxicity, url_rules
+from . import hamming_topk, html_text, language_profiles, licence_scan, mixing, near_dedup, packing, quality_rules, toxicity, url_rules
 
-MODULES = (packing, toxicity, language_profiles, licence_scan, url_rules, quality_rules)
+MODULES = (mixing, hamming_topk, packing, html_text, toxicity, near_dedup, language_profiles, licence_scan, url_rules, quality_rules)
 
 
 def queries() -> dict:
