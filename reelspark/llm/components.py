@@ -23,10 +23,9 @@ def _small_star(edges: DataFrame) -> DataFrame:
 
 def components(edges: DataFrame) -> DataFrame:
     """node and root for every node on an edge (a, b); the root is the smallest node that can be reached. Roots themselves have no row."""
-    now, before = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), None
+    now = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     while True:
         now = materialise(_small_star(_large_star(now).distinct()), "components")
-        state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.count_if(F.col("b") >= F.col("a"))).first()
-        if state == before or state[0] == 0:
+        ends = now.select(F.col("a").alias("u"), F.lit(1).alias("below"), F.lit(0).alias("above")).unionByName(now.select(F.col("b").alias("u"), F.lit(0).alias("below"), F.lit(1).alias("above")))
+        if ends.groupBy("u").agg(F.sum("below").alias("n"), F.max("above").alias("above")).where("n > 1 OR (n = 1 AND above = 1)").isEmpty():  # only stars are left
             return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        before = state

@@ -9,15 +9,16 @@ concentration bounds like independent permutations but in time |set| + t log t.
 
 Links are found among classes of equal sets. Band buckets are walked in order of set
 size: each member meets its bucket's first and the `lags` before it, which settles
-all pairs of small buckets. Larger buckets are then settled in rounds: as long as one
-holds members of several components, some members are held against all of the others
-and leave. So no bucket emits all pairs, and none of its links is lost. Every link is
-confirmed on full sets; components follow by star rounds.
+all pairs of small buckets. In larger ones that hold several components the most
+linked members are held against all others. What is still open is settled between
+blocks of members, whose sets meet as matrices in a task; so no bucket emits all
+pairs, and no link is lost. Every link is confirmed on full sets; components follow
+by star rounds, and pairs inside one component need no more looking at.
 
-With 42 bands of 6 coordinates a pair of similarity 0.8 shares no bucket with
-probability 0.738^42 = 3e-6, and less above; groups are tied by many such pairs.
-Sets hold 64-bit hashes of shingles; two different shingles of a pair of documents
-are mixed up with a probability below 1e-12.
+With 48 bands of 6 coordinates a pair of similarity 0.8 shares no bucket with
+probability 0.738^48 = 5e-7, and less above; groups are tied by many such pairs. Sets
+hold 64-bit hashes of shingles; two different shingles of a pair of documents are
+mixed up with a probability below 1e-12.
 
 Cases: null and empty texts have no shingles and are linked with nothing. Fewer
 words than a shingle needs make one shingle of all. Rows that share a doc_id are one
@@ -36,7 +37,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import materialise, table
+from .shared import materialise, small_or_none, table
 
 
 @dataclass(frozen=True)
@@ -44,11 +45,15 @@ class Spec:
     shingle: int = 5
     #: Least similarity in percent.
     percent: int = 80
-    bands: int = 42
+    bands: int = 48
     rows: int = 6
-    lags: int = 8
-    #: Members of a large bucket that are held against all of it in one round.
-    leaders: int = 16
+    lags: int = 4
+    #: Members of a large bucket, most linked first, that are held against all of it.
+    leaders: int = 4
+    #: Most documents whose keys are broadcast to fetch their texts; more are joined by shuffle.
+    broadcast_rows: int = 1_000_000
+    #: Members of a block, if buckets stay open after that.
+    block: int = 256
 
     @property
     def bins(self) -> int:
@@ -141,13 +146,10 @@ def shingle_sets(docs: DataFrame, spec: Spec) -> DataFrame:
     return docs.mapInArrow(run, "id long, own array<long>")
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, spec: Spec) -> DataFrame:
-    """Those pairs (a, b) whose full sets are similar enough. Only texts on a pair are shingled again."""
-    pairs = materialise(pairs.distinct(), "pairs")
-    asked = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    sets = materialise(shingle_sets(docs.join(asked, "id", "left_semi"), spec), "sets")
+def confirmed(pairs: DataFrame, sets: DataFrame, spec: Spec) -> DataFrame:
+    """Those pairs (a, b) whose full sets are similar enough."""
     left, right = (sets.select(F.col("id").alias(k), F.col("own").alias(f"own_{k}")) for k in "ab")
-    both = pairs.join(left, "a").join(right, "b")
+    both = pairs.distinct().join(left, "a").join(right, "b")
     common = F.size(F.array_intersect("own_a", "own_b")).cast("long")
     similar = common * 100 >= (F.size("own_a") + F.size("own_b") - common) * spec.percent
     return materialise(both.where(similar).select("a", "b").distinct(), "links")
@@ -158,7 +160,7 @@ def _close(a, b, spec: Spec):
 
 
 def links(reps: DataFrame, docs: DataFrame, spec: Spec) -> DataFrame:
-    """Confirmed links between classes; reps: rep, n, keys."""
+    """Edges (a, b) that join the classes as their confirmed links do; reps: rep, n, keys."""
     rows = reps.select("rep", "n", F.explode("keys").alias("key"))
     order = Window.partitionBy("key").orderBy("n", "rep")
     met = [F.struct(F.lag("rep", k).over(order).alias("rep"), F.lag("n", k).over(order).alias("n")) for k in range(1, spec.lags + 1)]
@@ -166,21 +168,82 @@ def links(reps: DataFrame, docs: DataFrame, spec: Spec) -> DataFrame:
     walked = rows.withColumn("met", F.array(*met)).withColumn("size", F.count(F.lit(1)).over(Window.partitionBy("key")))
     walked = materialise(walked.where("size > 1").select("key", "rep", "n", "size", F.filter("met", lambda m: m["rep"].isNotNull() & (m["rep"] != F.col("rep")) & _close(m["n"], F.col("n"), spec)).alias("met")), "buckets")
     pairs = walked.select("rep", F.explode("met.rep").alias("other")).select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b"))
-    found = confirmed(pairs, docs, spec)
-
-    large, turn = walked.where(F.col("size") > spec.lags + 1).select("key", "rep", "n"), 0
-    while not large.isEmpty():
-        turn += 1
-        members = large.join(components(found).withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
-        mixed_keys = members.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-        members = materialise(members.join(mixed_keys, "key", "left_semi").withColumn("place", F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64("rep", F.lit(turn)), "rep"))), "large")
-        if members.isEmpty():
-            break
-        ahead = members.where(F.col("place") <= spec.leaders).groupBy("key").agg(F.collect_list(F.struct("rep", "n", "root", "place")).alias("ahead"))  # at most `leaders` each
-        pairs = members.join(ahead, "key").select("rep", F.explode(F.filter("ahead", lambda m: (m["place"] < F.col("place")) & (m["root"] != F.col("root")) & _close(m["n"], F.col("n"), spec))["rep"]).alias("other"))
-        found = found.unionByName(confirmed(pairs.select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b")), docs, spec))
-        large = members.where(F.col("place") > spec.leaders).select("key", "rep", "n")
-    return found
+    asked = walked.where(F.size("met") > 0).select(F.col("rep").alias("id")).unionByName(pairs.select(F.col("a").alias("id"))).unionByName(walked.where(F.col("size") > spec.lags + 1).select(F.col("rep").alias("id")))
+    asked = materialise(asked.distinct(), "asked")
+    sets = materialise(shingle_sets(docs.join(small_or_none(asked, spec.broadcast_rows), "id", "left_semi"), spec), "sets")
+    found = confirmed(pairs, sets, spec)
+    degrees = materialise(found.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count(F.lit(1)).alias("degree")), "degrees")
+    large = walked.where(F.col("size") > spec.lags + 1).select("key", "rep", "n").join(degrees, "rep", "left").na.fill(0, ["degree"])
+    found, members = still_open(found, large)
+    ahead = members.where(F.col("place") <= spec.leaders).groupBy("key").agg(F.collect_list(F.struct("rep", "n", "root", "place")).alias("ahead"))  # at most `leaders` each
+    pairs = members.join(ahead, "key").select("rep", F.explode(F.filter("ahead", lambda m: (m["place"] < F.col("place")) & (m["root"] != F.col("root")) & _close(m["n"], F.col("n"), spec))["rep"]).alias("other"))
+    found = found.unionByName(confirmed(pairs.select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b")), sets, spec))
+    found, members = still_open(found, members.where(F.col("place") > spec.leaders).drop("root", "place"))
+    return found if members.isEmpty() else found.unionByName(between_blocks(members, sets, spec))
+
+
+def still_open(found: DataFrame, large: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Links so far as stars, and the members of buckets that hold several components, with root and place; most linked members come first."""
+    stars = components(found).select(F.col("node").alias("rep"), "root")
+    members = large.join(stars, "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+    split = members.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
+    place = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("degree"), F.xxhash64("rep"), "rep"))
+    return stars.select(F.col("rep").alias("a"), F.col("root").alias("b")), materialise(members.join(split, "key", "left_semi").withColumn("place", place), "large")
+
+
+def between_blocks(members: DataFrame, sets: DataFrame, spec: Spec) -> DataFrame:
+    """Links between members of buckets that are still open, as far as they join different components.
+
+    Buckets that share members form a family. Its members, in order of component and
+    size, are dealt into blocks, and a task holds two blocks against each other as
+    incidence matrices; it returns links that join components, fewer than it has
+    members. Blocks of one component, or too unlike in size, do not meet.
+    """
+    hubs = members.groupBy("key").agg(F.min("rep").alias("hub"))
+    family = components(members.join(hubs, "key").select(F.col("rep").alias("a"), F.col("hub").alias("b")))
+    who = members.select("rep", "n", "root").distinct().join(family.select(F.col("node").alias("rep"), F.col("root").alias("family")), "rep", "left").withColumn("family", F.coalesce("family", "rep"))
+    who = who.withColumn("many", F.count(F.lit(1)).over(Window.partitionBy("family", "root")))
+    order = Window.partitionBy("family").orderBy(F.desc("many"), "root", "n", "rep")
+    who = materialise(who.withColumn("block", F.floor((F.row_number().over(order) - 1) / spec.block)), "blocks")
+    ends = who.groupBy("family", "block").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("root").alias("r1"), F.max("root").alias("r2"))
+    a, b = ends.select("family", *[F.col(c).alias(f"{c}_a") for c in ends.columns[1:]]), ends.select("family", *[F.col(c).alias(f"{c}_b") for c in ends.columns[1:]])
+    near = (F.col("hi_a") * 100 >= F.col("lo_b") * spec.percent) & (F.col("hi_b") * 100 >= F.col("lo_a") * spec.percent)
+    one = (F.col("r1_a") == F.col("r2_a")) & (F.col("r1_b") == F.col("r2_b")) & (F.col("r1_a") == F.col("r1_b"))
+    meetings = materialise(a.join(b, "family").where((F.col("block_a") <= F.col("block_b")) & near & ~one).select("family", "block_a", "block_b"), "meetings")
+    held = who.join(sets, F.col("rep") == F.col("id")).select("family", "block", "rep", "root", "own")
+    left = held.join(meetings.withColumn("block", F.col("block_a")), ["family", "block"]).withColumn("side", F.lit(0))
+    right = held.join(meetings.where("block_a <> block_b").withColumn("block", F.col("block_b")), ["family", "block"]).withColumn("side", F.lit(1))
+
+    def compare(met: pa.Table) -> pa.Table:
+        rep, root, side = (met.column(c).to_numpy() for c in ("rep", "root", "side"))
+        own = met.column("own").combine_chunks()
+        size = np.diff(own.offsets.to_numpy())
+        _, words = np.unique(own.flatten().to_numpy(), return_inverse=True)
+        at = np.repeat(np.arange(len(rep)), size)
+        first, second = np.flatnonzero(side == 0), np.flatnonzero(side == side.max())
+        common = np.zeros((len(first), len(second)), np.float32)
+        for begin in range(0, int(words.max(initial=-1)) + 1, 8192):  # exact: counts stay below 2**24
+            part = (words >= begin) & (words < begin + 8192)
+            seen = np.zeros((len(rep), 8192), np.float32)
+            seen[at[part], words[part] - begin] = 1
+            common += seen[first] @ seen[second].T
+        alike = common * 100 >= (size[first][:, None] + size[second][None, :] - common) * spec.percent
+        above = {r: r for r in np.unique(root).tolist()}
+
+        def top(r: int) -> int:
+            while above[r] != r:
+                above[r] = r = above[above[r]]
+            return r
+
+        found = []
+        for i, j in zip(*np.nonzero(alike)):
+            x, y = top(int(root[first[i]])), top(int(root[second[j]]))
+            if x != y:
+                above[max(x, y)] = min(x, y)
+                found.append((int(rep[first[i]]), int(rep[second[j]])))
+        return pa.table({"a": pa.array([f[0] for f in found], pa.int64()), "b": pa.array([f[1] for f in found], pa.int64())})
+
+    return materialise(left.unionByName(right).groupBy("family", "block_a", "block_b").applyInArrow(compare, "a long, b long"), "links")
 
 
 def near_duplicates(docs: DataFrame, spec: Spec = Spec(), key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -193,7 +256,7 @@ def near_duplicates(docs: DataFrame, spec: Spec = Spec(), key: str = "doc_id", t
     ranked = signed.select("id", "n", "k1", "k2").join(classes, ["k1", "k2", "n"], "left").select("id", "n", F.when(F.col("id").isNotNull(), F.coalesce("rep", "id")).alias("rep"))
     ranked = materialise(ranked, "members")
     same_id = ranked.where("id IS NOT NULL").groupBy("id").agg(F.min("rep").alias("b"), F.max("rep").alias("a")).where("a <> b").select("a", "b")
-    roots = components(links(reps.select("rep", "n", "keys"), docs.where("id IS NOT NULL"), spec).unionByName(same_id))
+    roots = components(links(reps, docs.where("id IS NOT NULL"), spec).unionByName(same_id))
     return ranked.join(roots, F.col("rep") == F.col("node"), "left").select("id", F.col("n").alias("n_shingles"), F.coalesce("root", "rep").alias("component_id"))
 
 
