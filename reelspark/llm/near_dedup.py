@@ -168,7 +168,7 @@ def links(reps: DataFrame, docs: DataFrame, spec: Spec) -> DataFrame:
     walked = rows.withColumn("met", F.array(*met)).withColumn("size", F.count(F.lit(1)).over(Window.partitionBy("key")))
     walked = materialise(walked.where("size > 1").select("key", "rep", "n", "size", F.filter("met", lambda m: m["rep"].isNotNull() & (m["rep"] != F.col("rep")) & _close(m["n"], F.col("n"), spec)).alias("met")), "buckets")
     pairs = walked.select("rep", F.explode("met.rep").alias("other")).select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b"))
-    asked = walked.where(F.size("met") > 0).select(F.col("rep").alias("id")).unionByName(pairs.select(F.col("a").alias("id"))).unionByName(walked.where(F.col("size") > spec.lags + 1).select(F.col("rep").alias("id")))
+    asked = walked.where((F.size("met") > 0) | (F.col("size") > spec.lags + 1)).select(F.explode(F.concat("met.rep", F.array("rep"))).alias("id"))
     asked = materialise(asked.distinct(), "asked")
     sets = materialise(shingle_sets(docs.join(small_or_none(asked, spec.broadcast_rows), "id", "left_semi"), spec), "sets")
     found = confirmed(pairs, sets, spec)
