@@ -15,8 +15,10 @@ inside cannot clash with them.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from struct import pack as pack_ids
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +39,14 @@ class Spec:
     #: Partitions whose open windows one task merges.
     fan_in: int = 64
     #: Words whose ids a worker remembers.
-    memory: int = 400_000
+    memory: int = 1_000_000
+
+
+#: Letters up to U+00FF, then marks without an apostrophe or a tag's bracket.
+_PLAIN = re.compile(r"([a-zÀ-ÖØ-öø-ÿ]*)([!.,?;:]*)")
+#: How byte-level vocabularies show the bytes that are not printable characters of Latin-1.
+_HIDDEN = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255)]
+_SHOWN = {b: 256 + i for i, b in enumerate(_HIDDEN)}
 
 
 class Ids(dict):
@@ -53,12 +62,14 @@ class Ids(dict):
     def __missing__(self, chunk: bytes) -> bytes:
         if len(self) >= self.most:
             self.clear()
-        if chunk[-1:] in (b".", b",") and chunk[:-1].isalpha():
-            found = self[chunk[:-1]] + self[chunk[-1:]]  # a mark after a letter is a token of its own
-        elif chunk.isalpha():  # ASCII letters only: nothing to normalise, one piece for the model
-            found = np.array([t.id for t in self.model.tokenize(chunk.decode())], "<u4").tobytes()
+        parts = _PLAIN.fullmatch(word := chunk.decode())
+        if parts and parts[1] and parts[2]:
+            found = self[parts[1].encode()] + self[parts[2].encode()]  # a run of marks after letters is a piece of its own
+        elif parts and parts[1]:  # letters that normalising only lower-cases: one piece for the model
+            ids = [t.id for t in self.model.tokenize(word if word.isascii() else word.lower().encode().decode("latin-1").translate(_SHOWN))]
+            found = pack_ids(f"<{len(ids)}I", *ids)
         else:
-            found = np.array(self.tokenizer.encode(chunk.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+            found = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
         self[chunk] = found
         return found
 
