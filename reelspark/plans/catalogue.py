@@ -280,8 +280,12 @@ def transfer_curves(items):
 
 
 def queries() -> dict:
+    from . import capture  # noqa: F401  registers more queries
+
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    from . import capture  # noqa: F401
+
     return dict(ORACLE)
