@@ -29,5 +29,12 @@ def hable(v: Column) -> Column:
 
 def limited_to_rgb(y: Column, u: Column, v: Column) -> list[Column]:
     """8-bit limited-range BT.709 to red, green and blue of 0 to 255."""
-    luma, cb, cr = (y - 16) * 1.164383, u - 128, v - 128
-    return [F.floor(clamp(c, 0.0, 255.0)) for c in (luma + 1.792741 * cr, luma - 0.213249 * cb - 0.532909 * cr, luma + 2.112402 * cb)]
+    luma, cb, cr = (y - 16) * 1.16438356, u - 128, v - 128
+    return [F.floor(clamp(c, 0.0, 255.0)) for c in (luma + 1.79274107 * cr, luma - 0.21324861 * cb - 0.53290933 * cr, luma + 2.11240179 * cb)]
+
+
+def p010_to_rgb(y: Column, u: Column, v: Column) -> list[Column]:
+    """16-bit words with 10-bit limited-range BT.2020 samples on top, to red, green and blue of 0 to 1."""
+    ten = lambda c: F.shiftright(c, 6)
+    luma, cb, cr = clamp((ten(y) - 64) / 876.0, 0.0, 1.0), (ten(u) - 512) / 896.0, (ten(v) - 512) / 896.0
+    return [clamp(c, 0.0, 1.0) for c in (luma + 1.4746 * cr, luma - 0.164553 * cb - 0.571353 * cr, luma + 1.8814 * cb)]

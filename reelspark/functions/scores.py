@@ -49,3 +49,9 @@ def combined(face: Column, body: Column, mode: str = "min") -> Column:
 def accepted(face: Column, body: Column, face_most: float, body_most: float) -> Column:
     hit = F.coalesce(face <= face_most, F.lit(False)) | F.coalesce(body <= body_most, F.lit(False))
     return F.coalesce(face, body).isNotNull() & hit
+
+
+def matched(face: Column, body: Column, mode: str, face_most: float, body_most: float) -> Column:
+    """Proposed match modes: either, both, face_only or reid_only; a missing distance does not match."""
+    by_face, by_body = F.coalesce(face <= face_most, F.lit(False)), F.coalesce(body <= body_most, F.lit(False))
+    return {"either": by_face | by_body, "both": by_face & by_body, "face_only": by_face, "reid_only": by_body}[mode]

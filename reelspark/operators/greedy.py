@@ -43,3 +43,12 @@ def diverse_order(rows: DataFrame, group: list[str], alpha: float, first: int) -
     start = F.struct(F.filter("all", lambda x: F.lit(False)).alias("picked"), F.col("all").alias("left"))
     run = F.aggregate(F.sequence(F.lit(1), F.least(F.lit(first), F.size("all"))), start, step, lambda s: s["picked"])
     return rows.groupBy(*group).agg(packed.alias("all")).select(*group, F.posexplode(F.transform(run, lambda p: p["id"])).alias("rank", "id"))
+
+
+def spaced(rows: DataFrame, group: list[str], at: str, key: str, gap: int) -> DataFrame:
+    """The keys of rows kept when going through a group in order and keeping what lies `gap` or more beyond the last one kept."""
+    items = F.array_sort(F.collect_list(F.struct(F.col(at).alias("at"), F.col(key).alias("key"))))
+    start = F.array().cast("array<struct<at: bigint, key: bigint>>")
+    follow = lambda kept, x: F.when((F.size(kept) == 0) | (x["at"] >= F.element_at(kept, -1)["at"] + gap), F.concat(kept, F.array(x))).otherwise(kept)
+    slim = rows.select(*group, F.col(at).cast("bigint").alias(at), F.col(key).cast("bigint").alias(key))
+    return slim.groupBy(*group).agg(items.alias("items")).select(F.explode(F.aggregate("items", start, follow)).alias("k")).select(F.col("k.key").alias(key))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions import crops, geometry, probe, scores, vectors
+from ..functions import color, crops, geometry, images, probe, scores, vectors
 from ..operators import greedy
 from .catalogue import IOU, _fixed, query
 
@@ -194,3 +194,107 @@ def hdr_detect(frames):
     streams = F.from_json(F.expr(PROBE.format()), probe.STREAMS)["streams"]
     found = frames.select("id", streams.alias("s")).select("id", probe.first_hdr_reason(F.col("s")).alias("reason"), probe.colour_range(F.col("s")).alias("color_range"))
     return found.withColumn("reader", probe.reader(F.col("reason").startswith("v:")))
+
+
+_GRAY = "flatten([[greatest(0e0, least(255e0, floor(128 + 3000e0 * embedding[i]::DOUBLE * embedding[j]::DOUBLE))) for j in range(33, 65)] for i in range(1, 33)])"
+
+
+def _gray(vecs):
+    """A picture of 32 x 32 from each vector of 64."""
+    e = F.col("embedding")
+    level = lambda x, y: geometry.clamp(F.floor(128 + 3000.0 * x.cast("double") * y.cast("double")).cast("double"), 0.0, 255.0)
+    return F.flatten(F.transform(F.slice(e, 1, 32), lambda x: F.transform(F.slice(e, 33, 32), lambda y: level(x, y))))
+
+
+@query(f"SELECT id, round(greatest(0e0, least(1e0, len(list_filter(g, lambda p: p >= 16 AND p < 240)) / 1024e0 - 0.5e0 * (len(list_filter(g, lambda p: p < 8)) / 1024e0 + len(list_filter(g, lambda p: p >= 248)) / 1024e0))), 6) AS exposure FROM (SELECT id, {_GRAY} AS g FROM v_vec)", "v_vec")
+def exposure_hist(vecs):
+    return vecs.select("id", F.round(images.exposure(_gray(vecs)), 6).alias("exposure"))
+
+
+@query(on="v_vec")
+def picture_measures(vecs):
+    """Sharpness, perceptual hash and content box; held against loops in the tests."""
+    code = F.transform(_gray(vecs), lambda p: F.lpad(F.hex(p.cast("int")), 2, "0"))
+    made = vecs.select("id", F.unhex(F.concat_ws("", code)).alias("pixels"), F.lit(32).alias("w"), F.lit(32).alias("h"))
+    return images.measure(made, ["id"]).withColumn("sharpness", F.round("sharpness", 6))
+
+
+_C, _D, _E = "(id % 256 - 16)", "(id * 7 % 256 - 128)", "(id * 13 % 256 - 128)"
+_RGB = [f"1.16438356e0 * {_C} + 1.79274107e0 * {_E}", f"1.16438356e0 * {_C} - 0.21324861e0 * {_D} - 0.53290933e0 * {_E}", f"1.16438356e0 * {_C} + 2.11240179e0 * {_D}"]
+
+
+@query("SELECT id, " + ", ".join(f"CAST(floor({CLAMP.format('255e0', x)}) AS BIGINT) AS {c}" for c, x in zip("rgb", _RGB)) + " FROM v_frame", "v_frame")
+def nv12_bgr(frames):
+    i = F.col("id")
+    made = color.limited_to_rgb(i % 256, i * 7 % 256, i * 13 % 256)
+    return frames.select("id", *[x.alias(c) for c, x in zip("rgb", made)])
+
+
+_Y, _U, _V = (f"((id * {k} % 1024 - {less}) / {by}e0)" for k, less, by in ((1, 64, 876), (5, 512, 896), (11, 512, 896)))
+_L = CLAMP.format("1e0", _Y)
+
+
+@query(f"SELECT id, floor({CLAMP.format('1e0', f'{_L} + 1.4746e0 * {_V}')} * 1e6 + 0.5e0) / 1e6 AS r, floor({CLAMP.format('1e0', f'{_L} - 0.164553e0 * {_U} - 0.571353e0 * {_V}')} * 1e6 + 0.5e0) / 1e6 AS g, floor({CLAMP.format('1e0', f'{_L} + 1.8814e0 * {_U}')} * 1e6 + 0.5e0) / 1e6 AS b FROM v_frame", "v_frame")
+def p010_rgb(frames):
+    word = lambda k: F.shiftleft(F.col("id") * k % 1024, 6)
+    return frames.select("id", *[_fixed(x).alias(c) for c, x in zip("rgb", color.p010_to_rgb(word(1), word(5), word(11)))])
+
+
+@query("SELECT id, fd <= 0.45e0 OR coalesce(rd <= 0.2e0, false) AS either, coalesce(fd <= 0.45e0 AND rd <= 0.2e0, false) AS \"both\", fd <= 0.45e0 AS face_only, coalesce(rd <= 0.2e0, false) AS reid_only FROM v_frame", "v_frame")
+def match_mode(frames):
+    """Proposed: the four ways to accept a frame."""
+    modes = ("either", "both", "face_only", "reid_only")
+    return frames.select("id", *[scores.matched(F.col("fd"), F.col("rd"), m, 0.45, 0.2).alias(m) for m in modes])
+
+
+@query("SELECT id FROM (SELECT *, bool_or(fd < 9) OVER (PARTITION BY video_id, frame_idx // 4) AS seen FROM v_frame) WHERE fd <= 0.45e0 OR (coalesce(rd <= 0.2e0, false) AND NOT seen)", "v_frame")
+def visible_face_gate(frames):
+    """Proposed: hits by body alone count only where no face is visible among neighbours."""
+    seen = F.bool_or(F.col("fd") < 9).over(Window.partitionBy("video_id", F.floor(F.col("frame_idx") / 4)))
+    marked = frames.withColumn("seen", seen)
+    return marked.where((F.col("fd") <= 0.45) | (F.coalesce(F.col("rd") <= 0.2, F.lit(False)) & ~F.col("seen"))).select("id")
+
+
+@query(
+    """SELECT id, streak <= 2 OR (streak - 2) % 3 = 0 AS probed FROM (SELECT *, row_number() OVER (PARTITION BY video_id, hits ORDER BY frame_idx) - CASE WHEN hits > 0 THEN 1 ELSE 0 END AS streak
+FROM (SELECT *, sum(CASE WHEN fd < 9 THEN 1 ELSE 0 END) OVER (PARTITION BY video_id ORDER BY frame_idx) AS hits FROM v_frame))""",
+    "v_frame",
+)
+def fd9_skip(frames):
+    """Proposed: after two frames without a face only every third is looked at until a face is back."""
+    hits = frames.withColumn("hits", F.count_if(F.col("fd") < 9).over(Window.partitionBy("video_id").orderBy("frame_idx")))
+    streak = F.row_number().over(Window.partitionBy("video_id", "hits").orderBy("frame_idx")) - F.when(F.col("hits") > 0, 1).otherwise(0)
+    return hits.withColumn("streak", streak).select("id", ((F.col("streak") <= 2) | ((F.col("streak") - 2) % 3 == 0)).alias("probed"))
+
+
+@query(
+    """WITH RECURSIVE o AS (SELECT video_id, frame_idx, id FROM v_frame WHERE fd <= 0.45e0),
+w AS (SELECT video_id, min(frame_idx) AS frame_idx FROM o GROUP BY video_id
+  UNION ALL SELECT w.video_id, (SELECT min(o.frame_idx) FROM o WHERE o.video_id = w.video_id AND o.frame_idx >= w.frame_idx + 5) FROM w WHERE EXISTS (SELECT 1 FROM o WHERE o.video_id = w.video_id AND o.frame_idx >= w.frame_idx + 5))
+SELECT o.id FROM w JOIN o USING (video_id, frame_idx)""",
+    "v_frame",
+)
+def min_gap(frames):
+    """Proposed: saves at least five frames apart, chosen in order."""
+    hits = frames.where(F.col("fd") <= 0.45).select("video_id", "frame_idx", "id")
+    return greedy.spaced(hits, ["video_id"], "frame_idx", "id", 5)
+
+
+@query("SELECT id, floor(n * 1e6 + 0.5e0) / 1e6 AS norm, floor(m[64] / (n + 1e-6) * 1e6 + 0.5e0) / 1e6 AS last FROM (SELECT id, m, sqrt(list_dot_product(m, m)) AS n FROM (SELECT id, list_transform(embedding::DOUBLE[], lambda x: x / (sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) + 1e-6) * 0.6e0) AS m FROM v_vec))", "v_vec")
+def mix_vector(vecs):
+    """A face vector of weight 0.6 without a background: the norm before it is made 1, and the last coordinate."""
+    e = F.col("embedding")
+    one = vectors.mixed(e, F.lit(None).cast("array<float>"), 0.6, 1.0)
+    made = vecs.select("id", (vectors.norm(e) / (vectors.norm(e) + 1e-6) * 0.6).alias("norm"), one.alias("m"))
+    return made.select("id", _fixed(F.col("norm")).alias("norm"), _fixed(F.col("m")[63]).alias("last"))
+
+
+@query("SELECT 'category' AS kind, category AS name, n FROM (SELECT CASE id % 3 WHEN 0 THEN 'closeup' WHEN 1 THEN 'portrait' ELSE 'wide' END AS category, count(*) AS n FROM v_item GROUP BY 1) UNION ALL SELECT 'profile', 'profile', count(*) FROM v_item WHERE abs(yaw) >= 50 UNION ALL SELECT 'scene', 'distinct', count(DISTINCT w) FROM v_item")
+def run_summary(items):
+    """Counts by category, of profiles and of distinct scenes, in one pass over the items."""
+    category = F.element_at(F.array(F.lit("closeup"), F.lit("portrait"), F.lit("wide")), (F.col("id") % 3 + 1).cast("int"))
+    counted = items.groupBy(category.alias("c")).agg(F.count("*").alias("n"), F.count_if(F.abs("yaw") >= 50).alias("p"), F.collect_set("w").alias("s"))
+    rows = F.array(F.struct(F.lit("category").alias("kind"), F.col("c").alias("name"), F.col("n").alias("n")))
+    total = counted.agg(F.sum("p").alias("p"), F.size(F.array_distinct(F.flatten(F.collect_list("s")))).cast("long").alias("s"))
+    rest = F.array(F.struct(F.lit("profile").alias("kind"), F.lit("profile").alias("name"), F.col("p").alias("n")), F.struct(F.lit("scene").alias("kind"), F.lit("distinct").alias("name"), F.col("s").alias("n")))
+    return counted.select(F.inline(rows)).unionByName(total.select(F.inline(rest)))
