@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .geometry import clamp, shift_inside
+from .vectors import bound
 
 
 def expand_to_ratio(boxes: DataFrame, ratio: float, width: float, height: float, anchor: tuple[Column, Column] | None = None, head_bias: Column | float = 0.0) -> DataFrame:
@@ -61,14 +62,17 @@ def affine_box(m: tuple[float, ...], x1: Column, y1: Column, x2: Column, y2: Col
 
 def ordered_landmarks(points: Column) -> Column:
     """Five points as left eye, right eye, nose, left and right mouth corner; null if they cannot be a face."""
-    by_y = F.array_sort(F.transform(points, lambda p: F.struct(p["y"].alias("y"), p["x"].alias("x"))))
     pair = lambda v, at: F.array_sort(F.transform(F.slice(v, at, 2), lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"))))
     nose = lambda v: F.struct(F.get(v, F.lit(2))["x"].alias("x"), F.get(v, F.lit(2))["y"].alias("y"))
-    placed = F.concat(pair(by_y, 1), F.array(nose(by_y)), pair(by_y, 4))
-    at = lambda i, k: F.get(placed, F.lit(i))[k]
     finite = F.forall(points, lambda p: ~F.isnan(p["x"]) & ~F.isnan(p["y"]) & (F.abs(p["x"]) < float("inf")) & (F.abs(p["y"]) < float("inf")))
-    face = (at(0, "x") < at(1, "x")) & (at(3, "x") < at(4, "x")) & (at(2, "y") > F.greatest(at(0, "y"), at(1, "y"))) & (at(2, "y") < F.least(at(3, "y"), at(4, "y")))
-    return F.when((F.size(points) == 5) & finite & face, placed)
+    usable = F.when((F.size(points) == 5) & finite, F.array_sort(F.transform(points, lambda p: F.struct(p["y"].alias("y"), p["x"].alias("x")))))
+
+    def checked(placed: Column) -> Column:
+        at = lambda i, k: F.get(placed, F.lit(i))[k]
+        level = (at(2, "y") > F.greatest(at(0, "y"), at(1, "y"))) & (at(2, "y") < F.least(at(3, "y"), at(4, "y")))
+        return F.when((at(0, "x") < at(1, "x")) & (at(3, "x") < at(4, "x")) & level, placed)
+
+    return bound(usable, lambda v: bound(F.concat(pair(v, 1), F.array(nose(v)), pair(v, 4)), checked))
 
 
 def yaw_roll(points: Column) -> tuple[Column, Column]:

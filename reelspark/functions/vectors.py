@@ -26,11 +26,21 @@ def face_distance(a: Column, b: Column, assumed: bool = False) -> Column:
     return F.when(a.isNull() | b.isNull(), F.lit(9.0)).otherwise(1 - dot(a, b) / (floor(a) * floor(b)))
 
 
+def bound(value: Column, body) -> Column:
+    """body(value) with value computed once a row, however often body or its lambdas use it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def unit(a: Column, eps: float = 1e-10, weight: float = 1.0) -> Column:
+    """The vector over its norm, times a weight; the norm is computed once, not for each coordinate."""
+    return bound(F.struct(a.alias("v"), (norm(a) + eps).alias("n")), lambda s: F.transform(s["v"], lambda x: x.cast("double") / s["n"] * weight))
+
+
 def mixed(a: Column, b: Column, weight_a: float, weight_b: float) -> Column:
     """Weighted sum of two unit vectors, the shorter one padded with zeros, of norm 1; null if both are."""
-    part = lambda v, w: F.transform(v, lambda x: x.cast("double") / (norm(v) + 1e-6) * w)
-    both = F.zip_with(F.coalesce(part(a, weight_a), F.array().cast("array<double>")), F.coalesce(part(b, weight_b), F.array().cast("array<double>")), lambda x, y: F.coalesce(x, F.lit(0.0)) + F.coalesce(y, F.lit(0.0)))
-    return F.when(F.size(both) > 0, F.transform(both, lambda x: x / (norm(both) + 1e-6)))
+    part = lambda v, w: F.coalesce(unit(v, 1e-6, w), F.array().cast("array<double>"))
+    both = F.zip_with(part(a, weight_a), part(b, weight_b), lambda x, y: F.coalesce(x, F.lit(0.0)) + F.coalesce(y, F.lit(0.0)))
+    return bound(both, lambda v: F.when(F.size(v) > 0, unit(v, 1e-6)))
 
 
 def hamming(a: Column, b: Column) -> Column:

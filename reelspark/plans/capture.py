@@ -87,8 +87,8 @@ _W, _T = "((x2 - x1) * 0.38e0)", "((y2 - y1) * 0.01e0)"
 
 @query(f"SELECT id, CASE WHEN id % 5 = 0 THEN 0e0 ELSE round(degrees(atan2((x2 - x1) * 0.01e0, sqrt({_W} * {_W} + {_T} * {_T}) + 1e-6)), 4) END AS yaw, CASE WHEN id % 5 = 0 THEN 0e0 ELSE round(degrees(atan2({_T}, {_W})), 4) END AS roll FROM v_person", "v_person")
 def yaw_roll(boxes):
-    yaw, roll = crops.yaw_roll(crops.ordered_landmarks(_face(boxes)))
-    return boxes.select("id", F.round(yaw, 4).alias("yaw"), F.round(roll, 4).alias("roll"))
+    angles = vectors.bound(crops.ordered_landmarks(_face(boxes)), lambda p: F.struct(*[F.round(a, 4).alias(k) for k, a in zip(("yaw", "roll"), crops.yaw_roll(p))]))
+    return boxes.select("id", angles.alias("a")).select("id", "a.yaw", "a.roll")
 
 
 @query("SELECT id, CASE WHEN abs(f) < 8 THEN 0e0 WHEN f > 80 THEN 90e0 WHEN f < -80 THEN -90e0 ELSE f END AS turn FROM (SELECT id, CASE WHEN a < -90 THEN a + 180 WHEN a > 90 THEN a - 180 ELSE a END AS f FROM (SELECT id, CAST(id * 7 % 361 - 180 AS DOUBLE) AS a FROM v_person))", "v_person")
@@ -178,7 +178,7 @@ def prescan_spans(frames):
 
 @query("SELECT a.id, floor(sqrt(list_dot_product(m, m)) * 1e6 + 0.5e0) / 1e6 AS norm, floor(m[3] * 1e6 + 0.5e0) / 1e6 AS third FROM (SELECT id, list_transform(embedding::DOUBLE[], lambda x: x / (sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) + 1e-10)) AS m FROM v_vec) a", "v_vec")
 def l2_norm(vecs):
-    unit = vecs.select("id", F.transform("embedding", lambda x: x.cast("double") / (vectors.norm(F.col("embedding")) + 1e-10)).alias("m"))
+    unit = vecs.select("id", vectors.unit(F.col("embedding")).alias("m"))
     return unit.select("id", _fixed(vectors.norm(F.col("m"))).alias("norm"), _fixed(F.col("m")[2]).alias("third"))
 
 
