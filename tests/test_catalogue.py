@@ -1,9 +1,11 @@
 import duckdb
+import numpy as np
 import pandas as pd
 import pytest
 
 import __spark_entry__
 from reelspark.plans import catalogue
+from reelspark.plans.bridge import view
 
 SF = "/root/testdata/sf0.001"
 TABLES = "lineitem embeddings part events".split()
@@ -35,6 +37,15 @@ def test_selection_respects_quotas(spark):
     assert not got.duplicated(["pool", "id"]).any()
 
 
-def test_mmr_is_a_permutation_prefix(spark):
+def test_mmr_equals_loops(spark):
     got = catalogue.queries()["mmr_order"](spark, SF).toPandas()
-    assert not got.duplicated(["scene_hint", "id"]).any()
+    vecs = view(spark, SF, "v_vec").toPandas()
+    for scene, g in vecs.groupby("scene_hint"):
+        left = {r.id: (r.q, np.array(r.embedding, np.float64)) for r in g.sort_values("id").itertuples()}
+        want, picked = [], []
+        while left and len(want) < 10:
+            worth = {i: 0.75 * q - 0.25 * max([0.0, *[float(p @ v) for p in picked]]) for i, (q, v) in left.items()}
+            best = max(worth, key=lambda i: (worth[i], -i))
+            want.append(best)
+            picked.append(left.pop(best)[1])
+        assert list(got[got.scene_hint == scene].sort_values("rank")["id"]) == want
