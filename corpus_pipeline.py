@@ -15,8 +15,9 @@ from reelspark.llm.shared import materialise
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps what the line-first quality rules keep."""
-    return quality_rules.judge(docs, docs.columns).where("kept").select(*docs.columns)
+    """Keeps what the line-first quality rules keep, with only the lines that pass."""
+    cleaned = {"text": F.col("clean_text"), "n_chars": F.length("clean_text").cast("long")}
+    return quality_rules.judge(docs, docs.columns).where("kept").select(*[cleaned.get(c, F.col(c)).alias(c) for c in docs.columns])
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,7 +2,9 @@
 
 Every line is held against punctuation, navigation and boilerplate rules; lines
 that fail are removed, and a document that loses more than `max_lost` of its
-characters is rejected. Base rules on whole documents come first.
+characters is rejected. Base rules on whole documents come first. What is left of a
+text comes back as clean_text: of repeated lines the first stays, as they count as
+lost too, and an empty line stands wherever lines of two paragraphs meet.
 
 Cases: a null or empty text has no words and fails the base rules. Very long
 texts cost n log n in their words. Repeated rows are judged alike. An empty table
@@ -90,34 +92,57 @@ def line_fails(line: Column, rules: LineRules) -> Column:
     return let(F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) + 1, judged)
 
 
+def lines_of(text: Column) -> Column:
+    """A struct of line, its place i and its paragraph p for each line that is not blank."""
+    lines = lambda t, p: F.transform(F.filter(F.split(t, "\n", -1), lambda x: F.rlike(x, F.lit(r"[^\x20\x09-\x0D]"))), lambda x: F.struct(x.alias("line"), p.alias("p")))
+    found = F.flatten(F.transform(F.split(text, r"\n[\x20\x09-\x0D]*\n", -1), lines))
+    return F.transform(found, lambda x, i: F.struct(x["line"].alias("line"), i.alias("i"), x["p"].alias("p")))
+
+
+def firsts(lines: Column) -> Column:
+    """Of equal lines the first, in order."""
+    one = lambda s: F.filter(s, lambda x, k: (k == 0) | (x["line"] != F.get(s, k - 1)["line"]))
+    return F.sort_array(F.transform(let(F.sort_array(lines), one), lambda x: F.struct(x["i"].alias("i"), x["p"].alias("p"), x["line"].alias("line"))))
+
+
+def joined(lines: Column) -> Column:
+    gap = lambda x, k: F.when(k == 0, F.lit("")).when(x["p"] != F.get(lines, k - 1)["p"], F.lit("\n\n")).otherwise(F.lit("\n"))
+    return F.array_join(F.transform(lines, lambda x, k: F.concat(gap(x, k), x["line"])), "")
+
+
 def measures(text: Column, rules: LineRules) -> Column:
-    """A struct of all counts of one text."""
+    """A struct of all counts of one text, and what its passing lines make."""
     whole = F.coalesce(text, F.lit(""))
-    lines = F.filter(F.split(whole, "\n", -1), lambda x: F.rlike(x, F.lit(r"[^\x20\x09-\x0D]")))
+    left = lambda ls: F.struct(
+        joined(ls).alias("clean_text"),
+        F.aggregate(ls, F.lit(0).cast("long"), lambda n, x: n + F.length(x["line"])).alias("clean_chars"),
+    )
     seen = lambda ls: F.struct(
-        (F.size(ls) - F.size(F.array_distinct(ls))).cast("long").alias("n_dup_lines"),
-        F.aggregate(ls, F.lit(0).cast("long"), lambda n, x: n + F.length(x)).alias("line_chars"),
-        F.aggregate(F.array_distinct(ls), F.lit(0).cast("long"), lambda n, x: n + F.when(line_fails(x, rules), F.lit(0)).otherwise(F.length(x))).alias("clean_chars"),
+        (F.size(ls) - F.size(F.array_distinct(ls["line"]))).cast("long").alias("n_dup_lines"),
+        F.aggregate(ls, F.lit(0).cast("long"), lambda n, x: n + F.length(x["line"])).alias("line_chars"),
+        let(F.filter(firsts(ls), lambda x: ~line_fails(x["line"], rules)), left).alias("c"),
     )
     said = lambda w: F.struct(F.size(w).cast("long").alias("n_words"), F.length(F.array_join(w, "")).cast("long").alias("word_chars"), repeat_words(w).cast("long").alias("n_repeat_words"))
-    return F.struct(let(words_of(text), said).alias("w"), F.regexp_count(whole, F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"), let(lines, seen).alias("l"))
+    return F.struct(let(words_of(text), said).alias("w"), F.regexp_count(whole, F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"), let(lines_of(whole), seen).alias("l"))
 
 
 def judge(docs: DataFrame, keep: list[str], text: str = "text", rules: LineRules = LineRules(), min_words: int = 50, most_repeated: int = 50) -> DataFrame:
-    """keep, the counts, base_failed, clean_chars, line_chars and kept for every row of docs."""
+    """keep, the counts, base_failed, kept, clean_text, clean_chars and line_chars for every row of docs."""
     counted = docs.select(*[F.col(c).alias(f"k_{i}") for i, c in enumerate(keep)], measures(F.col(text), rules).alias("m"))
     base_failed = (F.col("m.w.n_words") < min_words) | (F.col("m.w.n_repeat_words") * 100 > F.col("m.w.n_words") * most_repeated)
-    lost = (F.col("m.l.line_chars") - F.col("m.l.clean_chars")) * 100 > F.col("m.l.line_chars") * rules.max_lost
+    lost = (F.col("m.l.line_chars") - F.col("m.l.c.clean_chars")) * 100 > F.col("m.l.line_chars") * rules.max_lost
     return counted.select(
         *[F.col(f"k_{i}").alias(c) for i, c in enumerate(keep)],
         F.col("m.w.n_words").alias("n_words"), F.col("m.w.word_chars").alias("word_chars"), F.col("m.n_symbols").alias("n_symbols"),
         F.col("m.l.n_dup_lines").alias("n_dup_lines"), F.col("m.w.n_repeat_words").alias("n_repeat_words"),
         base_failed.alias("base_failed"), (~base_failed & ~lost).alias("kept"),
+        F.col("m.l.c.clean_text").alias("clean_text"), F.col("m.l.c.clean_chars").alias("clean_chars"), F.col("m.l.line_chars").alias("line_chars"),
     )
 
 
 def op10_quality_rules(spark, sf_dir: str) -> DataFrame:
-    return judge(table(spark, sf_dir, "documents"), ["doc_id"])
+    """The columns of the SQL; clean_text and its counts are for the pipeline."""
+    return judge(table(spark, sf_dir, "documents"), ["doc_id"]).drop("clean_text", "clean_chars", "line_chars")
 
 
 ORACLE = {

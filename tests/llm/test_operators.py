@@ -46,6 +46,20 @@ def test_quality_rules(spark, docs, empty):
     assert quality_rules.judge(empty, ["doc_id"]).count() == 0
 
 
+PROSE = [" ".join(f"word{k}x{i}" for i in range(30)) + "." for k in range(4)]
+
+
+def test_quality_rules_remove_failing_lines(spark):
+    import corpus_pipeline
+
+    text = "\n".join(["Home | News | Sport | More", PROSE[0], "Click here now.", PROSE[1], "", "  ", PROSE[2], PROSE[0], "# * $ %", PROSE[3]])
+    want = "\n".join(PROSE[:2]) + "\n\n" + "\n".join(PROSE[2:])
+    frame = spark.createDataFrame([(1, text, "en", "s", len(text)), (2, "Menu | a | b | c\n" * 60 + PROSE[0], "en", "s", 9)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: r for r in quality_rules.judge(frame, ["doc_id"]).collect()}
+    assert (got[1].clean_text, got[1].clean_chars, got[1].line_chars) == (want, sum(map(len, PROSE)), sum(len(x) for x in text.split("\n") if x.strip()))
+    assert [tuple(r) for r in corpus_pipeline.quality(spark, frame, "").collect()] == [(1, want, "en", "s", len(want))]
+
+
 def test_language(docs, empty):
     train = docs.selectExpr("doc_id", "text", "CASE doc_id WHEN 1 THEN 'en' WHEN 5 THEN 'de' END AS lang")
     got = {(r.doc_id, r.lang_pred) for r in language_profiles.identify(docs, language_profiles.fit(train), ["doc_id"]).collect()}
