@@ -6,6 +6,12 @@ characters is rejected. Base rules on whole documents come first. What is left o
 text comes back as clean_text: of repeated lines the first stays, as they count as
 lost too, and an empty line stands wherever lines of two paragraphs meet.
 
+A short line without a sentence end is held against its neighbours, so that prose
+broken at a fixed width, or verse, stays. The lines of a paragraph up to one that ends
+a sentence are a run. The line passes if a sentence end closes its run or the next
+line goes on in lower case, and it is at least half as long as the longest of the run
+(so a menu above a long line fails); or if it is a run's last and goes on from the line before in lower case.
+
 Cases: a null or empty text has no words and fails the base rules. Very long
 texts cost n log n in their words. Repeated rows are judged alike. An empty table
 gives an empty result. Extra columns pass through `keep` only.
@@ -25,6 +31,9 @@ BOILERPLATE = (
     "(?i)(all rights reserved|terms of (use|service)|privacy policy|cookie (policy|settings|consent)|accept (all )?cookies|"
     "enable javascript|click here|read more|sign (in|up)|log ?in|subscribe (now|to)|share (this|on)|skip to content|lorem ipsum)"
 )
+#: A line that ends a sentence, at its end; a line that goes on in lower case, at its start.
+CLOSED = r"[.!?…:;][\x22'”»)]{0,3}[\x20\x09\x0B-\x0D]{0,3}"
+LOWER = r"^[\x20\x09-\x0D]*[\x22'“«(]{0,3}\p{Ll}"
 
 
 @dataclass(frozen=True)
@@ -35,6 +44,8 @@ class LineRules:
     marks: str = r"[#*$%&|<>{}~^=]"
     #: Lines of fewer words than this need a sentence end to stay.
     prose_words: int = 12
+    #: Unless neighbours carry the sentence on, from a line of at least this many words. None: each line alone.
+    wrapped_words: int | None = 4
     #: Most marks for each 100 words, and most runs of "!!" or "??" for each 100 words.
     most_marks: int = 15
     most_shouts: int = 15
@@ -79,12 +90,13 @@ def repeat_words(words: Column) -> Column:
     return F.when(F.size(words) < 4, F.lit(0).cast("long")).otherwise(counted)
 
 
-def line_fails(line: Column, rules: LineRules) -> Column:
-    """The words of a line are counted by its spaces."""
+def line_fails(line: Column, carried: Column, rules: LineRules) -> Column:
+    """The words of a line are counted by its spaces. carried: whether its neighbours continue its sentence."""
 
     def judged(n: Column) -> Column:
         often = lambda pattern, most: F.rlike(line, F.lit(pattern)) & (F.regexp_count(line, F.lit(pattern)) * 100 > n * most)
         unended = (n < rules.prose_words) & ~F.rlike(line, F.lit(rules.sentence_end))
+        unended &= ~carried
         navigation = F.rlike(line, F.lit(rules.separators)) & (F.regexp_count(line, F.lit(rules.separators)) >= rules.menu_separators)
         boilerplate = (n <= rules.boilerplate_words) & F.rlike(line, F.lit(BOILERPLATE))
         return unended | often(rules.marks, rules.most_marks) | often(r"[!?]{2,}", rules.most_shouts) | navigation | boilerplate
@@ -92,11 +104,33 @@ def line_fails(line: Column, rules: LineRules) -> Column:
     return let(F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) + 1, judged)
 
 
-def lines_of(text: Column) -> Column:
-    """A struct of line, its place i and its paragraph p for each line that is not blank."""
-    lines = lambda t, p: F.transform(F.filter(F.split(t, "\n", -1), lambda x: F.rlike(x, F.lit(r"[^\x20\x09-\x0D]"))), lambda x: F.struct(x.alias("line"), p.alias("p")))
+def carried(lines: Column, words: int) -> Column:
+    """A struct of line and carried for each line of a run: whether its neighbours continue its sentence."""
+
+    def judged(seen: Column) -> Column:
+        lower = lambda x: F.coalesce(F.rlike(x, F.lit(LOWER)), F.lit(False))
+
+        long = lambda x: F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit(""))) + 1 >= words
+
+        def one(x: Column, i: Column) -> Column:
+            ahead = (i < F.size(lines) - 1) & long(x) & (2 * F.length(x) >= seen["longest"]) & (seen["closed"] | lower(F.get(lines, i + 1)))
+            return F.struct(x.alias("line"), (ahead | (i > 0) & (i == F.size(lines) - 1) & lower(x) & long(F.get(lines, i - 1))).alias("carried"))
+
+        return F.transform(lines, one)
+
+    seen = F.struct(F.array_max(F.transform(lines, lambda x: F.length(x))).alias("longest"), F.rlike(F.get(lines, F.size(lines) - 1), F.lit(CLOSED + "$")).alias("closed"))
+    alone = F.transform(lines, lambda x: F.struct(x.alias("line"), F.lit(False).alias("carried")))
+    return F.when(F.size(lines) < 2, alone).otherwise(let(seen, judged))
+
+
+def lines_of(text: Column, wrapped: int | None) -> Column:
+    """A struct of line, its place i, its paragraph p and carried for each line that is not blank."""
+    full = lambda t: F.filter(F.split(t, "\n", -1), lambda x: F.rlike(x, F.lit(r"[^\x20\x09-\x0D]")))
+    alone = lambda t: F.transform(full(t), lambda x: F.struct(x.alias("line"), F.lit(False).alias("carried")))
+    runs = lambda t: F.flatten(F.transform(F.split(t, rf"\n(?<={CLOSED}\n)", -1), lambda r: let(full(r), lambda ls: carried(ls, wrapped))))
+    lines = lambda t, p: F.transform((alone if wrapped is None else runs)(t), lambda x: F.struct(x["line"].alias("line"), p.alias("p"), x["carried"].alias("carried")))
     found = F.flatten(F.transform(F.split(text, r"\n[\x20\x09-\x0D]*\n", -1), lines))
-    return F.transform(found, lambda x, i: F.struct(x["line"].alias("line"), i.alias("i"), x["p"].alias("p")))
+    return F.transform(found, lambda x, i: F.struct(x["line"].alias("line"), i.alias("i"), x["p"].alias("p"), x["carried"].alias("carried")))
 
 
 def firsts(lines: Column) -> Column:
@@ -120,10 +154,10 @@ def measures(text: Column, rules: LineRules) -> Column:
     seen = lambda ls: F.struct(
         (F.size(ls) - F.size(F.array_distinct(ls["line"]))).cast("long").alias("n_dup_lines"),
         F.aggregate(ls, F.lit(0).cast("long"), lambda n, x: n + F.length(x["line"])).alias("line_chars"),
-        let(F.filter(firsts(ls), lambda x: ~line_fails(x["line"], rules)), left).alias("c"),
+        let(firsts(F.filter(ls, lambda x: ~line_fails(x["line"], x["carried"], rules))), left).alias("c"),
     )
     said = lambda w: F.struct(F.size(w).cast("long").alias("n_words"), F.length(F.array_join(w, "")).cast("long").alias("word_chars"), repeat_words(w).cast("long").alias("n_repeat_words"))
-    return F.struct(let(words_of(text), said).alias("w"), F.regexp_count(whole, F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"), let(lines_of(whole), seen).alias("l"))
+    return F.struct(let(words_of(text), said).alias("w"), F.regexp_count(whole, F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"), let(lines_of(whole, rules.wrapped_words), seen).alias("l"))
 
 
 def judge(docs: DataFrame, keep: list[str], text: str = "text", rules: LineRules = LineRules(), min_words: int = 50, most_repeated: int = 50) -> DataFrame:
@@ -141,8 +175,8 @@ def judge(docs: DataFrame, keep: list[str], text: str = "text", rules: LineRules
 
 
 def op10_quality_rules(spark, sf_dir: str) -> DataFrame:
-    """The columns of the SQL; clean_text and its counts are for the pipeline."""
-    return judge(table(spark, sf_dir, "documents"), ["doc_id"]).drop("clean_text", "clean_chars", "line_chars")
+    """The columns of the SQL, which judges each line alone; neighbours, clean_text and its counts are for the pipeline."""
+    return judge(table(spark, sf_dir, "documents"), ["doc_id"], rules=LineRules(wrapped_words=None)).drop("clean_text", "clean_chars", "line_chars")
 
 
 ORACLE = {

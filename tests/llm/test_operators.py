@@ -60,6 +60,22 @@ def test_quality_rules_remove_failing_lines(spark):
     assert [tuple(r) for r in corpus_pipeline.quality(spark, frame, "").collect()] == [(1, want, "en", "s", len(want))]
 
 
+def test_quality_rules_keep_wrapped_prose(spark):
+    import textwrap
+
+    english = "the river ran slowly past old houses while people on the bank talked about how many boats had come down from distant hills since morning and whether rain would follow before evening came to town"
+    german = "Als der Wagen am Abend durch Stadt und Land nach Hause fuhr, sahen Kinder auf Wiesen Pferde und Schafe, Hunde, Ziegen, Bauern mit Karren, Frauen mit Körben voll Brot, Wein, Käse und Obst vom Markt, Musiker, Soldaten, Reiter, Händler mit Tuch und Seide"
+    verse = [f"{a} over hills of {b} and gold," for a in "Wandering Singing Dreaming Calling Sailing Turning".split() for b in "silver amber".split()]
+    menu = [f"Section {a} of our website" for a in "one two three four five six seven eight nine ten eleven twelve thirteen fourteen".split()]
+    texts = [*("\n".join(textwrap.wrap(t, w)) + end for t in (english, german) for w in (40, 60) for end in (".", "")[: 2 if t is english else 1]), "\n".join(verse)[:-1] + ".", "\n".join(menu), "\n".join([*menu, PROSE[0]])]
+    extra = " ".join(f"more{i}" for i in range(14)) + "."
+    frame = spark.createDataFrame([(i, t + "\n\n" + extra if i < 7 else t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r for r in quality_rules.judge(frame, ["doc_id"], min_words=10, most_repeated=100).collect()}
+    for i in range(7):
+        assert got[i].kept and got[i].clean_text == texts[i] + "\n\n" + extra
+    assert got[7].clean_text == "" and got[8].clean_text == PROSE[0]
+
+
 def test_language(docs, empty):
     train = docs.selectExpr("doc_id", "text", "CASE doc_id WHEN 1 THEN 'en' WHEN 5 THEN 'de' END AS lang")
     got = {(r.doc_id, r.lang_pred) for r in language_profiles.identify(docs, language_profiles.fit(train), ["doc_id"]).collect()}
