@@ -10,8 +10,9 @@ of its queries, and a window keeps the best k.
 
 Cases: a null vector has no code; it neither asks nor is found. Codes of another
 length than the query's are not compared. Equal distances go by the smaller id. A
-query does not find its own id. Queries of one id are one query. Fewer than k other
-rows give fewer results. Extra columns are not read.
+query does not find its own id, however many rows have it. Queries of one id are one
+query, of their smallest code. Other rows that share an id each count as a row, and can
+take several places of a list. Fewer than k other rows give fewer results. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -80,12 +81,13 @@ class Index:
                 met = np.flatnonzero(~seen) if whole else self.rows(s, mine[s] ^ masks(radius))
                 met = np.unique(met[~seen[met]])
                 seen[met] = True
+                met = met[self.ids[met] != own]  # before the cut below: rows of the query's own id must not take up its places
                 if len(met):
                     far = np.bitwise_count(self.codes[met] ^ code).sum(axis=1)
                     if len(met) > 4 * k:
-                        near = far <= np.partition(far, k)[k]  # k + 1 of them, since one may be the query itself
+                        near = far <= np.partition(far, k - 1)[k - 1]
                         met, far = met[near], far[near]
-                    best = sorted([*best, *((int(d), int(i)) for d, i in zip(far, self.ids[met]) if i != own)])[:k]
+                    best = sorted([*best, *((int(d), int(i)) for d, i in zip(far, self.ids[met]))])[:k]
                 if whole or len(best) == k and best[-1][0] <= m * radius + s:
                     return best
         return best

@@ -183,6 +183,20 @@ def test_hamming_equals_brute_force(spark):
         assert [(r.distance, r.id) for r in got[got.query_id == q].sort_values("rank").itertuples()] == want
 
 
+@pytest.mark.parametrize("copies", [2, 6, 30])
+def test_hamming_with_repeated_ids(spark, copies):
+    rng = np.random.default_rng(copies)
+    own, near = rng.normal(size=32), []
+    for i in range(1, 60):  # the first segment is the query's, so one lookup meets them and the query's copies
+        near.append((i, [float(x) for x in [*own[:16], *rng.normal(size=16)]]))
+    rows = [(0, [float(x) for x in own])] * copies + near + near[:3] * 2 + [(1000 + i, [float(x) for x in rng.normal(size=32)]) for i in range(300)]
+    codes = hamming_topk.sign_codes(spark.createDataFrame(rows, "id long, v array<double>"), "id", "v")
+    got = hamming_topk.top_k(codes, codes.where("id = 0"), hamming_topk.Spec(k=10)).toPandas().sort_values("rank")
+    bits = [(i, np.array(v) > 0) for i, v in rows]
+    want = sorted((int((bits[0][1] != b).sum()), i) for i, b in bits if i != 0)[:10]
+    assert [(r.distance, r.id) for r in got.itertuples()] == want
+
+
 def test_html(spark):
     page = """<html><body><nav><a href=/>Home</a></nav><div class="cookie-notice">We use cookies</div><article><h1>A &amp; B</h1>
       <p>First   line<br>goes <b>on<p>Second &lt;one&gt;</p><script>var x="</p>";</script><div class=ad>Buy</div></article>
