@@ -2,7 +2,8 @@
 
 Every page is cut into blocks below containers, without menus, headers, footers,
 sidebars, adverts, notices, forms, scripts and comments. A page votes for the
-generalised tag-and-class path of the container that holds most of its prose; votes
+generalised tag-and-class path of the container that holds its prose: an article or
+main with most of it, else the deepest element with all of it. Votes
 are counted by host in Spark, and each page is extracted anew from the containers on
 its host's winning path, or from its own best container where it has none there.
 
@@ -131,7 +132,7 @@ class Page:
         self._end_block()
 
     def best(self) -> tuple[int, float]:
-        """The container that holds most of the prose, and its share: the deepest with at least 70 %, or the article around it."""
+        """The container of the page's prose, and its share: the outermost article, else main, that holds at least 70 %, or the deepest container that holds all of it."""
         held, total = [0] * len(self.path), 0
         for element, text, linked in self.blocks:
             prose = max(0, len(text) - linked)
@@ -141,12 +142,12 @@ class Page:
                 element = self.parent[element]
         if not total:
             return 0, 0.0
-        best = max((i for i, n in enumerate(held) if 10 * n >= 7 * total and (i == 0 or self.tag[i] in CONTAINERS)), key=lambda i: (self.path[i].count("/"), -i))
-        around = best
-        while around > 0 and self.tag[around] != "article":
-            around = self.parent[around]
-        best = around if around > 0 else best
-        return best, held[best] / total
+        for tag in ("article", "main"):
+            named = [i for i, n in enumerate(held) if self.tag[i] == tag and 10 * n >= 7 * total]
+            if named:
+                return named[0], held[named[0]] / total
+        best = max((i for i, n in enumerate(held) if n == total and (i == 0 or self.tag[i] in CONTAINERS)), key=lambda i: (self.path[i].count("/"), -i))
+        return best, 1.0
 
     def text(self, path: str | None) -> str:
         """The blocks inside the containers on that path, or inside the best one; list items that are links only are left out."""

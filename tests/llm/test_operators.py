@@ -206,6 +206,15 @@ def test_html(spark):
     assert got == {1: "A & B\n\nFirst line goes on\n\nSecond <one>", 2: "", 3: "", 4: "plain <", 5: ""}
 
 
+def test_html_without_article(spark):
+    lead, more = "<div class=lead><p>" + "lead words " * 30 + "</p></div>", "<div class=more><p>" + "more words " * 10 + "</p></div>"
+    menu = "<div><a href=/>Home</a></div>"
+    for page in (f"<main>{lead}{more}</main>", f"<body>{menu}<div id=wrap>{lead}{more}</div></body>", f"<section>{lead}{more}</section>"):
+        rows = [(i, f"http://h/{i}", page) for i in range(3)]
+        want = ("lead words " * 30).strip() + "\n\n" + ("more words " * 10).strip()
+        assert [r.text for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string"), ["page_id"]).collect()] == [want] * 3
+
+
 def test_licences(docs):
     scanner = licence_scan.Scanner()
     words = licence_scan.words_of("Intro. Released under the MIT License! x " + licence_scan.TEMPLATES[6][1] + " tail under the MIT license")
