@@ -35,7 +35,13 @@ RAW = {"script", "style", "noscript", "template", "iframe", "textarea", "title",
 DROPPED = set("aside button canvas datalist dialog footer form head header iframe input menu nav noscript object script search select style svg template textarea title".split())
 #: Words of a class or id that mark what is not the article.
 DROPPED_WORDS = set("ad ads adsense advert advertisement advertising alert aside banner breadcrumb breadcrumbs comment comments consent cookie cookies copyright disclaimer disqus footer form gdpr header login masthead menu modal nav navbar navigation newsletter notice notices overlay pager pagination popup promo promoted promotion recommended related reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription toolbar widget".split())
+#: Names of which these are the first word say what an element has or lacks, not what it is.
+MODIFIERS = {"has", "with", "no", "without", "is", "not"}
+#: Words of an element that is not the article even if it holds most of the page's prose.
+NEVER = set("ad ads adsense advert advertisement advertising breadcrumb breadcrumbs comment comments consent cookie cookies disqus gdpr menu nav navbar navigation pager pagination reply respond".split())
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "alert", "alertdialog", "dialog", "form", "menu", "menubar", "toolbar"}
+#: Words that leave such a mark as it is, as in related-posts.
+FURNITURE = set("area bar block box form icons links list more new news our post posts articles section site stories this top us".split())
 OWN_HEADER = {"article", "post", "entry", "content", "story"}
 #: An element of the key closes an open one of the value (fixed values of HTML).
 IMPLIED = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -47,14 +53,29 @@ _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 
 class Page:
-    """Elements (parent, tag, path) and blocks (element, text, characters inside links) of a page."""
+    """Elements (parent, tag, path) and blocks (element, text, characters inside links) of a page.
+
+    An element marked by a word that holds more than half of the prose is the article after all: the page is read again with it.
+    """
 
     def __init__(self, html: str):
+        self._spared: set[int] = set()
+        self._start(html)
+        while self._lost and 2 * max(self._lost.values()) > sum(self._lost.values()) + sum(max(0, len(t) - n) for _, t, n in self.blocks):
+            most = max(self._lost, key=self._lost.get)
+            if most in self._never:
+                break
+            self._spared.add(most)
+            self._start(html)
+
+    def _start(self, html: str) -> None:
+        self._opened, self._lost, self._never = 0, {}, set()
         self.parent, self.tag, self.path = [-1], [""], [""]
         self.blocks: list[tuple[int, str, int]] = []
         self._text: list[str] = []
         self._linked: list[str] = []
-        self._stack: list[tuple[str, int, bool]] = [("", 0, False)]  # tag, block element, dropped
+        #: Tag, block element, dropped: 0 if not, -1 if for its tag or role, else the number of the element whose words say so.
+        self._stack: list[tuple[str, int, int]] = [("", 0, 0)]
         self._read(html)
 
     def _end_block(self) -> None:
@@ -64,12 +85,29 @@ class Page:
         self._text, self._linked = [], []
 
     def _add(self, text: str) -> None:
-        if text and not self._stack[-1][2]:
+        dropped = self._stack[-1][2]
+        if text and dropped >= 0:
+            linked = any(tag == "a" for tag, _, _ in self._stack[-4:])
+            if dropped:
+                self._lost[dropped] += 0 if linked else len(" ".join(text.split()))
+                return
             self._text.append(text)
-            if any(tag == "a" for tag, _, _ in self._stack[-4:]):
+            if linked:
                 self._linked.append(text)
 
-    def _open(self, tag: str, attributes: str) -> None:
+    @staticmethod
+    def _of_title(tag: str, name: str, after: str) -> bool:
+        """Whether an id is made from a title: a heading's, or one of several words that says what the heading right after it says."""
+        if re.fullmatch("h[1-6]", tag):
+            return True
+        words = {w.lower() for w in _WORDS.findall(name)}
+        if not words & DROPPED_WORDS or not words - DROPPED_WORDS - FURNITURE:
+            return False
+        title = re.match(r"\s*<h([1-6])\b[^>]*>(.{0,400}?)</h\1", after, re.S | re.I)
+        plain = lambda t: "".join(c for c in unescape(re.sub("<[^>]*>", "", t)).lower() if c.isalnum())
+        return bool(title) and plain(title[2]) == plain(name)
+
+    def _open(self, tag: str, attributes: str, after: str = "") -> None:
         if tag in CLOSES_P:
             self._close("p", BLOCKS - {"p"})
         if tag in IMPLIED:
@@ -78,11 +116,22 @@ class Page:
         _, element, dropped = self._stack[-1]
         known = {k.lower(): v.strip("\"'") for k, v in _ATTRIBUTE.findall(attributes)} if attributes.strip() else {}
         names = f"{known.get('class', '')} {known.get('id', '')}".split()
-        if not dropped and tag not in ("html", "body", "main"):
-            words = {w.lower() for n in names for w in _WORDS.findall(n)}
+        self._opened += 1
+        if dropped >= 0 and tag not in ("html", "body", "main"):
+            told = [n for n in names if _WORDS.findall(n)[:1] and _WORDS.findall(n)[0].lower() not in MODIFIERS]
+            if known.get("id") and self._of_title(tag, known["id"], after):
+                told = [n for n in told if n not in known["id"].split()]
+            words = {w.lower() for n in told for w in _WORDS.findall(n)}
             inside = any(t == "article" for t, _, _ in self._stack) or bool(words & OWN_HEADER)
             marked = words & DROPPED_WORDS - ({"header"} if inside else set())
-            dropped = bool(tag in DROPPED and not (tag == "header" and inside) or marked or known.get("role", "").lower() in ROLES or known.get("aria-hidden") == "true" or re.search(r"(?:^|\s)hidden(?=[\s=/]|$)", attributes) or "display:none" in known.get("style", "").replace(" ", "").lower())
+            surely = bool(tag in DROPPED and not (tag == "header" and inside) or known.get("role", "").lower() in ROLES or known.get("aria-hidden") == "true" or re.search(r"(?:^|\s)hidden(?=[\s=/]|$)", attributes) or "display:none" in known.get("style", "").replace(" ", "").lower())
+            if surely:
+                dropped = -1
+            elif marked and not dropped and self._opened not in self._spared:
+                dropped = self._opened
+                self._lost[dropped] = 0
+                if marked & NEVER:
+                    self._never.add(dropped)
         if tag in BLOCKS:
             self._end_block()
             self.parent.append(element)
@@ -127,7 +176,7 @@ class Page:
                     at = len(html) if end < 0 else end
                     self._open(tag, " hidden")
                 else:
-                    self._open(tag, m[3])
+                    self._open(tag, m[3], html[at : at + 1000] if " id" in m[3] else "")
         self._add(html[at:])
         self._end_block()
 
@@ -150,12 +199,12 @@ class Page:
         return best, 1.0
 
     def text(self, path: str | None) -> str:
-        """The blocks inside the containers on that path, or inside the best one; list items that are links only are left out."""
+        """The blocks inside the containers on that path, or inside the best one."""
         wanted = {i for i, p in enumerate(self.path) if p == path} or {self.best()[0]}
         inside = [False] * len(self.path)
         for i in range(len(self.path)):
             inside[i] = i in wanted or (self.parent[i] >= 0 and inside[self.parent[i]])
-        return "\n\n".join(t for e, t, linked in self.blocks if inside[e] and not (self.tag[e] == "li" and 10 * linked >= 9 * len(t)))
+        return "\n\n".join(t for e, t, _ in self.blocks if inside[e])
 
 
 def extract(pages: DataFrame, keep: list[str], html: str = "html", url: str = "url", broadcast_rows: int = 50_000) -> DataFrame:

@@ -215,6 +215,29 @@ def test_html_without_article(spark):
         assert [r.text for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string"), ["page_id"]).collect()] == [want] * 3
 
 
+def test_html_vote_overrides_a_page(spark):
+    own, side = "<div class=a><p>" + "own words " * 9 + "</p></div>", "<p>" + "side words " * 30 + "</p>"
+    rows = [(i, f"http://h/{i}", f"<body>{own}{side if i == 0 else ''}</body>") for i in range(4)]
+    got = html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string"), ["page_id"]).collect()
+    assert [r.text for r in got] == [("own words " * 9).strip()] * 4
+
+
+@pytest.mark.parametrize(
+    "kept",
+    ["<div id=content class=has-sidebar>{}</div>", "<article><h2 id=search-results>T</h2>{}</article>", "<article><h2 id=related-work>T</h2>{}</article>",
+     "<article><section id=notice-period><h2>Notice period</h2>{}</section></article>", "<div class=promo-layout>{}</div>", "<article>{}<ul><li><a href=/x>T</a></li></ul></article>"],
+)
+def test_html_keeps_marked_article_text(kept):
+    page = html_text.Page("<body><div class=sidebar><p>Side words.</p></div>" + kept.format("<p>" + "own words " * 9 + "</p>") + "<nav><ul><li><a href=/>Home</a></li></ul></nav></body>")
+    text = page.text(None)
+    assert "own words" in text and ("T" in text or "T<" not in kept) and "Side" not in text and "Home" not in text
+
+
+def test_html_drops_marked_text():
+    page = html_text.Page("<body><article><p>Short.</p></article><div class=related-posts id=related-posts><h2>Related posts</h2><p>x y</p></div><div class=comments><p>" + "far longer " * 30 + "</p></div></body>")
+    assert page.text(None) == "Short."
+
+
 def test_licences(docs):
     scanner = licence_scan.Scanner()
     words = licence_scan.words_of("Intro. Released under the MIT License! x " + licence_scan.TEMPLATES[6][1] + " tail under the MIT license")
