@@ -11,7 +11,8 @@ Cases: a null or empty page has an empty text. A page without a host votes among
 those without. Ties between paths go to the larger share of prose, then to the
 alphabet. Unclosed and stray tags, unclosed comments and quotes are read to their
 end. Long pages are read whole, in linear time. Repeated rows each get a row and a
-vote. Extra columns pass through `keep` only.
+vote. Extra columns pass through `keep` only; one that bears the
+name of a result column comes back with "_input" appended.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialise, small_or_none, table
+from .shared import bounded_batches, kept_names, materialise, small_or_none, table
 from .url_rules import host_and_path
 
 #: Elements that begin and end a block (fixed values).
@@ -210,6 +211,7 @@ class Page:
 def extract(pages: DataFrame, keep: list[str], html: str = "html", url: str = "url", broadcast_rows: int = 50_000) -> DataFrame:
     """keep and text for every row of pages. Winning paths are broadcast if they are of at most broadcast_rows hosts, else joined."""
     host = host_and_path(F.col(url))[0]
+    bounded_batches(pages.sparkSession)
 
     def votes(batches):
         for batch in batches:
@@ -232,7 +234,7 @@ def extract(pages: DataFrame, keep: list[str], html: str = "html", url: str = "u
     given = pages.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], host.alias("host"), F.col(html).alias("html")).join(small_or_none(winners, broadcast_rows), F.col("host") == F.col("w_host"), "left").drop("host", "w_host")
     kinds = ", ".join(f"k{i} {f.dataType.simpleString()}" for i, f in enumerate(given.schema.fields[: len(keep)]))
     done = given.mapInArrow(texts, f"{kinds}, text string")
-    return done.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], "text")
+    return done.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(kept_names(keep, ("text",)))], "text")
 
 
 def op4_html_text(spark, sf_dir: str) -> DataFrame:

@@ -8,7 +8,8 @@ the distance between both ranks, or `size` if the profile lacks it.
 Cases: a null text, or one without a letter, gets `und` and score 0. Ties go to the
 alphabetically first language. A language with one training row is learned; rows
 without a language teach nothing. Long texts cost n log n. If nothing could be
-learned, all rows get `und`. Extra columns pass through `keep` only.
+learned, all rows get `und`. Extra columns pass through `keep` only; one that bears the
+name of a result column comes back with "_input" appended.
 """
 
 from __future__ import annotations
@@ -20,8 +21,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import table
+from .shared import bounded_batches, kept_names, table
 
+OWN = ("lang_pred", "score")
 BLANK = 1  # stands for whatever is not a letter; no letter has this code point
 _letters: list[np.ndarray] = []
 
@@ -76,6 +78,8 @@ def fit(docs: DataFrame, size: int = 300, docs_per_language: int = 2000, text: s
     share = F.create_map(*[F.lit(x) for k, n in found.items() for x in (k, min(1.0, docs_per_language / n))])
     chosen = labelled.where(F.pmod(F.xxhash64(F.col(key)), F.lit(1_000_000)) < F.element_at(share, F.col(lang)) * 1_000_000)
 
+    bounded_batches(docs.sparkSession)
+
     def count(batches):
         for batch in batches:
             held: dict[str, list] = {}
@@ -116,10 +120,11 @@ def identify(docs: DataFrame, profiles: Profiles, keep: list[str], text: str = "
                 scores.append(float(second - far[best]) / max(second, 1))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*[f"k{i}" for i in range(len(keep))], "lang_pred", "score"])
 
+    bounded_batches(docs.sparkSession)
     given = docs.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], F.col(text).alias("t"))
     kinds = ", ".join(f"k{i} {f.dataType.simpleString()}" for i, f in enumerate(given.schema.fields[:-1]))
     done = given.mapInArrow(guess, f"{kinds}, lang_pred string, score double")
-    return done.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], "lang_pred", "score")
+    return done.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(kept_names(keep, OWN))], "lang_pred", "score")
 
 
 def remainder(key: Column, by: int) -> Column:

@@ -9,7 +9,8 @@ labels besides.
 
 Cases: a null or empty text has no words, no labels and score 0. Repeated licence
 lines give a span each and one label. Long texts are streamed whole, in time linear
-in their words. Extra columns pass through `keep` only.
+in their words. Extra columns pass through `keep` only; one that bears the
+name of a result column comes back with "_input" appended.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import table
+from .shared import bounded_batches, kept_names, table
 
 #: Phrases of the contract and their labels (fixed values).
 PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
@@ -201,10 +202,11 @@ def scan(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
             columns = [pa.array(n, pa.int64()), pa.array(base, pa.list_(pa.struct([("word", pa.int64()), ("label", pa.string())]))), pa.array(spans, pa.list_(pa.struct([("label", pa.string()), ("first", pa.int64()), ("last", pa.int64()), ("covered", pa.float64())])))]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *columns], [*[f"k{i}" for i in range(len(keep))], "n_words", "base", "spans"])
 
+    bounded_batches(docs.sparkSession)
     given = docs.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], F.col(text).alias("t"))
     kinds = ", ".join(f"k{i} {f.dataType.simpleString()}" for i, f in enumerate(given.schema.fields[:-1]))
     done = given.mapInArrow(run, f"{kinds}, n_words long, base array<struct<word:long,label:string>>, spans array<struct<label:string,first:long,last:long,covered:double>>")
-    return done.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], "n_words", "base", "spans")
+    return done.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(kept_names(keep, ("n_words", "base", "spans")))], "n_words", "base", "spans")
 
 
 def op8_license_scan(spark, sf_dir: str) -> DataFrame:

@@ -16,8 +16,8 @@ of all rows is ranked by many tasks.
 
 Cases: a null source is a source of its own. Sources without a given weight count as
 weight 0 and follow at the end, in one last phase. Equal rows share their order key
-and are interchangeable. An empty table gives an empty result. Helper columns have
-names of their own; those of the input pass through.
+and are interchangeable. An empty table gives an empty result. Columns of the input
+pass through; mix() appends "_input" to the name of one that bears the name of a result.
 """
 
 from __future__ import annotations
@@ -29,9 +29,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import materialise, small_or_none, table
+from .shared import kept_names, materialise, small_or_none, table
 
 NO_SOURCE = "\x00"
+OWN = ("mix_block", "mix_release", "mix_deadline", "mix_slot", "mix_place")
 
 
 @dataclass(frozen=True)
@@ -40,6 +41,10 @@ class Spec:
     period: int = 2000
     #: Rows of a hash range, which one task ranks.
     range_rows: int = 20_000
+    #: Rows of a run, which one task puts in order.
+    run_rows: int = 5_000
+    #: Most bytes of a schedule that is broadcast; a larger one is joined by shuffle.
+    broadcast_bytes: int = 32_000_000
     seed: int = 17
 
 
@@ -97,41 +102,86 @@ def tempered(counts: dict[str, int], power: float = 0.5) -> dict[str, float]:
     return {k: float(n) ** power for k, n in counts.items()}
 
 
-def mix(rows: DataFrame, identity: list[str], source: str = "source", weights=tempered, spec: Spec = Spec()) -> DataFrame:
-    """rows with mix_block, mix_release, mix_deadline, mix_slot and mix_place (in the block).
+class Mix:
+    """A mix of rows: the order inside each source and the schedule of the sources' blocks.
 
     identity: columns whose hash orders a source's rows. weights: by source, or a function of
     the sources' row counts that gives them (a null source is "\\x00").
     """
-    spark = rows.sparkSession
-    named = F.coalesce(F.col(source).cast("string"), F.lit(NO_SOURCE))
-    key = F.xxhash64(F.lit(spec.seed), *identity)
-    counted = rows.select(named.alias("mix_source")).groupBy("mix_source").agg(F.count(F.lit(1)).alias("n")).collect()  # a row for each source
-    counts = {r["mix_source"]: r["n"] for r in counted}
-    given = weights(counts) if callable(weights) else weights
-    planned = plan({k: -(-n // spec.block_rows) for k, n in counts.items()}, given, spec.period)
-    ranges = -(-sum(counts.values()) // spec.range_rows) or 1
-    keyed = rows.withColumn("mix_source", named).withColumn("mix_key", key).withColumn("mix_range", F.pmod(F.shiftrightunsigned("mix_key", 32), F.lit(ranges).cast("long")))
-
-    sizes = rows.select(named.alias("mix_source"), F.pmod(F.shiftrightunsigned(key, 32), F.lit(ranges).cast("long")).alias("mix_range")).groupBy("mix_source", "mix_range").agg(F.count(F.lit(1)).alias("n"))
-    before = Window.partitionBy("mix_source").orderBy("mix_range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = materialise(sizes.select("mix_source", "mix_range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("mix_before")), "mix-ranges")
-    order = Window.partitionBy("mix_source", "mix_range").orderBy("mix_key", *identity)
-    ranked = keyed.withColumn("mix_rank", F.row_number().over(order)).join(small_or_none(offsets, 10_000), ["mix_source", "mix_range"])
-    position = F.col("mix_before") + F.col("mix_rank") - 1
-    ranked = ranked.withColumn("mix_block", F.floor(position / spec.block_rows)).withColumn("mix_place", F.pmod(position, F.lit(spec.block_rows)).cast("int"))
-
-    phases = "array<struct<first_block:long,first_slot:long,period:long,slots:array<long>>>"
-    known = spark.createDataFrame(pd.DataFrame({"mix_source": list(planned), "p": list(planned.values())}, dtype=object), f"mix_source string, p {phases}")
-    placed = ranked.join(small_or_none(known, 100_000), "mix_source").withColumn("mix_phase", F.element_at(F.filter("p", lambda x: x["first_block"] <= F.col("mix_block")), -1))
-    phase, step = F.col("mix_phase"), F.col("mix_block") - F.col("mix_phase.first_block")
-    share = F.size(phase["slots"]).cast("long")
-    base, k = phase["first_slot"] + F.floor(step / share) * phase["period"], F.pmod(step, share)
-    return placed.select(
-        *rows.columns, "mix_block",
-        (base + F.floor(k * phase["period"] / share)).alias("mix_release"), (base + F.ceil((k + 1) * phase["period"] / share)).alias("mix_deadline"),
-        (base + F.get(phase["slots"], k.cast("int"))).alias("mix_slot"), "mix_place",
-    )
+
+    def __init__(self, rows: DataFrame, identity: list[str], source: str, weights, spec: Spec):
+        spark, self.spec, self.columns = rows.sparkSession, spec, [f"c{i}" for i in range(len(rows.columns))]
+        of = dict(zip(rows.columns, self.columns))
+        identity, source, rows = [of[c] for c in identity], of[source], rows.toDF(*self.columns)
+        named = F.coalesce(F.col(source).cast("string"), F.lit(NO_SOURCE))
+        thin = rows.select(named.alias("mix_source"), F.xxhash64(F.lit(spec.seed), *identity).alias("mix_key"))
+        counted = thin.groupBy("mix_source").agg(F.count(F.lit(1)).alias("n")).collect()  # a row for each source
+        counts = {r["mix_source"]: r["n"] for r in counted}
+        given = weights(counts) if callable(weights) else weights
+        planned = plan({k: -(-n // spec.block_rows) for k, n in counts.items()}, given, spec.period)
+        self.ranges = -(-sum(counts.values()) // spec.range_rows) or 1
+        self.thin = self.keyed(thin)
+        sizes = self.thin.groupBy("mix_source", "mix_range").agg(F.count(F.lit(1)).alias("n"))
+        before = Window.partitionBy("mix_source").orderBy("mix_range").rowsBetween(Window.unboundedPreceding, -1)
+        self.offsets = materialise(sizes.select("mix_source", "mix_range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("mix_before")), "mix-ranges")
+        phases = "array<struct<first_block:long,first_slot:long,period:long,slots:array<long>>>"
+        known = spark.createDataFrame(pd.DataFrame({"mix_source": list(planned), "p": list(planned.values())}, dtype=object), f"mix_source string, p {phases}")
+        held = sum(len(f["slots"]) + 4 for found in planned.values() for f in found) * 8
+        self.known = F.broadcast(known) if held <= spec.broadcast_bytes else known
+        self.rows, self.identity, self.named = rows, identity, named
+
+    def keyed(self, thin: DataFrame) -> DataFrame:
+        return thin.withColumn("mix_range", F.pmod(F.shiftrightunsigned("mix_key", 32), F.lit(self.ranges).cast("long")))
+
+    def whole(self) -> DataFrame:
+        return self.keyed(self.rows.withColumns({"mix_source": self.named, "mix_key": F.xxhash64(F.lit(self.spec.seed), *self.identity)}))
+
+    def ranked(self, keyed: DataFrame, order: list[str]) -> DataFrame:
+        """keyed with mix_position, counted inside the source."""
+        rank = F.row_number().over(Window.partitionBy("mix_source", "mix_range").orderBy("mix_key", *order))
+        found = keyed.withColumn("mix_rank", rank).join(small_or_none(self.offsets, 10_000), ["mix_source", "mix_range"])
+        return found.withColumn("mix_position", F.col("mix_before") + F.col("mix_rank") - 1)
+
+    def placed(self, ranked: DataFrame, keep: list[str]) -> DataFrame:
+        """keep and the places in the mix of rows with mix_source and mix_position."""
+        position = F.col("mix_position")
+        blocks = ranked.withColumn("mix_block", F.floor(position / self.spec.block_rows)).withColumn("mix_place", F.pmod(position, F.lit(self.spec.block_rows)).cast("int"))
+        found = blocks.join(self.known, "mix_source").withColumn("mix_phase", F.element_at(F.filter("p", lambda x: x["first_block"] <= F.col("mix_block")), -1))
+        phase, step = F.col("mix_phase"), F.col("mix_block") - F.col("mix_phase.first_block")
+        share = F.size(phase["slots"]).cast("long")
+        base, k = phase["first_slot"] + F.floor(step / share) * phase["period"], F.pmod(step, share)
+        return found.select(
+            *keep, "mix_block",
+            (base + F.floor(k * phase["period"] / share)).alias("mix_release"), (base + F.ceil((k + 1) * phase["period"] / share)).alias("mix_deadline"),
+            (base + F.get(phase["slots"], k.cast("int"))).alias("mix_slot"), "mix_place",
+        )
+
+
+def mix(rows: DataFrame, identity: list[str], source: str = "source", weights=tempered, spec: Spec = Spec()) -> DataFrame:
+    """rows with mix_block, mix_release, mix_deadline, mix_slot and mix_place (in the block)."""
+    own = Mix(rows, identity, source, weights, spec)
+    return own.placed(own.ranked(own.whole(), own.identity), own.columns).toDF(*kept_names(rows.columns, OWN), *OWN)
+
+
+def arranged(rows: DataFrame, identity: list[str], source: str = "source", weights=tempered, spec: Spec = Spec()) -> DataFrame:
+    """rows in the order of the mix: a run is run_rows rows' worth of slots, a partition holds whole runs, each in order.
+
+    Only sources and hashes are ranked at first; that tells at which hashes a source's rows
+    pass from one run to the next. Then the rows themselves are shuffled once, by run.
+    Rows of equal hash stay in one run, that of the first of them.
+    """
+    own = Mix(rows, identity, source, weights, spec)
+    first = own.ranked(own.thin, []).groupBy("mix_source", "mix_range", "mix_key").agg(F.min("mix_position").alias("mix_position"))
+    run = F.floor(F.col("mix_slot") * spec.block_rows / spec.run_rows)
+    places = own.placed(first.withColumn("mix_at", F.col("mix_position")), ["mix_source", "mix_range", "mix_key", "mix_at"]).withColumn("mix_run", run)
+    cuts = places.groupBy("mix_source", "mix_range", "mix_run").agg(F.min(F.struct("mix_key", "mix_at")).alias("low"))
+    cuts = cuts.groupBy("mix_source", "mix_range").agg(F.array_sort(F.collect_list(F.struct(F.col("low.mix_key").alias("key"), F.col("low.mix_at").alias("at"), F.col("mix_run").alias("run")))).alias("cuts"))  # a range has about range_rows rows
+    cuts = materialise(cuts, "mix-runs")
+    met = own.whole().join(small_or_none(cuts, 10_000), ["mix_source", "mix_range"]).withColumn("cut", F.element_at(F.filter("cuts", lambda c: c["key"] <= F.col("mix_key")), -1))
+    dealt = met.select(*own.columns, "mix_source", "mix_range", "mix_key", F.col("cut.run").alias("mix_run"), F.col("cut.at").alias("mix_at")).repartition("mix_run")
+    rank = F.row_number().over(Window.partitionBy("mix_run", "mix_source", "mix_range").orderBy("mix_key", *own.identity))
+    placed = own.placed(dealt.withColumn("mix_position", F.col("mix_at") + rank - 1), [*own.columns, "mix_run"])
+    return placed.sortWithinPartitions("mix_run", "mix_slot", "mix_place").select(*own.columns).toDF(*rows.columns)
 
 
 def op1_mixing(spark, sf_dir: str) -> DataFrame:

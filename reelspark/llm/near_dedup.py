@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import materialise, small_or_none, table
+from .shared import bounded_batches, materialise, small_or_none, table
 
 
 @dataclass(frozen=True)
@@ -64,7 +64,7 @@ class WordHashes(dict):
     """Hashes of words; it forgets all when full."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 400_000:
+        if len(self) >= 100_000:
             self.clear()
         self[word] = found = xxhash.xxh64_intdigest(word)
         return found
@@ -248,6 +248,7 @@ def between_blocks(members: DataFrame, sets: DataFrame, spec: Spec) -> DataFrame
 
 def near_duplicates(docs: DataFrame, spec: Spec = Spec(), key: str = "doc_id", text: str = "text") -> DataFrame:
     """id, n_shingles and component_id for every row."""
+    bounded_batches(docs.sparkSession)
     docs = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("t"))
     signed = materialise(signatures(docs, spec), "signatures")
     usable = signed.where("n > 0 AND id IS NOT NULL")

@@ -9,8 +9,8 @@ to whole windows and to powers of two, which need no padding.
 
 Cases: a null text is an empty one, so its document is the end id alone. Repeated
 rows are packed each. Long texts are tokenised whole and cut at window ends. An
-empty table gives no pieces. Extra columns pass through `keep` only; the names used
-inside cannot clash with them.
+empty table gives no pieces. Extra columns pass through `keep` only; one that bears
+the name of a result column comes back with "_input" appended.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialise, table
+from .shared import bounded_batches, kept_names, materialise, table
 
 
 @dataclass(frozen=True)
@@ -38,8 +38,8 @@ class Spec:
     end_id: int = 1
     #: Partitions whose open windows one task merges.
     fan_in: int = 64
-    #: Words whose ids a worker remembers.
-    memory: int = 1_000_000
+    #: Words whose ids a worker remembers: at most twice as many, those used last.
+    memory: int = 100_000
 
 
 #: Letters up to U+00FF, then marks without an apostrophe or a tag's bracket.
@@ -56,12 +56,16 @@ class Ids(dict):
         super().__init__()
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.most = Tokenizer.from_file(path), most
+        self.tokenizer, self.most, self.older = Tokenizer.from_file(path), most, {}
         self.model = self.tokenizer.model
 
     def __missing__(self, chunk: bytes) -> bytes:
         if len(self) >= self.most:
+            self.older = dict(self)
             self.clear()
+        if known := self.older.get(chunk):
+            self[chunk] = known
+            return known
         parts = _PLAIN.fullmatch(word := chunk.decode())
         if parts and parts[1] and parts[2]:
             found = self[parts[1].encode()] + self[parts[2].encode()]  # a run of marks after letters is a piece of its own
@@ -81,6 +85,7 @@ class Ids(dict):
 
 _ids: dict[str, Ids] = {}
 PIECE = "start long, length long, doc_tokens long, ids binary"
+OWN = ("start", "length", "doc_tokens", "sequence_id", "offset")
 PLACE = "sequence_id long, offset long, closed boolean"
 
 
@@ -154,7 +159,9 @@ def pack(docs: DataFrame, keep: list[str], tokenizer: str, text: str = "text", s
     derive: columns computed from a piece (its ids among them) that replace the ids in
     the result, so that the token bytes of closed windows need not be stored.
     """
-    names = [f"k{i}" for i in range(len(keep))]
+    names, wanted = [f"k{i}" for i in range(len(keep))], derive or {"ids": F.col("ids")}
+    out = [F.col(k).alias(c) for c, k in zip(kept_names(keep, (*OWN, *wanted)), names)] + [F.col(c) for c in OWN]
+    bounded_batches(docs.sparkSession)
     given = docs.select(*[F.col(c).alias(k) for c, k in zip(keep, names)], F.col(text).alias("t"))
     kinds = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in given.schema.fields[:-1])
 
@@ -203,8 +210,6 @@ def pack(docs: DataFrame, keep: list[str], tokenizer: str, text: str = "text", s
         return merge
 
     schema = f"{kinds}{PIECE}, {PLACE}"
-    out = [F.col(k).alias(c) for c, k in zip(keep, names)] + [F.col(c) for c in ("start", "length", "doc_tokens", "sequence_id", "offset")]
-    wanted = derive or {"ids": F.col("ids")}
     derived = [c.alias(f"d{i}") for i, c in enumerate(wanted.values())]
 
     def stored(pieces: DataFrame, tag: str) -> tuple[DataFrame, DataFrame]:

@@ -14,7 +14,8 @@ line goes on in lower case, and it is at least half as long as the longest of th
 
 Cases: a null or empty text has no words and fails the base rules. Very long
 texts cost n log n in their words. Repeated rows are judged alike. An empty table
-gives an empty result. Extra columns pass through `keep` only.
+gives an empty result. Extra columns pass through `keep` only; one that bears the name
+of a result column comes back with "_input" appended.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import SPACES, let, table
+from .shared import SPACES, kept_names, let, table
 
 #: Phrases of lines that belong to the site, not to the text (fixed values).
 BOILERPLATE = (
@@ -36,6 +37,9 @@ CLOSED = r"[.!?…:;][\x22'”»)]{0,3}[\x20\x09\x0B-\x0D]{0,3}"
 LOWER = r"^[\x20\x09-\x0D]*[\x22'“«(]{0,3}\p{Ll}"
 
 
+OWN = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "clean_text", "clean_chars", "line_chars")
+
+
 @dataclass(frozen=True)
 class LineRules:
     #: A line of prose ends in, or holds, one of these.
@@ -166,7 +170,7 @@ def judge(docs: DataFrame, keep: list[str], text: str = "text", rules: LineRules
     base_failed = (F.col("m.w.n_words") < min_words) | (F.col("m.w.n_repeat_words") * 100 > F.col("m.w.n_words") * most_repeated)
     lost = (F.col("m.l.line_chars") - F.col("m.l.c.clean_chars")) * 100 > F.col("m.l.line_chars") * rules.max_lost
     return counted.select(
-        *[F.col(f"k_{i}").alias(c) for i, c in enumerate(keep)],
+        *[F.col(f"k_{i}").alias(c) for i, c in enumerate(kept_names(keep, OWN))],
         F.col("m.w.n_words").alias("n_words"), F.col("m.w.word_chars").alias("word_chars"), F.col("m.n_symbols").alias("n_symbols"),
         F.col("m.l.n_dup_lines").alias("n_dup_lines"), F.col("m.w.n_repeat_words").alias("n_repeat_words"),
         base_failed.alias("base_failed"), (~base_failed & ~lost).alias("kept"),

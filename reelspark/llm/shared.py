@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
 import tempfile
 import uuid
 
@@ -15,23 +13,49 @@ SPACES = r"[\x20\x09-\x0D]+"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir. Only where none is named (tests, a laptop) a temporary one is made."""
+    """The folder named in spark.checkpoint.dir. Where none is named, a local master gets a temporary one; a cluster must name one."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not named:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="reelspark-")
-        atexit.register(shutil.rmtree, named, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
 
 
 def materialise(df: DataFrame, tag: str) -> DataFrame:
-    """Writes df as Parquet to the shared folder and reads it back: lineage ends there and any executor can read it."""
+    """Writes df as Parquet to the shared folder and reads it back: lineage ends there and any executor can read it.
+
+    What was written is deleted when the application ends, since results may read it until then.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{tag}-{uuid.uuid4().hex}"
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bounded_batches(spark: SparkSession, most: int = 4 << 20) -> None:
+    """Lowers the session's bound on the bytes of an Arrow batch, as whole texts are long; a lower bound is left as it is."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = int(spark.conf.get(name).rstrip("b"))
+    if not 0 < now <= most:
+        spark.conf.set(name, most)
+
+
+def kept_names(keep: list[str], own: tuple[str, ...]) -> list[str]:
+    """The names under which an operator returns input columns: where its own columns bear the name, "_input" is appended."""
+    seen, found = {c.lower() for c in own}, []
+    for c in keep:
+        while c.lower() in seen:
+            c += "_input"
+        seen.add(c.lower())
+        found.append(c)
+    return found
+
+
 def let(value: Column, body) -> Column:
     """body(value) with value computed once for each row, even if body uses it many times or in inner lambdas."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
