@@ -38,3 +38,23 @@ def p010_to_rgb(y: Column, u: Column, v: Column) -> list[Column]:
     ten = lambda c: F.shiftright(c, 6)
     luma, cb, cr = clamp((ten(y) - 64) / 876.0, 0.0, 1.0), (ten(u) - 512) / 896.0, (ten(v) - 512) / 896.0
     return [clamp(c, 0.0, 1.0) for c in (luma + 1.4746 * cr, luma - 0.164553 * cb - 0.571353 * cr, luma + 1.8814 * cb)]
+
+
+def bt709(v: Column) -> Column:
+    return clamp(F.when(v < 0.018, 4.5 * v).otherwise(1.099 * F.pow(F.greatest(v, F.lit(0.0)), F.lit(0.45)) - 0.099), 0.0, 1.0)
+
+
+#: Share of red, green and blue in BT.2020 luminance, and the white point of the Hable curve (fixed values).
+LUMA = (0.2627, 0.6780, 0.0593)
+HABLE_WHITE = 11.2
+
+
+def tone_mapped(r: Column, g: Column, b: Column, peak_nits: float = 1000.0, target_nits: float = 200.0) -> list[Column]:
+    """Linear light (1.0 is 10,000 nits) to 8-bit blue, green and red, scaled by luminance along the Hable curve."""
+    nits = [clamp(c, 0.0, 1.0) * 10000.0 for c in (r, g, b)]
+    luma = LUMA[0] * nits[0] + LUMA[1] * nits[1] + LUMA[2] * nits[2]
+    k = HABLE
+    white = (HABLE_WHITE * (k["a"] * HABLE_WHITE + k["c"] * k["b"]) + k["d"] * k["e"]) / (HABLE_WHITE * (k["a"] * HABLE_WHITE + k["b"]) + k["d"] * k["f"]) - k["e"] / k["f"]
+    scale = clamp(hable(luma / max(peak_nits, 1e-3)) / white, 0.0, 1.0) * target_nits / F.greatest(luma, F.lit(1e-6))
+    shown = lambda c: F.floor(bt709(clamp(clamp(c * scale, 0.0, target_nits) / 100.0, 0.0, 1.0)) * 255.0 + 0.5)
+    return [shown(c) for c in reversed(nits)]

@@ -95,3 +95,27 @@ def frame_rate(text: Column) -> Column:
     number = lambda i: F.get(parts, F.lit(i)).try_cast("double")
     below = F.when(F.size(parts) < 2, 1.0).otherwise(F.when(number(1) == 0, 1.0).otherwise(number(1)))
     return F.coalesce(number(0) / below, F.lit(30.0))
+
+
+def unletterbox(box: tuple[Column, Column, Column, Column], width: Column, height: Column, size: int = 640) -> list[Column]:
+    """A box on the centred square canvas in pixels of the picture itself, at least one pixel wide and high."""
+    placed = letterbox(width, height, size)
+    grow = 1.0 / F.greatest(placed["scale"], F.lit(1e-6))
+    at = lambda v, d: F.rint((v - placed[d]) * grow)
+    low = [F.greatest(F.lit(0.0), F.least(limit, at(v, d))) for v, d, limit in ((box[0], "dx", width), (box[1], "dy", height))]
+    high = [F.greatest(first + 1, F.least(limit, at(v, d))) for v, d, limit, first in ((box[2], "dx", width, low[0]), (box[3], "dy", height, low[1]))]
+    return [*low, *high]
+
+
+def detector_sizes(wanted: Column, longest: Column, cap: int = 2048) -> dict[str, Column]:
+    """Detector input sizes: the plain one, and those for a quarter and a half turn; multiples of 32."""
+    up = lambda v: (F.ceil(v / 32) * 32).cast("long")
+    plain = up(F.greatest(F.lit(320), wanted))
+    turned = lambda share: F.least(up(F.greatest(plain, F.floor(longest * share))), F.greatest(F.lit(cap), plain))
+    return {"plain": plain, "quarter": turned(0.75), "half": turned(0.67)}
+
+
+def aspect(text: Column) -> tuple[Column, Column]:
+    """Width and height of a ratio given as "W:H"; nulls for what is none."""
+    parts = F.split(text, ":")
+    return tuple(F.when(F.size(parts) == 2, F.get(parts, F.lit(i)).try_cast("double")) for i in (0, 1))

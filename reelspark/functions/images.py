@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .geometry import clamp
+from .vectors import bound
 
 SIDE = 32  # of the picture a hash is made from
 
@@ -83,3 +84,25 @@ def measure(pictures: DataFrame, keep: list[str], pixels: str = "pixels", width:
     given = pictures.select(*keep, pixels, width, height)
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in given.schema.fields[:-3])
     return given.mapInArrow(look, f"{kinds}, sharpness double, phash long, left int, top int, right int, bottom int")
+
+
+def edge_energy(pixels: Column, side: int) -> Column:
+    """Variance of the Laplacian over the squared mean of a square gray picture given as an array; borders are mirrored."""
+    last = side - 1
+    mirrored = lambda i: F.when(i < 0, -i).when(i > last, 2 * last - i).otherwise(i)
+    mean = lambda v: F.aggregate(v, F.lit(0.0), lambda s, x: s + x) / F.size(v)
+
+    def bends(own: Column) -> Column:
+        at = lambda x, y: F.get(own, (mirrored(y) * side + mirrored(x)).cast("int"))
+
+        def bend(i: Column) -> Column:
+            x, y = F.pmod(i, F.lit(side)), F.floor(i / side)
+            return at(x - 1, y) + at(x + 1, y) + at(x, y - 1) + at(x, y + 1) - 4 * at(x, y)
+
+        return F.struct(F.transform(F.sequence(F.lit(0), F.lit(side * side - 1)), bend).alias("b"), mean(own).alias("g"))
+
+    def energy(t: Column) -> Column:
+        square = mean(F.transform(t["b"], lambda x: x * x))
+        return bound(mean(t["b"]), lambda m: (square - m * m) / (t["g"] * t["g"] + 1e-6))
+
+    return bound(bound(pixels, bends), energy)

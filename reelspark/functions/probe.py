@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 STREAMS = "struct<streams: array<struct<index: int, codec_tag_string: string, color_transfer: string, color_primaries: string, color_space: string, matrix_coefficients: string, color_range: string, pix_fmt: string, bits_per_raw_sample: string, avg_frame_rate: string, side_data_list: array<struct<side_data_type: string>>>>>"
+FRAMES = "struct<frames: array<struct<stream_index: int, color_transfer: string, side_data_list: array<struct<side_data_type: string>>>>>"
 #: Transfer functions and side data that mark HDR, and names of deep pixel formats (fixed values).
 HDR_TRANSFERS = ["smpte2084", "arib-std-b67", "hlg", "bt2020-10", "bt2020-12"]
 HDR_SIDE_DATA = ["dolby vision", "dovi", "hdr10+", "mastering display metadata", "content light level", "cta 861-3"]
@@ -49,3 +50,35 @@ def colour_range(streams: Column) -> Column:
 def reader(is_hdr: Column, forced: str = "") -> Column:
     """Which reader suits a file: tone mapping by filter or by pipe for HDR, the plain one otherwise."""
     return F.when(is_hdr, "pipe" if forced in ("zscale", "scale") else "filter").otherwise("plain")
+
+
+def is_wide(text: Column) -> Column:
+    return F.coalesce(F.lower(text).contains("2020"), F.lit(False))
+
+
+def is_deep(pixel_format: Column, bits: Column) -> Column:
+    return _any(F.lower(pixel_format), ["p10", "p012", "p016"]) | F.coalesce(bits >= 10, F.lit(False))
+
+
+def is_hlg(transfer: Column) -> Column:
+    return plain_name(transfer).isin("arib-std-b67", "hlg")
+
+
+def passthrough(is_hdr: Column, has_pipe: Column) -> Column:
+    """The reader that hands HDR samples on untouched; null where there is none."""
+    return F.when(is_hdr & has_pipe, "p010 pipe")
+
+
+def rate_and_total(rate: Column, frames: Column, other_rate: Column, other_frames: Column, seconds: Column, hint: float = 30.0) -> tuple[Column, Column]:
+    """Frames a second and in all, from a first and, where that lacks one, a second probe; the total may come from the duration."""
+    positive = lambda c: F.when(c > 0, c)
+    second = F.coalesce(positive(other_frames), F.floor(positive(seconds) * positive(other_rate) + 0.5).cast("long"))
+    return F.coalesce(F.when(rate > 1e-3, rate), positive(other_rate), F.lit(hint)), F.coalesce(positive(frames), second, F.lit(0).cast("long"))
+
+
+def side_data(files: DataFrame, keep: list[str]) -> DataFrame:
+    """keep, stream and kind: a row for each piece of side data of a file's frames, and one for a frame whose transfer is HDR."""
+    each = files.select(*keep, F.explode("frames").alias("f")).select(*keep, F.col("f.stream_index").alias("stream"), F.col("f.side_data_list.side_data_type").alias("listed"), F.lower("f.color_transfer").alias("transfer"))
+    own = F.when(F.col("transfer").isin(HDR_TRANSFERS), F.array(F.concat(F.lit("frame color_transfer "), F.col("transfer"))))
+    none = F.array().cast("array<string>")
+    return each.select(*keep, "stream", F.explode(F.concat(F.coalesce("listed", none), F.coalesce(own, none))).alias("kind"))

@@ -55,3 +55,32 @@ def matched(face: Column, body: Column, mode: str, face_most: float, body_most:
     """Proposed match modes: either, both, face_only or reid_only; a missing distance does not match."""
     by_face, by_body = F.coalesce(face <= face_most, F.lit(False)), F.coalesce(body <= body_most, F.lit(False))
     return {"either": by_face | by_body, "both": by_face & by_body, "face_only": by_face, "reid_only": by_body}[mode]
+
+
+def probe_confidence(base: Column, cap: float = 0.20) -> Column:
+    """The confidence asked of a cheap first look."""
+    return F.least(base, F.lit(cap))
+
+
+def turned_confidence(base: Column, degrees: Column) -> Column:
+    """The confidence asked of a look at a turned frame: lower for a half turn than for a quarter."""
+    return F.greatest(F.lit(0.10), base * F.when(degrees.isin(90, 270), 0.8).otherwise(0.6))
+
+
+def central_score(conf: Column, cx: Column, cy: Column, width: float, height: float) -> Column:
+    """Confidence less the distance from the picture's middle; without confidence the distance alone."""
+    far = F.hypot(cx - width / 2, cy - height / 2)
+    return F.when(conf.isNull(), -far).otherwise(0.7 * conf - 0.3 * far / (width**2 + height**2) ** 0.5)
+
+
+def decimals(v: Column, places: int) -> Column:
+    """Text with that many decimals; what lies exactly halfway goes to the even digit."""
+    return F.format_string(f"%.{places}f", F.bround(v, places))
+
+
+def time_from_name(name: Column) -> Column:
+    """Time from a file name: seconds first, then a frame number, then the last long run of digits."""
+    seconds = F.regexp_extract(name, r"(?i)(?:t|time)[_\-:]?(\d+(?:\.\d+)?)\s*s", 1)
+    frame = F.regexp_extract(name, r"(?i)\b(?:frame|f|img|i)[_\-]?\s*(\d{3,})(?!\d)", 1)
+    last = F.element_at(F.concat(F.array(F.lit("")), F.regexp_extract_all(name, F.lit(r"(\d{3,})"))), -1)
+    return F.coalesce(*[F.when(x != "", x) for x in (seconds, frame, last)]).cast("double")

@@ -50,3 +50,16 @@ def hamming(a: Column, b: Column) -> Column:
 def sign_hash(v: str) -> Column:
     """63 bits: whether each of the first coordinates is positive."""
     return F.expr(f"aggregate(sequence(0, 62), 0L, (h, i) -> h | if({v}[i] > 0, shiftleft(1L, i), 0L))")
+
+
+def cosine_distance(a: Column, b: Column, eps: float = 1e-9) -> Column:
+    return 1 - cosine(a, b, eps)
+
+
+def hash_similarity(a: Column, b: Column, bits: int = 64) -> Column:
+    return 1 - hamming(a, b) / bits
+
+
+def total(rows: Column) -> Column:
+    """The sum of an array of vectors of one length."""
+    return F.aggregate(F.slice(rows, 2, 1 << 30), F.transform(F.get(rows, F.lit(0)), lambda x: x.cast("double")), lambda s, v: F.zip_with(s, v, lambda x, y: x + y.cast("double")))

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geometry import iou
 from ..functions.vectors import dot, hamming
+from .lineage import cut
 
 
 def _kept(rows: Column, clashes) -> Column:
@@ -22,6 +27,68 @@ def drop_near_hashes(rows: DataFrame, group: list[str], order: list[str], key: s
     return rows.groupBy(*group).agg(kept.alias("kept")).select(*group, F.inline("kept"))
 
 
+def near_hash_pairs(hashes: DataFrame, key: str, most: int) -> DataFrame:
+    """Pairs (a, b) of distinct 64-bit hashes within `most` bits, each in both orders.
+
+    Multi-index: of m segments at least one differs in at most most // m bits, so one side
+    looks up its segments' values and their neighbours, and the pairs are then confirmed.
+    """
+    parts = next((m for m in (4, 8) if most // m <= 2), 16)
+    width, radius = 64 // parts, most // parts
+    masks = [sum(1 << i for i in c) for r in range(radius + 1) for c in combinations(range(width), r)]
+    value = lambda s: F.shiftrightunsigned(F.col(key), s * width).bitwiseAND(F.lit((1 << width) - 1))
+    segments = F.explode(F.array(*[F.struct(F.lit(s).alias("s"), value(s).alias("v")) for s in range(parts)]))
+    held = hashes.select(F.col(key).alias("a"), segments.alias("x")).select("a", "x.s", "x.v")
+    asked = held.select(F.col("a").alias("b"), "s", "v").withColumn("v", F.explode(F.transform(F.array(*[F.lit(m).cast("long") for m in masks]), lambda m: m.bitwiseXOR(F.col("v")))))
+    return held.join(asked, ["s", "v"]).where((F.col("a") != F.col("b")) & (hamming(F.col("a"), F.col("b")) <= most)).select("a", "b").distinct()
+
+
+def drop_near_hashes_everywhere(rows: DataFrame, order: list[str], key: str, most: int) -> DataFrame:
+    """As drop_near_hashes over all rows, which no task holds: order and key of the rows kept.
+
+    Of equal hashes only the first can be kept. Of the rest, in rounds, those without an
+    undecided earlier neighbour are kept and drop their later ones; a round is two joins of
+    pairs, and there are as many rounds as the longest chain of dependent rows.
+    """
+    first = cut(rows.groupBy(key).agg(F.min(F.struct(*order)).alias("o")))
+    place = lambda side: first.select(F.col(key).alias(side), F.col("o").alias(f"o_{side}"))
+    pairs = cut(near_hash_pairs(first, key, most).join(place("a"), "a").join(place("b"), "b").where("o_a < o_b").select("a", "b"))
+    dropped = []
+    while not pairs.isEmpty():
+        kept = pairs.select("a").distinct().join(pairs.select(F.col("b").alias("a")), "a", "left_anti")
+        lost = cut(pairs.join(kept, "a", "left_semi").select("b").distinct())
+        dropped.append(lost)
+        alive = pairs.join(kept, "a", "left_anti").join(lost, "b", "left_anti")
+        pairs = cut(alive.join(lost.select(F.col("b").alias("a")), "a", "left_anti"))
+    for lost in dropped:
+        first = first.join(lost.select(F.col("b").alias(key)), key, "left_anti")
+    return first.select("o.*", key)
+
+
+def diverse_permutation(rows: DataFrame, group: list[str], alpha: float) -> DataFrame:
+    """Maximal marginal relevance over the whole of each group: group, id and rank (from 0). Columns: id, order, q, vec (or null).
+
+    Ties go to the smaller order. A group is a scene, which one task holds; each step
+    updates the largest similarity to what is picked, so it costs rows times picks.
+    """
+
+    def walk(own: pa.Table) -> pa.Table:
+        own = own.sort_by("order")
+        q, vecs = own.column("q").to_numpy().astype(float), own.column("vec").to_pylist()
+        width = max((len(v) for v in vecs if v is not None), default=0)
+        table = np.array([np.pad(np.asarray(v or [], float), (0, width - len(v or []))) for v in vecs]).reshape(len(vecs), width)
+        again, left, picked = np.zeros(len(q)), np.ones(len(q), bool), []
+        while left.any():
+            best = int(np.argmax(np.where(left, alpha * q - (1 - alpha) * again, -np.inf)))
+            picked.append(best)
+            left[best] = False
+            again = np.maximum(again, table @ table[best])
+        return pa.table([*(own.column(c).take(picked) for c in [*group, "id"]), pa.array(range(len(picked)), pa.int32())], names=[*group, "id", "rank"])
+
+    kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in [*group, "id"])
+    return rows.select(*group, "id", "order", "q", "vec").groupBy(*group).applyInArrow(walk, f"{kinds}, rank int")
+
+
 def suppress_boxes(rows: DataFrame, group: list[str], order: list[str], limit: float = 0.45) -> DataFrame:
     """Non-maximum suppression: in each group, in order, keeps a box if it overlaps all kept ones by less than `limit`."""
     packed = F.array_sort(F.collect_list(F.struct(*order, "x1", "y1", "x2", "y2")))

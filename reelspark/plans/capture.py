@@ -291,10 +291,9 @@ def mix_vector(vecs):
 
 @query("SELECT 'category' AS kind, category AS name, n FROM (SELECT CASE id % 3 WHEN 0 THEN 'closeup' WHEN 1 THEN 'portrait' ELSE 'wide' END AS category, count(*) AS n FROM v_item GROUP BY 1) UNION ALL SELECT 'profile', 'profile', count(*) FROM v_item WHERE abs(yaw) >= 50 UNION ALL SELECT 'scene', 'distinct', count(DISTINCT w) FROM v_item")
 def run_summary(items):
-    """Counts by category, of profiles and of distinct scenes, in one pass over the items."""
+    """Counts by category, of profiles and of distinct scenes; no row gathers a set of values."""
     category = F.element_at(F.array(F.lit("closeup"), F.lit("portrait"), F.lit("wide")), (F.col("id") % 3 + 1).cast("int"))
-    counted = items.groupBy(category.alias("c")).agg(F.count("*").alias("n"), F.count_if(F.abs("yaw") >= 50).alias("p"), F.collect_set("w").alias("s"))
-    rows = F.array(F.struct(F.lit("category").alias("kind"), F.col("c").alias("name"), F.col("n").alias("n")))
-    total = counted.agg(F.sum("p").alias("p"), F.size(F.array_distinct(F.flatten(F.collect_list("s")))).cast("long").alias("s"))
-    rest = F.array(F.struct(F.lit("profile").alias("kind"), F.lit("profile").alias("name"), F.col("p").alias("n")), F.struct(F.lit("scene").alias("kind"), F.lit("distinct").alias("name"), F.col("s").alias("n")))
-    return counted.select(F.inline(rows)).unionByName(total.select(F.inline(rest)))
+    counted = items.groupBy(category.alias("c")).agg(F.count("*").alias("n"), F.count_if(F.abs("yaw") >= 50).alias("p"))
+    rows = counted.select(F.lit("category").alias("kind"), F.col("c").alias("name"), "n")
+    profiles = counted.agg(F.sum("p").alias("n")).select(F.lit("profile").alias("kind"), F.lit("profile").alias("name"), "n")
+    return rows.unionByName(profiles).unionByName(items.agg(F.countDistinct("w").alias("n")).select(F.lit("scene").alias("kind"), F.lit("distinct").alias("name"), "n"))

@@ -55,7 +55,9 @@ def _gated(items: DataFrame) -> DataFrame:
 def _ranked(items: DataFrame) -> DataFrame:
     caps = F.create_map(*[F.lit(x) for c, _, most in selection.QUOTAS if c != "profile" for x in (c, most)])
     order = Window.partitionBy("category").orderBy(F.desc("quality"), "face_fd", "path")
-    return _gated(items).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= F.element_at(caps, F.col("category")))
+    ranked = _gated(items).withColumn("rank", F.row_number().over(order))
+    largest = max(most for c, _, most in selection.QUOTAS if c != "profile")  # a plain number, so that each task hands on no more than so many a category
+    return ranked.where(F.col("rank") <= largest).where(F.col("rank") <= F.element_at(caps, F.col("category")))
 
 
 RANKED = f"SELECT *, row_number() OVER (PARTITION BY category ORDER BY quality DESC, face_fd, path) AS rank FROM (SELECT *, {RATIO} AS ratio, {CATEGORY} AS category, {Q} AS quality FROM v_item WHERE {GATE}) QUALIFY rank <= CASE category WHEN 'portrait' THEN 100 WHEN 'closeup' THEN 60 WHEN 'cowboy' THEN 35 ELSE 20 END"
@@ -112,12 +114,7 @@ def picked_semi(items):
 
 @query("SELECT path, CAST(regexp_extract(path, '(?i)\\b(?:frame|f|img|i)[_\\-]?\\s*([0-9]{3,})', 1) AS DOUBLE) AS ts FROM v_item")
 def ts_from_name(items):
-    """Time from a file name: seconds first, then a frame number, then the last long run of digits."""
-    seconds = F.regexp_extract("path", r"(?i)(?:t|time)[_\-:]?(\d+(?:\.\d+)?)\s*s", 1)
-    frame = F.regexp_extract("path", r"(?i)\b(?:frame|f|img|i)[_\-]?\s*(\d{3,})(?!\d)", 1)
-    last = F.element_at(F.concat(F.array(F.lit("")), F.regexp_extract_all("path", F.lit(r"(\d{3,})"))), -1)
-    found = [F.when(x != "", x) for x in (seconds, frame, last)]
-    return items.select("path", F.coalesce(*found).cast("double").alias("ts"))
+    return items.select("path", scores.time_from_name(F.col("path")).alias("ts"))
 
 
 @query("SELECT frame, id, x1c AS x1, y1c AS y1, x2c AS x2, y2c AS y2 FROM (SELECT *, greatest(0e0, least(479e0, x1)) AS x1c, greatest(0e0, least(269e0, y1)) AS y1c, greatest(0e0, least(479e0, x2)) AS x2c, greatest(0e0, least(269e0, y2)) AS y2c FROM v_person) WHERE NOT (x2c <= x1c + 2 OR y2c <= y1c + 2)", "v_person")
@@ -280,12 +277,12 @@ def transfer_curves(items):
 
 
 def queries() -> dict:
-    from . import capture  # noqa: F401  registers more queries
+    from . import capture, detail, flow  # noqa: F401  register more queries
 
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import capture  # noqa: F401
+    from . import capture, detail, flow  # noqa: F401
 
     return dict(ORACLE)
