@@ -10,8 +10,8 @@ its host's winning path, or from its own best container where it has none there.
 Cases: a null or empty page has an empty text. A page without a host votes among
 those without. Ties between paths go to the larger share of prose, then to the
 alphabet. Unclosed and stray tags, unclosed comments and quotes are read to their
-end. Long pages are read whole, in linear time. Repeated rows each get a row and a
-vote. Extra columns pass through `keep` only; one that bears the
+end. Long and deeply nested pages are read whole, in time and memory linear in their
+length. Repeated rows each get a row and a vote. An empty table gives an empty result. Extra columns pass through `keep` only; one that bears the
 name of a result column comes back with "_input" appended.
 """
 
@@ -35,15 +35,19 @@ VOID = set("area base br col embed hr img input link meta param source track wbr
 RAW = {"script", "style", "noscript", "template", "iframe", "textarea", "title", "xmp", "noembed", "noframes"}
 DROPPED = set("aside button canvas datalist dialog footer form head header iframe input menu nav noscript object script search select style svg template textarea title".split())
 #: Words of a class or id that mark what is not the article.
-DROPPED_WORDS = set("ad ads adsense advert advertisement advertising alert aside banner breadcrumb breadcrumbs comment comments consent cookie cookies copyright disclaimer disqus footer form gdpr header login masthead menu modal nav navbar navigation newsletter notice notices overlay pager pagination popup promo promoted promotion recommended related reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription toolbar widget".split())
+DROPPED_WORDS = set("ad adbox ads adsbygoogle adsense adslot advert advertisement advertising alert aside banner breadcrumb breadcrumbs comment comments consent cookie cookies copyright disclaimer disqus footer form gdpr header login masthead menu modal nav navbar navigation newsletter notice notices overlay pager pagination popup promo promoted promotion recommended related reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription toolbar widget".split())
 #: Names of which these are the first word say what an element has or lacks, not what it is.
 MODIFIERS = {"has", "with", "no", "without", "is", "not"}
 #: Words of an element that is not the article even if it holds most of the page's prose.
-NEVER = set("ad ads adsense advert advertisement advertising breadcrumb breadcrumbs comment comments consent cookie cookies disqus gdpr menu nav navbar navigation pager pagination reply respond".split())
+NEVER = set("ad adbox ads adsbygoogle adsense adslot advert advertisement advertising breadcrumb breadcrumbs comment comments consent cookie cookies disqus gdpr menu nav navbar navigation pager pagination reply respond".split())
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "alert", "alertdialog", "dialog", "form", "menu", "menubar", "toolbar"}
-#: Words that leave such a mark as it is, as in related-posts.
-FURNITURE = set("area bar block box form icons links list more new news our post posts articles section site stories this top us".split())
+#: Words that leave such a mark as it is, as in related-posts; any other word, as in related-work, makes the name say something else.
+FURNITURE = set("area articles bar block body bottom box button buttons card col column container content desktop extra fixed float form global google group holder icon icons inline inner item items left link links list lower main mobile module more new news next our outer page panel post posts prev primary region right row secondary section site slot small sticky stories sub text this title top trail unit upper us user view widgets wrap wrapper zone".split())
 OWN_HEADER = {"article", "post", "entry", "content", "story"}
+#: Whose descendants' headers hold the article's title.
+HOLDS_HEADER = OWN_HEADER - {"content"}
+#: Between the steps of a path; a step has no blank.
+STEP = " > "
 #: An element of the key closes an open one of the value (fixed values of HTML).
 IMPLIED = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 CLOSES_P = BLOCKS - {"html", "body", "td", "th", "tr", "tbody", "thead", "tfoot", "legend", "summary"}
@@ -53,8 +57,16 @@ _ATTRIBUTE = re.compile(r"""([^\s=/"']+)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""")
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 
+def marks(name: str) -> set[str]:
+    """The words of a class or id that mark what is not the article, if all its words belong to such names; else none."""
+    words = [w.lower() for w in _WORDS.findall(name) if len(w) > 1]
+    if words[:1] and words[0] in MODIFIERS or set(words) - DROPPED_WORDS - FURNITURE:
+        return set()
+    return set(words) & DROPPED_WORDS
+
+
 class Page:
-    """Elements (parent, tag, path) and blocks (element, text, characters inside links) of a page.
+    """Elements (parent, tag, last step of the path, depth) and blocks (element, text, characters inside links) of a page.
 
     An element marked by a word that holds more than half of the prose is the article after all: the page is read again with it.
     """
@@ -71,12 +83,13 @@ class Page:
 
     def _start(self, html: str) -> None:
         self._opened, self._lost, self._never = 0, {}, set()
-        self.parent, self.tag, self.path = [-1], [""], [""]
+        self.parent, self.tag, self.step, self.depth = [-1], [""], [""], [0]
         self.blocks: list[tuple[int, str, int]] = []
         self._text: list[str] = []
         self._linked: list[str] = []
-        #: Tag, block element, dropped: 0 if not, -1 if for its tag or role, else the number of the element whose words say so.
-        self._stack: list[tuple[str, int, int]] = [("", 0, 0)]
+        #: Tag, block element, dropped (0 if not, -1 if for its tag or role, else the number of the element whose words say so), in a link, where headers hold titles.
+        self._stack: list[tuple[str, int, int, bool, bool]] = [("", 0, 0, False, False)]
+        self._held: dict[str, int] = {}  # open elements by tag
         self._read(html)
 
     def _end_block(self) -> None:
@@ -86,9 +99,8 @@ class Page:
         self._text, self._linked = [], []
 
     def _add(self, text: str) -> None:
-        dropped = self._stack[-1][2]
+        _, _, dropped, linked, _ = self._stack[-1]
         if text and dropped >= 0:
-            linked = any(tag == "a" for tag, _, _ in self._stack[-4:])
             if dropped:
                 self._lost[dropped] += 0 if linked else len(" ".join(text.split()))
                 return
@@ -96,35 +108,21 @@ class Page:
             if linked:
                 self._linked.append(text)
 
-    @staticmethod
-    def _of_title(tag: str, name: str, after: str) -> bool:
-        """Whether an id is made from a title: a heading's, or one of several words that says what the heading right after it says."""
-        if re.fullmatch("h[1-6]", tag):
-            return True
-        words = {w.lower() for w in _WORDS.findall(name)}
-        if not words & DROPPED_WORDS or not words - DROPPED_WORDS - FURNITURE:
-            return False
-        title = re.match(r"\s*<h([1-6])\b[^>]*>(.{0,400}?)</h\1", after, re.S | re.I)
-        plain = lambda t: "".join(c for c in unescape(re.sub("<[^>]*>", "", t)).lower() if c.isalnum())
-        return bool(title) and plain(title[2]) == plain(name)
-
-    def _open(self, tag: str, attributes: str, after: str = "") -> None:
+    def _open(self, tag: str, attributes: str) -> None:
         if tag in CLOSES_P:
             self._close("p", BLOCKS - {"p"})
         if tag in IMPLIED:
             for old in IMPLIED[tag]:
                 self._close(old, {"ul", "ol", "table", "dl", "select"})
-        _, element, dropped = self._stack[-1]
+        _, element, dropped, linked, titled = self._stack[-1]
         known = {k.lower(): v.strip("\"'") for k, v in _ATTRIBUTE.findall(attributes)} if attributes.strip() else {}
         names = f"{known.get('class', '')} {known.get('id', '')}".split()
         self._opened += 1
         if dropped >= 0 and tag not in ("html", "body", "main"):
-            told = [n for n in names if _WORDS.findall(n)[:1] and _WORDS.findall(n)[0].lower() not in MODIFIERS]
-            if known.get("id") and self._of_title(tag, known["id"], after):
-                told = [n for n in told if n not in known["id"].split()]
-            words = {w.lower() for n in told for w in _WORDS.findall(n)}
-            inside = any(t == "article" for t, _, _ in self._stack) or bool(words & OWN_HEADER)
-            marked = words & DROPPED_WORDS - ({"header"} if inside else set())
+            heading = re.fullmatch("h[1-6]", tag)  # its id is made from the title
+            told = known.get("class", "").split() if heading else names
+            inside = titled or any(n.lower() in OWN_HEADER for n in names)
+            marked = set().union(*map(marks, told)) - ({"header"} if inside else set())
             surely = bool(tag in DROPPED and not (tag == "header" and inside) or known.get("role", "").lower() in ROLES or known.get("aria-hidden") == "true" or re.search(r"(?:^|\s)hidden(?=[\s=/]|$)", attributes) or "display:none" in known.get("style", "").replace(" ", "").lower())
             if surely:
                 dropped = -1
@@ -133,23 +131,30 @@ class Page:
                 self._lost[dropped] = 0
                 if marked & NEVER:
                     self._never.add(dropped)
+        titled = titled or tag == "article" or any(n.lower() in HOLDS_HEADER for n in names)
         if tag in BLOCKS:
             self._end_block()
             self.parent.append(element)
             self.tag.append(tag)
-            self.path.append(f"{self.path[element]}/{'.'.join([tag, *sorted(re.sub('[0-9]+', '#', n) for n in names)])}")
-            element = len(self.path) - 1
+            self.step.append(".".join([tag, *sorted(re.sub("[0-9]+", "#", n) for n in names)]))
+            self.depth.append(self.depth[element] + 1)
+            element = len(self.step) - 1
         elif tag == "br":
             self._add(" ")
         if tag not in VOID:
-            self._stack.append((tag, element, dropped))
+            self._stack.append((tag, element, dropped, linked or tag == "a", titled))
+            self._held[tag] = self._held.get(tag, 0) + 1
 
     def _close(self, tag: str, scope: set[str]) -> None:
         """Closes the innermost open element of that tag, with all inside it, unless a tag of scope stands between."""
+        if not self._held.get(tag):
+            return
         for i in range(len(self._stack) - 1, 0, -1):
             if self._stack[i][0] == tag:
-                if any(t in BLOCKS for t, _, _ in self._stack[i:]):
+                if any(x[0] in BLOCKS for x in self._stack[i:]):
                     self._end_block()
+                for x in self._stack[i:]:
+                    self._held[x[0]] -= 1
                 del self._stack[i:]
                 return
             if self._stack[i][0] in scope:
@@ -177,33 +182,49 @@ class Page:
                     at = len(html) if end < 0 else end
                     self._open(tag, " hidden")
                 else:
-                    self._open(tag, m[3], html[at : at + 1000] if " id" in m[3] else "")
+                    self._open(tag, m[3])
         self._add(html[at:])
         self._end_block()
 
     def best(self) -> tuple[int, float]:
         """The container of the page's prose, and its share: the outermost article, else main, that holds at least 70 %, or the deepest container that holds all of it."""
-        held, total = [0] * len(self.path), 0
+        held, total = [0] * len(self.step), 0
         for element, text, linked in self.blocks:
-            prose = max(0, len(text) - linked)
-            total += prose
-            while element >= 0:
-                held[element] += prose
-                element = self.parent[element]
+            held[element] += max(0, len(text) - linked)
+            total += max(0, len(text) - linked)
+        for i in range(len(held) - 1, 0, -1):  # a parent comes before its children
+            held[self.parent[i]] += held[i]
         if not total:
             return 0, 0.0
         for tag in ("article", "main"):
             named = [i for i, n in enumerate(held) if self.tag[i] == tag and 10 * n >= 7 * total]
             if named:
                 return named[0], held[named[0]] / total
-        best = max((i for i, n in enumerate(held) if n == total and (i == 0 or self.tag[i] in CONTAINERS)), key=lambda i: (self.path[i].count("/"), -i))
+        best = max((i for i, n in enumerate(held) if n == total and (i == 0 or self.tag[i] in CONTAINERS)), key=lambda i: (self.depth[i], -i))
         return best, 1.0
 
+    def path(self, element: int) -> str:
+        """The generalised tags and classes from the root to an element; digits in names are one and the same."""
+        steps = []
+        while element > 0:
+            steps.append(self.step[element])
+            element = self.parent[element]
+        return STEP.join(reversed(steps))
+
+    def on(self, path: str) -> set[int]:
+        """The elements on that path."""
+        steps, met, found = path.split(STEP), [True] + [False] * (len(self.step) - 1), set()
+        for i in range(1, len(self.step)):
+            met[i] = met[self.parent[i]] and self.depth[i] <= len(steps) and self.step[i] == steps[self.depth[i] - 1]
+            if met[i] and self.depth[i] == len(steps):
+                found.add(i)
+        return found
+
     def text(self, path: str | None) -> str:
         """The blocks inside the containers on that path, or inside the best one."""
-        wanted = {i for i, p in enumerate(self.path) if p == path} or {self.best()[0]}
-        inside = [False] * len(self.path)
-        for i in range(len(self.path)):
+        wanted = path and self.on(path) or {self.best()[0]}
+        inside = [False] * len(self.step)
+        for i in range(len(self.step)):
             inside[i] = i in wanted or (self.parent[i] >= 0 and inside[self.parent[i]])
         return "\n\n".join(t for e, t, _ in self.blocks if inside[e])
 
@@ -220,7 +241,7 @@ def extract(pages: DataFrame, keep: list[str], html: str = "html", url: str = "u
                 page = Page(body)
                 best, share = page.best()
                 if best:
-                    rows.append((h, page.path[best], share))
+                    rows.append((h, page.path(best), share))
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.float64())], ["host", "path", "share"])
 
     counted = pages.select(host.alias("host"), F.col(html).alias("html")).where("html IS NOT NULL").mapInArrow(votes, "host string, path string, share double").groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("share"), 6).alias("share"))
