@@ -172,15 +172,19 @@ def test_packing_round_trip(docs, empty):
     assert packing.pack(empty, ["doc_id"], path).count() == 0
 
 
-def test_hamming_equals_brute_force(spark):
+@pytest.mark.parametrize("may_scan", [True, False])
+def test_hamming_equals_brute_force(spark, may_scan):
     rng = np.random.default_rng(5)
-    rows = [(i, [float(x) for x in rng.normal(size=32)]) for i in range(300)] + [(1000 + i, [1.0] * 32) for i in range(40)] + [(2000, None), (None, [1.0] * 32), (3000, [1.0] * 16)]
+    rows = [(i, [float(x) for x in rng.normal(size=32)]) for i in range(300)] + [(1000 + i, [1.0] * 32) for i in range(40)] + [(2000, None), (None, [1.0] * 32), (3000, [1.0] * 16), (4000, [])]
+    rows += [(i, rows[i][1]) for i in (0, 0, 0, 7)]
     codes = hamming_topk.sign_codes(spark.createDataFrame(rows, "id long, v array<double>"), "id", "v")
-    got = hamming_topk.top_k(codes, codes.where("id % 100 = 0"), hamming_topk.Spec(k=5, block_rows=100, block_queries=3)).toPandas()
-    bits = {i: np.array(v) > 0 for i, v in rows if i is not None and v}
-    for q in (0, 100, 200, 1000):
-        want = sorted((int((bits[q] != b).sum()), i) for i, b in bits.items() if i != q and len(b) == 32)[:5]
+    got = hamming_topk.top_k(codes, codes.where("id % 100 = 0"), hamming_topk.Spec(k=5, block_queries=3, may_scan=may_scan)).toPandas()
+    bits = [(i, np.array(v) > 0) for i, v in rows if i is not None and v is not None]
+    for q in (0, 100, 200, 1000, 3000, 4000):
+        mine = next(b for i, b in bits if i == q)
+        want = sorted((int((mine != b).sum()), i) for i, b in bits if i != q and len(b) == len(mine))[:5]
         assert [(r.distance, r.id) for r in got[got.query_id == q].sort_values("rank").itertuples()] == want
+    assert hamming_topk.top_k(codes.where("false"), codes).count() == 0 and hamming_topk.top_k(codes, codes.where("false")).count() == 0
 
 
 @pytest.mark.parametrize("copies", [2, 6, 30])
