@@ -70,13 +70,13 @@ def out_of_place(order: np.ndarray, profiles: Profiles) -> np.ndarray:
 
 
 def fit(docs: DataFrame, size: int = 300, docs_per_language: int = 2000, text: str = "text", lang: str = "lang", key: str = "doc_id") -> Profiles:
-    """Learns from all given rows with a language, or from about docs_per_language of each language, picked by a hash of the key."""
+    """Learns from all given rows with a language, or from about docs_per_language of each language, picked by a hash of key and text."""
     labelled = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
     found = {r[lang]: r["n"] for r in labelled.groupBy(lang).agg(F.count(F.lit(1)).alias("n")).collect()}
     if not found:
         return Profiles([], np.zeros(0, np.int64), np.zeros((0, 0), np.int64), size)
     share = F.create_map(*[F.lit(x) for k, n in found.items() for x in (k, min(1.0, docs_per_language / n))])
-    chosen = labelled.where(F.pmod(F.xxhash64(F.col(key)), F.lit(1_000_000)) < F.element_at(share, F.col(lang)) * 1_000_000)
+    chosen = labelled.where(F.pmod(F.xxhash64(F.col(key), F.col(text)), F.lit(1_000_000)) < F.element_at(share, F.col(lang)) * 1_000_000)
 
     bounded_batches(docs.sparkSession)
 

@@ -9,7 +9,8 @@ concentration bounds like independent permutations but in time |set| + t log t.
 
 Links are found among classes of equal sets. Band buckets are walked in order of set
 size: each member meets its bucket's first and the `lags` before it, which settles
-all pairs of small buckets. In larger ones that hold several components the most
+all pairs of small buckets; large buckets are dealt into pieces, which are walked by
+many tasks and tied by the bucket's first. In larger ones that hold several components the most
 linked members are held against all others. What is still open is settled between
 blocks of members, whose sets meet as matrices in a task; so no bucket emits all
 pairs, and no link is lost. Every link is confirmed on full sets; components follow
@@ -50,6 +51,8 @@ class Spec:
     lags: int = 4
     #: Members of a large bucket, most linked first, that are held against all of it.
     leaders: int = 4
+    #: Members of a bucket that one task walks; a larger bucket is dealt into pieces.
+    piece: int = 1024
     #: Most documents whose keys are broadcast to fetch their texts; more are joined by shuffle.
     broadcast_rows: int = 1_000_000
     #: Members of a block, if buckets stay open after that.
@@ -162,11 +165,13 @@ def _close(a, b, spec: Spec):
 def links(reps: DataFrame, docs: DataFrame, spec: Spec) -> DataFrame:
     """Edges (a, b) that join the classes as their confirmed links do; reps: rep, n, keys."""
     rows = reps.select("rep", "n", F.explode("keys").alias("key"))
-    order = Window.partitionBy("key").orderBy("n", "rep")
+    held = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("n", "rep")).alias("first")).where("size > 1")
+    piece = F.when(F.col("size") > spec.piece, F.pmod(F.xxhash64("rep"), F.ceil(F.col("size") / spec.piece))).otherwise(F.lit(0).cast("long"))
+    dealt = rows.join(held, "key").withColumn("piece", piece)
+    order = Window.partitionBy("key", "piece").orderBy("n", "rep")
     met = [F.struct(F.lag("rep", k).over(order).alias("rep"), F.lag("n", k).over(order).alias("n")) for k in range(1, spec.lags + 1)]
-    met.append(F.struct(F.first("rep").over(order).alias("rep"), F.first("n").over(order).alias("n")))
-    walked = rows.withColumn("met", F.array(*met)).withColumn("size", F.count(F.lit(1)).over(Window.partitionBy("key")))
-    walked = materialise(walked.where("size > 1").select("key", "rep", "n", "size", F.filter("met", lambda m: m["rep"].isNotNull() & (m["rep"] != F.col("rep")) & _close(m["n"], F.col("n"), spec)).alias("met")), "buckets")
+    walked = dealt.withColumn("met", F.array(*met, F.struct("first.rep", "first.n")))
+    walked = materialise(walked.select("key", "rep", "n", "size", F.filter("met", lambda m: m["rep"].isNotNull() & (m["rep"] != F.col("rep")) & _close(m["n"], F.col("n"), spec)).alias("met")), "buckets")
     pairs = walked.select("rep", F.explode("met.rep").alias("other")).select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b"))
     asked = walked.where((F.size("met") > 0) | (F.col("size") > spec.lags + 1)).select(F.explode(F.concat("met.rep", F.array("rep"))).alias("id"))
     asked = materialise(asked.distinct(), "asked")
@@ -175,20 +180,21 @@ def links(reps: DataFrame, docs: DataFrame, spec: Spec) -> DataFrame:
     degrees = materialise(found.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count(F.lit(1)).alias("degree")), "degrees")
     large = walked.where(F.col("size") > spec.lags + 1).select("key", "rep", "n").join(degrees, "rep", "left").na.fill(0, ["degree"])
     found, members = still_open(found, large)
-    ahead = members.where(F.col("place") <= spec.leaders).groupBy("key").agg(F.collect_list(F.struct("rep", "n", "root", "place")).alias("ahead"))  # at most `leaders` each
-    pairs = members.join(ahead, "key").select("rep", F.explode(F.filter("ahead", lambda m: (m["place"] < F.col("place")) & (m["root"] != F.col("root")) & _close(m["n"], F.col("n"), spec))["rep"]).alias("other"))
+    place = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("degree"), F.xxhash64("rep"), "rep"))
+    ahead = members.withColumn("place", place).where(F.col("place") <= spec.leaders).groupBy("key").agg(F.collect_list(F.struct("rep", "n", "root", "place")).alias("ahead"))  # each task keeps `leaders` of a bucket
+    met = materialise(members.join(ahead, "key").withColumn("own", F.get(F.filter("ahead", lambda m: m["rep"] == F.col("rep")), F.lit(0))["place"]), "led")
+    pairs = met.select("rep", F.explode(F.filter("ahead", lambda m: (F.col("own").isNull() | (m["place"] < F.col("own"))) & (m["root"] != F.col("root")) & _close(m["n"], F.col("n"), spec))["rep"]).alias("other"))
     found = found.unionByName(confirmed(pairs.select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b")), sets, spec))
-    found, members = still_open(found, members.where(F.col("place") > spec.leaders).drop("root", "place"))
+    found, members = still_open(found, met.where("own IS NULL").select("key", "rep", "n", "degree"))
     return found if members.isEmpty() else found.unionByName(between_blocks(members, sets, spec))
 
 
 def still_open(found: DataFrame, large: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Links so far as stars, and the members of buckets that hold several components, with root and place; most linked members come first."""
+    """Links so far as stars, and the members of buckets that hold several components, with root."""
     stars = components(found).select(F.col("node").alias("rep"), "root")
     members = large.join(stars, "rep", "left").withColumn("root", F.coalesce("root", "rep"))
     split = members.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-    place = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("degree"), F.xxhash64("rep"), "rep"))
-    return stars.select(F.col("rep").alias("a"), F.col("root").alias("b")), materialise(members.join(split, "key", "left_semi").withColumn("place", place), "large")
+    return stars.select(F.col("rep").alias("a"), F.col("root").alias("b")), materialise(members.join(split, "key", "left_semi"), "large")
 
 
 def between_blocks(members: DataFrame, sets: DataFrame, spec: Spec) -> DataFrame:

@@ -27,10 +27,13 @@ from pyspark.sql import functions as F
 
 from .shared import SPACES, kept_names, let, table
 
-#: Phrases of lines that belong to the site, not to the text (fixed values).
+#: Phrases of lines that belong to the site, not to the text, in English, German, French and Spanish (fixed values).
 BOILERPLATE = (
     "(?i)(all rights reserved|terms of (use|service)|privacy policy|cookie (policy|settings|consent)|accept (all )?cookies|"
-    "enable javascript|click here|read more|sign (in|up)|log ?in|subscribe (now|to)|share (this|on)|skip to content|lorem ipsum)"
+    "enable javascript|click here|read more|sign (in|up)|log ?in|subscribe (now|to)|share (this|on)|skip to content|lorem ipsum|"
+    "alle rechte vorbehalten|nutzungsbedingungen|datenschutz(erkl[äÄ]rung|richtlinie)|cookies? (akzeptieren|zulassen)|weiterlesen|hier klicken|jetzt (anmelden|abonnieren)|"
+    "tous droits r[éÉ]serv[éÉ]s|conditions d.utilisation|politique de confidentialit[éÉ]|accepter (les )?cookies|lire la suite|cliquez ici|s.inscrire|se connecter|"
+    "todos los derechos reservados|t[éÉ]rminos (de uso|del servicio)|pol[íÍ]tica de privacidad|aceptar (las )?cookies|leer m[áÁ]s|haz clic aqu[íÍ]|iniciar sesi[óÓ]n|suscr[íÍ]bete)"
 )
 #: A line that ends a sentence, at its end; a line that goes on in lower case, at its start.
 CLOSED = r"[.!?…:;][\x22'”»)]{0,3}[\x20\x09\x0B-\x0D]{0,3}"
@@ -66,6 +69,10 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACES), lambda w: w != "")
 
 
+def word_count(line: Column) -> Column:
+    return F.regexp_count(line, F.lit(r"[^\x20\x09-\x0D]+"))
+
+
 def repeat_words(words: Column) -> Column:
     """Words inside 3-word windows that occur at least twice.
 
@@ -95,7 +102,7 @@ def repeat_words(words: Column) -> Column:
 
 
 def line_fails(line: Column, carried: Column, rules: LineRules) -> Column:
-    """The words of a line are counted by its spaces. carried: whether its neighbours continue its sentence."""
+    """carried: whether the line's neighbours continue its sentence."""
 
     def judged(n: Column) -> Column:
         often = lambda pattern, most: F.rlike(line, F.lit(pattern)) & (F.regexp_count(line, F.lit(pattern)) * 100 > n * most)
@@ -105,7 +112,7 @@ def line_fails(line: Column, carried: Column, rules: LineRules) -> Column:
         boilerplate = (n <= rules.boilerplate_words) & F.rlike(line, F.lit(BOILERPLATE))
         return unended | often(rules.marks, rules.most_marks) | often(r"[!?]{2,}", rules.most_shouts) | navigation | boilerplate
 
-    return let(F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) + 1, judged)
+    return let(word_count(line), judged)
 
 
 def carried(lines: Column, words: int) -> Column:
@@ -114,7 +121,7 @@ def carried(lines: Column, words: int) -> Column:
     def judged(seen: Column) -> Column:
         lower = lambda x: F.coalesce(F.rlike(x, F.lit(LOWER)), F.lit(False))
 
-        long = lambda x: F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit(""))) + 1 >= words
+        long = lambda x: word_count(x) >= words
 
         def one(x: Column, i: Column) -> Column:
             ahead = (i < F.size(lines) - 1) & long(x) & (2 * F.length(x) >= seen["longest"]) & (seen["closed"] | lower(F.get(lines, i + 1)))
@@ -194,13 +201,13 @@ hits AS (SELECT rid, i, count(*) OVER (PARTITION BY rid, k) AS n FROM keyed),
 marks AS (SELECT DISTINCT rid, unnest([i, i + 1, i + 2]) AS p FROM hits WHERE n > 1),
 rep AS (SELECT rid, count(*) AS n FROM marks GROUP BY rid),
 dl AS (SELECT DISTINCT rid, unnest(ls) AS x FROM w),
-lf AS (SELECT rid, length(x) AS n_chars, length(x) - length(replace(x, ' ', '')) + 1 AS n, x FROM dl),
+lf AS (SELECT rid, length(x) AS n_chars, len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')) AS n, x FROM dl),
 cl AS (SELECT rid, sum(n_chars) FILTER (WHERE NOT (
     (n < 12 AND NOT regexp_matches(x, '[.!?\x{2026}:;][\x22''\x{201d}\x{bb})]*([\x20\x09-\x0D]|$)'))
     OR len(regexp_extract_all(x, '[#*$%&|<>{}~^=]')) * 100 > n * 15
     OR len(regexp_extract_all(x, '[!?]{2,}')) * 100 > n * 15
     OR len(regexp_extract_all(x, '[|\x{bb}\x{203a}\x{b7}\x{2022}>]')) >= 3
-    OR (n <= 12 AND regexp_matches(x, '(?i)(all rights reserved|terms of (use|service)|privacy policy|cookie (policy|settings|consent)|accept (all )?cookies|enable javascript|click here|read more|sign (in|up)|log ?in|subscribe (now|to)|share (this|on)|skip to content|lorem ipsum)'))
+    OR (n <= 12 AND regexp_matches(x, '(?i)(all rights reserved|terms of (use|service)|privacy policy|cookie (policy|settings|consent)|accept (all )?cookies|enable javascript|click here|read more|sign (in|up)|log ?in|subscribe (now|to)|share (this|on)|skip to content|lorem ipsum|alle rechte vorbehalten|nutzungsbedingungen|datenschutz(erkl[äÄ]rung|richtlinie)|cookies? (akzeptieren|zulassen)|weiterlesen|hier klicken|jetzt (anmelden|abonnieren)|tous droits r[éÉ]serv[éÉ]s|conditions d.utilisation|politique de confidentialit[éÉ]|accepter (les )?cookies|lire la suite|cliquez ici|s.inscrire|se connecter|todos los derechos reservados|t[éÉ]rminos (de uso|del servicio)|pol[íÍ]tica de privacidad|aceptar (las )?cookies|leer m[áÁ]s|haz clic aqu[íÍ]|iniciar sesi[óÓ]n|suscr[íÍ]bete)'))
   )) AS clean FROM lf GROUP BY rid),
 m AS (SELECT w.doc_id, CAST(len(w.w) AS BIGINT) AS n_words, CAST(length(list_aggregate(w.w, 'string_agg', '')) AS BIGINT) AS word_chars,
   CAST(len(regexp_extract_all(w.t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,

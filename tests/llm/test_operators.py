@@ -124,7 +124,7 @@ def test_near_dedup_equals_brute_force(spark, docs, empty):
                 own[at] = "changed" + str(rng.integers(3))
             rows.append((len(rows), " ".join(own)))
     rows += [(100, None), (101, ""), (102, "one two"), (103, "One  two")]
-    spec = near_dedup.Spec(shingle=4, lags=1, leaders=1, block=4)  # small, so that blocks have work
+    spec = near_dedup.Spec(shingle=4, lags=1, leaders=1, block=4, piece=3)  # small, so that pieces and blocks have work
     got = {r.id: r.component_id for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), spec).collect()}
     assert got == brute_components(rows, 4)
     found = near_dedup.near_duplicates(docs).collect()
