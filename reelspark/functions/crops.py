@@ -115,6 +115,11 @@ def detector_sizes(wanted: Column, longest: Column, cap: int = 2048) -> dict[str
     return {"plain": plain, "quarter": turned(0.75), "half": turned(0.67)}
 
 
+def kept_share(width: Column, height: Column, ratio: float) -> Column:
+    """The share of a crop grown to a ratio that the box itself fills."""
+    return F.when(width / height < ratio, width / (height * ratio)).otherwise(height * ratio / width)
+
+
 def aspect(text: Column) -> tuple[Column, Column]:
     """Width and height of a ratio given as "W:H"; nulls for what is none."""
     parts = F.split(text, ":")

@@ -31,14 +31,24 @@ def cosine_basis(n: int) -> np.ndarray:
     return basis
 
 
-def block_mean(gray: np.ndarray, side: int = SIDE) -> np.ndarray:
-    """The picture shrunk or stretched to side x side by area averages."""
-    def weights(n: int) -> np.ndarray:
+def block_mean(gray: np.ndarray, side: int = SIDE, width: int | None = None) -> np.ndarray:
+    """The picture shrunk or stretched to side x side, or to a height and a width, by area averages."""
+
+    def weights(n: int, side: int) -> np.ndarray:
         edges = np.arange(side + 1) * n / side
         low, high = np.maximum(edges[:-1, None], np.arange(n)), np.minimum(edges[1:, None], np.arange(n) + 1)
         return np.clip(high - low, 0, None) * side / n
 
-    return weights(gray.shape[0]) @ gray.astype(np.float64) @ weights(gray.shape[1]).T
+    return weights(gray.shape[0], side) @ gray.astype(np.float64) @ weights(gray.shape[1], width or side).T
+
+
+def sharpness(gray: np.ndarray, most: int = 256) -> float:
+    """Edge energy of the picture with its longest side at most `most`, brought to 0..1."""
+    longest = max(gray.shape)
+    if longest > most:
+        height, width = (max(1, round(n * most / longest)) for n in gray.shape)
+        gray = np.rint(block_mean(gray, height, width))
+    return float(np.tanh(np.log1p(laplacian_variance(gray) / (float(gray.mean()) ** 2 + 1e-6))))
 
 
 def perceptual_hash(gray: np.ndarray, clear_first: bool = True) -> int:
@@ -76,8 +86,7 @@ def measure(pictures: DataFrame, keep: list[str], pixels: str = "pixels", width:
                     found.append((None,) * 6)
                     continue
                 gray = np.frombuffer(raw, np.uint8, w * h).reshape(h, w)
-                sharp = float(np.tanh(np.log1p(laplacian_variance(gray) / (float(gray.mean()) ** 2 + 1e-6))))
-                found.append((sharp, perceptual_hash(gray), *content_box(gray)))
+                found.append((sharpness(gray), perceptual_hash(gray), *content_box(gray)))
             made = [pa.array(c, t) for c, t in zip(zip(*found), [pa.float64(), pa.int64(), *[pa.int32()] * 4])] if found else [pa.array([], t) for t in [pa.float64(), pa.int64(), *[pa.int32()] * 4]]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-3], *made], [*keep, "sharpness", "phash", "left", "top", "right", "bottom"])
 

@@ -56,6 +56,11 @@ def cosine_distance(a: Column, b: Column, eps: float = 1e-9) -> Column:
     return 1 - cosine(a, b, eps)
 
 
+def plain_distance(a: Column, b: Column) -> Column:
+    """One minus the cosine without a floor under the norms; null where a vector has no length."""
+    return 1 - dot(a, b) / F.nullif(norm(a) * norm(b), F.lit(0.0))
+
+
 def hash_similarity(a: Column, b: Column, bits: int = 64) -> Column:
     return 1 - hamming(a, b) / bits
 

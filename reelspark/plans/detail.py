@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import color, crops, geometry, images, probe, scores, vectors
 from ..operators import greedy
 from .capture import _GRAY, _gray
-from .catalogue import CATEGORY, DOT, FIXED, HASH, RANKED, RATIO, Q, _classed, _fixed, _ranked, query
+from .catalogue import CATEGORY, DOT, FIXED, HASH, IOU, RANKED, RATIO, Q, _classed, _fixed, _ranked, query
 
 _A, _B = (f"sqrt(list_dot_product({t}.embedding::DOUBLE[], {t}.embedding::DOUBLE[]))" for t in "ab")
 
@@ -440,3 +440,39 @@ def lock_region(frames):
     w = Window.partitionBy("video_id").orderBy("frame_idx").rowsBetween(Window.unboundedPreceding, -1)
     last = F.max(F.when(F.col("fd") <= 0.45, F.col("frame_idx"))).over(w)
     return frames.withColumn("last", last).select("video_id", "frame_idx", "id", F.when(F.col("frame_idx") - F.col("last") <= 3, F.col("last")).alias("locked_on"))
+
+
+@query(f"SELECT a.id, CASE WHEN a.id % 6 <> 0 THEN {FIXED.format(f'1 - {DOT} / ({_A} * {_B})')} END AS distance FROM v_vec a JOIN v_vec b ON b.id = 7", "v_vec")
+def body_distance(vecs):
+    """Distance of bodies to one reference, which is a single row; null for a vector without length."""
+    e = F.when(F.col("id") % 6 != 0, F.col("embedding")).otherwise(F.transform("embedding", lambda x: x * 0))
+    ref = vecs.where("id = 7").select(F.col("embedding").alias("ref")).limit(1)
+    return vecs.crossJoin(F.broadcast(ref)).select("id", _fixed(vectors.plain_distance(e, F.col("ref"))).alias("distance"))
+
+
+@query(
+    """SELECT id, CASE WHEN s2 >= s3 AND s2 >= s1 THEN '2:3' WHEN s3 >= s1 THEN '3:4' ELSE '1:1' END AS ratio FROM (SELECT id, CASE WHEN w / h < 2e0 / 3e0 THEN w / (h * (2e0 / 3e0)) ELSE h * (2e0 / 3e0) / w END AS s2, CASE WHEN w / h < 0.75e0 THEN w / (h * 0.75e0) ELSE h * 0.75e0 / w END AS s3, CASE WHEN w / h < 1e0 THEN w / (h * 1e0) ELSE h * 1e0 / w END AS s1 FROM (SELECT id, x2 - x1 AS w, y2 - y1 AS h FROM v_person))""",
+    "v_person",
+)
+def crop_choice(boxes):
+    """Proposed: the ratio whose crop the box fills best; the first of equal ones."""
+    w, h = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
+    offers = F.array(*[F.struct((-crops.kept_share(w, h, r)).alias("s"), F.lit(k).alias("k"), F.lit(name).alias("name")) for k, (name, r) in enumerate((("2:3", 2 / 3), ("3:4", 0.75), ("1:1", 1.0)))])
+    return boxes.select("id", F.array_min(offers)["name"].alias("ratio"))
+
+
+@query(
+    f"""WITH RECURSIVE p AS (SELECT * REPLACE (CAST(floor(id / 40e0) AS BIGINT) AS frame) FROM v_person WHERE conf >= 0.35e0),
+o AS (SELECT *, row_number() OVER (PARTITION BY frame ORDER BY conf DESC, id) AS n FROM p),
+w AS (SELECT frame, 0::BIGINT AS n, []::BIGINT[] AS kept FROM o GROUP BY frame
+  UNION ALL SELECT w.frame, w.n + 1, CASE WHEN EXISTS (SELECT 1 FROM o b WHERE b.frame = a.frame AND list_contains(w.kept, b.id) AND {IOU} >= 0.45e0) THEN w.kept ELSE list_append(w.kept, a.id) END
+  FROM w JOIN o a ON a.frame = w.frame AND a.n = w.n + 1)
+SELECT frame, unnest(kept[1:40]) AS id FROM w WHERE n = (SELECT max(n) FROM o WHERE o.frame = w.frame)""",
+    "v_person",
+)
+def person_detections(boxes):
+    """Persons sure enough, without overlapping ones, at most 40 a frame."""
+    found = boxes.where("conf >= 0.35").withColumn("frame", F.floor(F.col("id") / 40).cast("long")).withColumn("order", -F.col("conf"))
+    kept = greedy.suppress_boxes(found, ["frame"], ["order", "id"])
+    n = F.row_number().over(Window.partitionBy("frame").orderBy("order", "id"))
+    return kept.withColumn("n", n).where("n <= 40").select("frame", "id")

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 import os
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 #: Bytes a pixel, doubled so that planes at quarter size stay whole numbers (fixed values).
 HALF_BYTES = {"gray": 2, "rgb24": 6, "nv12": 3, "p010": 6}
@@ -77,3 +80,66 @@ def write_metrics(items: DataFrame, path: str, config: dict) -> None:
     """One JSON document a line: the run's settings beside each item, so that no task holds all items."""
     settings = F.struct(*[F.lit(v).alias(k) for k, v in sorted(config.items())])
     items.select(settings.alias("config"), F.struct("*").alias("item")).write.mode("overwrite").json(path)
+
+
+def planes(frames: DataFrame) -> DataFrame:
+    """The luma plane and the interleaved chroma plane of p010 frames, two bytes a sample."""
+    size = F.col("w") * F.col("h") * 2
+    return frames.withColumns({"y": F.substring("pixels", F.lit(1), size), "uv": F.substring("pixels", size + 1, F.floor(size / 2).cast("int"))}).drop("pixels")
+
+
+class PictureWriter(DataSourceWriter):
+    """Each task writes its files under hidden names and renames them, so a task that is run again leaves no torn file."""
+
+    def __init__(self, folder: str):
+        self.folder = folder
+
+    def write(self, iterator) -> WriterCommitMessage:
+        os.makedirs(self.folder, exist_ok=True)
+        for row in iterator:
+            if row["content"] is not None:
+                hidden = os.path.join(self.folder, f".{row['name']}.{os.getpid()}")
+                with open(hidden, "wb") as held:
+                    held.write(row["content"])
+                os.replace(hidden, os.path.join(self.folder, row["name"]))
+        return WriterCommitMessage()
+
+
+class PictureFiles(DataSource):
+    """df.write.format("picturefiles") with path (a folder on mounted shared storage): a file for each row of name and content."""
+
+    @classmethod
+    def name(cls):
+        return "picturefiles"
+
+    def writer(self, schema, overwrite):
+        return PictureWriter(self.options["path"])
+
+
+def write_pictures(pictures: DataFrame, folder: str) -> None:
+    """Writes name and content (encoded already); rows without content are left out, and of rows of one name one stays."""
+    spark = pictures.sparkSession
+    spark.dataSource.register(PictureFiles)
+    pictures.select("name", "content").write.format("picturefiles").mode("append").option("path", folder).save()
+
+
+def write_log(rows: DataFrame, path: str) -> None:
+    """A manifest, selection log or scene log as CSV with a header; one file, as such logs are bounded by the quotas."""
+    rows.coalesce(1).write.mode("overwrite").csv(path, header=True, nullValue="", emptyValue="")
+
+
+def counted(df: DataFrame, name: str = "progress") -> tuple[DataFrame, Observation]:
+    """df and an observation that tells, once df has been computed, how many rows passed."""
+    seen = Observation(name)
+    return df.observe(seen, F.count(F.lit(1)).alias("rows")), seen
+
+
+def cached(spark: SparkSession, folder: str, settings: dict, build: Callable[[], DataFrame], mode: str = "auto") -> DataFrame:
+    """Proposed: a result stored as Parquet under a digest of its settings. "auto" reads it if it is there, "refresh" computes it anew, "off" stores nothing."""
+    if mode == "off":
+        return build()
+    path = f"{folder.rstrip('/')}/{hashlib.sha256(json.dumps(settings, sort_keys=True).encode()).hexdigest()[:32]}"
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if mode == "refresh" or not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        build().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)

@@ -4,6 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from reelspark.functions import images, probe
+from reelspark.operators import bank
 from reelspark.plans import catalogue
 from reelspark.plans.bridge import view
 from reelspark.sources import frames
@@ -77,3 +78,44 @@ def test_picture_measures_equal_loops(spark):
 def test_plain_name(spark):
     rows = spark.createDataFrame([("ColorTransfer.SMPTE2084",), (" unknown ",), (None,), ("hlg",)], "t string")
     assert [r[0] for r in rows.select(probe.plain_name(F.col("t"))).collect()] == ["smpte2084", "", "", "hlg"]
+
+
+def test_planes_of_p010(spark):
+    rows = spark.createDataFrame([(0, 4, 2, bytearray(range(24)))], "frame_idx long, w int, h int, pixels binary")
+    got = frames.planes(rows).first()
+    assert (bytes(got.y), bytes(got.uv)) == (bytes(range(16)), bytes(range(16, 24)))
+
+
+def test_written_pictures_logs_cache_and_counts(spark, tmp_path):
+    rows = spark.createDataFrame([("0001.jpg", bytearray(b"one")), ("0002.jpg", None), ("0003.jpg", bytearray(b"three"))], "name string, content binary")
+    seen, watched = frames.counted(rows)
+    frames.write_pictures(seen, str(tmp_path / "set"))
+    assert {p.name: p.read_bytes() for p in (tmp_path / "set").iterdir()} == {"0001.jpg": b"one", "0003.jpg": b"three"}
+    assert watched.get["rows"] == 3
+    frames.write_log(rows.selectExpr("row_number() OVER (ORDER BY name) AS rank", "name AS file"), str(tmp_path / "log"))
+    assert [tuple(r) for r in spark.read.csv(str(tmp_path / "log"), header=True).collect()] == [("1", "0001.jpg"), ("2", "0002.jpg"), ("3", "0003.jpg")]
+    made = []
+    build = lambda: made.append(1) or spark.range(len(made))
+    count = lambda mode, settings: frames.cached(spark, str(tmp_path / "cache"), settings, build, mode).count()
+    assert [count("auto", {"a": 1}), count("auto", {"a": 1}), count("refresh", {"a": 1}), count("auto", {"a": 1}), count("auto", {"a": 2}), count("off", {"a": 2})] == [1, 1, 2, 2, 3, 4]
+
+
+def test_sharpness_of_a_large_picture():
+    small = np.random.default_rng(3).integers(0, 256, (128, 256)).astype(np.uint8)
+    large = np.kron(small, np.ones((2, 2), np.uint8))
+    assert np.isclose(images.sharpness(large), images.sharpness(small))
+    v = images.laplacian_variance(small) / (small.mean() ** 2 + 1e-6)
+    assert np.isclose(images.sharpness(small), np.tanh(np.log1p(v)))
+
+
+def test_bank_growth(spark):
+    rng = np.random.default_rng(4)
+    base = rng.normal(size=(200, 8))
+    base[50:60] = base[0] * 3
+    rows = [(v, i, i, 0.2 if i % 3 else 0.9, [float(x) for x in base[i]]) for v in (1, 2) for i in range(200)] + [(1, 999, 999, None, None)]
+    got = bank.grown(spark.createDataFrame(rows, "video long, id long, at long, fd double, vec array<double>"), "video", most=20).collect()
+    for v in (1, 2):
+        ids = sorted(r.id for r in got if r.video == v)
+        units = [base[i] / np.linalg.norm(base[i]) for i in ids]
+        assert len(ids) == 20 and all(b - a >= 5 for a, b in zip(ids, ids[1:])) and all(i % 3 for i in ids)
+        assert all(a @ b < 0.968 for k, a in enumerate(units) for b in units[:k])
