@@ -2,6 +2,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from reelspark.llm import hamming_topk, html_text, language_profiles, licence_scan, mixing, near_dedup, packing, quality_rules, toxicity, url_rules
 from reelspark.llm.shared import local_rows
@@ -42,7 +43,6 @@ def test_quality_rules(spark, docs, empty):
     for r in quality_rules.judge(frame, ["doc_id"]).collect():
         words = (texts[r.doc_id] or "").split()
         assert (r.n_words, r.n_repeat_words, r.word_chars) == (len(words), brute_repeat(words), sum(map(len, words)))
-    assert quality_rules.judge(docs, ["doc_id", "n_words"]).count() == len(TEXTS)
     assert quality_rules.judge(empty, ["doc_id"]).count() == 0
 
 
@@ -85,6 +85,42 @@ def test_language(docs, empty):
     assert language_profiles.identify(empty, nothing, ["doc_id"]).count() == 0
 
 
+def loops_ngrams(text):
+    """How often each letter n-gram of one to three characters occurs, words padded with a blank."""
+    found = {}
+    words = "".join(c if c.isalpha() else " " for c in text.lower()).split()
+    joined = " " + " ".join(words) + " " if words else ""
+    for n in (1, 2, 3):
+        for i in range(len(joined) - n + 1):
+            g = joined[i : i + n]
+            if g.strip() and not (n == 3 and g[1] == " "):
+                found[g] = found.get(g, 0) + 1
+    return found
+
+
+def test_language_equals_loops(spark):
+    rng = np.random.default_rng(8)
+    spoken = {k: [f"{a}{b}" for a in heads for b in tails] for k, heads, tails in (("aa", ["the", "wa", "ri"], ["n", "ter", "ver", "s"]), ("bb", ["schö", "über", "ge"], ["n", "ß", "lich", ""]), ("cc", ["él", "ño", "qu"], ["os", "ía", "e", "n"]))}
+    rows = [(i, " ".join(rng.choice(spoken[k], 20)) + (" 12." if i % 2 else "!"), k) for i, k in enumerate(list(spoken) * 12)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    size = 40
+    profiles = language_profiles.fit(frame.where("doc_id < 18"), size=size)
+    code = lambda g: sum((ord(c) if c != " " else language_profiles.BLANK) << 21 * k for k, c in enumerate(reversed(g)))
+    order = lambda counts: sorted(counts, key=lambda g: (-counts[g], code(g)))[:size]
+    ranks = {}
+    for k in spoken:
+        counts = {}
+        for _, t, lang in rows[:18]:
+            for g, n in (loops_ngrams(t) if lang == k else {}).items():
+                counts[g] = counts.get(g, 0) + n
+        ranks[k] = {g: r for r, g in enumerate(order(counts))}
+    for r in language_profiles.identify(frame, profiles, ["doc_id"]).collect():
+        own = order(loops_ngrams(rows[r.doc_id][1]))
+        far = {k: sum(abs(ranks[k][g] - i) if g in ranks[k] else size for i, g in enumerate(own)) for k in sorted(spoken)}
+        first, second = sorted(far.values())[:2]
+        assert r.lang_pred == min(far, key=far.get) and r.score == pytest.approx((second - first) / max(second, 1))
+
+
 def test_toxicity(spark, docs, empty):
     rng = np.random.default_rng(0)
     rows = [(i, " ".join([*rng.choice([f"w{k}" for k in range(2000)], 30), *(["vile", "scum"] if i % 2 else [])]), i % 2) for i in range(2000)]
@@ -155,20 +191,28 @@ def test_mixing_stays_within_a_block(spark, docs, empty):
     assert mixing.mix(empty, ["doc_id"]).count() == 0
 
 
-def test_packing_round_trip(docs, empty):
+def test_packing_round_trip(spark, docs, empty):
     public = pytest.importorskip("public_tokenizers")
     from tokenizers import Tokenizer
 
     path = public.path("word_bpe_49k.json")
-    got = packing.pack(docs, ["doc_id"], path, spec=packing.Spec(open_windows=2)).toPandas()
     whole = Tokenizer.from_file(path)
-    want = sorted(np.array([*whole.encode(t or "", add_special_tokens=False).ids, 1], "<u4").tobytes() for _, t in TEXTS)
-    six = got[got.doc_id == 6].sort_values("start")
-    assert b"".join(six.ids) == np.array([*whole.encode(TEXTS[-1][1], add_special_tokens=False).ids, 1], "<u4").tobytes()
-    assert got.length.sum() == sum(len(w) // 4 for w in want) and got.groupby("sequence_id").length.sum().max() <= 2048
-    assert all(zlib.crc32(i) >= 0 for i in got.ids)
-    for _, g in got.sort_values("offset").groupby("sequence_id"):
-        assert list(g.offset) == [0, *np.cumsum(g.length)[:-1]]
+    rng = np.random.default_rng(9)
+    marks = ["don't", "Éa", "naïve,", "x<|y", "<|endoftext|>", "12,5", "straße…", "(a)", "«q»", "\u00a0z", "日本", "e\u0301", "A.B", "!!", "tab\tnew\nline"]
+    texts = [t for _, t in TEXTS] + [" ".join(rng.choice(marks, int(rng.integers(1, 40)))) for _ in range(60)] + ["word " * 2047, "a b " * 5000]
+    want = {i: np.array([*whole.encode(t or "", add_special_tokens=False).ids, 1], "<u4").tobytes() for i, t in enumerate(texts)}
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for limit in (2, 32):
+        got = packing.pack(frame, ["doc_id"], path, spec=packing.Spec(open_windows=limit, memory=20)).toPandas()
+        for i, own in got.sort_values("start").groupby("doc_id"):
+            assert b"".join(own.ids) == want[i] and set(own.doc_tokens) == {len(want[i]) // 4} and list(own.start) == [0, *np.cumsum(own.length)[:-1]]
+        assert set(got.doc_id) == set(want) and (got.ids.str.len() == 4 * got.length).all()
+        sizes = got.groupby("sequence_id").length.sum()
+        for _, g in got.sort_values("offset").groupby("sequence_id"):
+            assert list(g.offset) == [0, *np.cumsum(g.length)[:-1]]
+        assert sizes.max() <= 2048 and sum(2048 - n for n in sizes if n & (n - 1)) < 0.2 * sizes.sum()
+    crc = packing.pack(frame, ["doc_id"], path, derive={"ids_crc32": F.crc32("ids")}).toPandas().sort_values(["doc_id", "start"])
+    assert all(r.ids_crc32 == zlib.crc32(want[r.doc_id][4 * r.start : 4 * (r.start + r.length)]) for r in crc.itertuples())
     assert packing.pack(empty, ["doc_id"], path).count() == 0
 
 
@@ -247,9 +291,89 @@ def test_licences(docs):
     words = licence_scan.words_of("Intro. Released under the MIT License! x " + licence_scan.TEMPLATES[6][1] + " tail under the MIT license")
     assert scanner.phrases(words) == [(2, "mit"), (len(words) - 4, "mit")]
     assert {scanner.labels[s.template] for s in scanner.spans(words) if s.covered >= 0.75 * scanner.sizes[s.template]} >= {"mit", "gpl"}
-    assert licence_scan.scan(docs, ["doc_id", "n_words"][:1]).count() == len(TEXTS)
+    got = licence_scan.scan(docs, ["doc_id", "n_words"])
+    assert got.columns == ["doc_id", "n_words_input", "n_words", "base", "spans"] and got.count() == len(TEXTS) and {r.n_words_input for r in got.collect()} == {"x"}
+    assert licence_scan.scan(docs.where("false"), ["doc_id"]).count() == 0
     tokens = [0, 1, 2, 1, 2, 3]
+    own = licence_scan.Automaton.of([tokens])
     for known in ([1, 2, 3], [2, 1, 2, 3, 9], [0, 0, 1]):
         runs = {tuple(tokens[i:j]) for i in range(6) for j in range(i + 1, 7)}
         want = [max((n for n in range(1, k + 2) if tuple(known[k + 1 - n : k + 1]) in runs), default=0) for k in range(len(known))]
-        assert [n for _, n in licence_scan.Automaton.of([tokens]).statistics(known)] == want
+        assert [n for _, n in own.statistics(known)] == want
+        for k, (state, n) in enumerate(own.statistics(known)):
+            assert not n or own.ends(state) == [(0, j) for j in range(n, 7) if tokens[j - n : j] == known[k + 1 - n : k + 1]]
+
+
+def test_licence_matches_equal_loops():
+    rng = np.random.default_rng(6)
+    templates = tuple((f"t{k}", " ".join(rng.choice(list("abc"), 12))) for k in range(4))
+    scanner = licence_scan.Scanner(templates, least_match=3)
+    known = [t.split() for _, t in templates]
+    for _ in range(60):
+        words = list(rng.choice(list("abcz"), 25))
+        want = set()
+        for k, t in enumerate(known):
+            for i in range(len(words)):
+                for j in range(len(t)):
+                    n = 0
+                    while i + n < len(words) and j + n < len(t) and words[i + n] == t[j + n]:
+                        n += 1
+                    longest = max((m for x in known for y in range(len(x)) for m in [next((m for m in range(min(len(words) - i, len(x) - y), -1, -1) if words[i : i + m] == x[y : y + m]), 0)]), default=0)
+                    before = i > 0 and any(words[i - 1 : i + n] == x[y : y + n + 1] for x in known for y in range(len(x)))
+                    if n >= 3 and n == longest and not before:
+                        want.add((k, j, i, n))
+        assert set(scanner.matches([w.encode() for w in words])) == want
+
+
+@pytest.mark.parametrize("n", [1, 2, 3])
+def test_licence_chains_cover_planted_templates(n):
+    """A whole template gives one span of its words, also with a few words put in between."""
+    scanner = licence_scan.Scanner()
+    for k, (label, text) in enumerate(licence_scan.TEMPLATES):
+        words = licence_scan.words_of(text)
+        cut = len(words) // 2
+        broken = [*words[:cut], *[b"zz"] * n, *words[cut:]] if min(cut, len(words) - cut) >= 4 else words
+        found = [s for s in scanner.spans([b"qq"] * 3 + broken + [b"qq"]) if s.template == k and s.covered == len(words)]
+        assert [(s.first, s.last) for s in found] == [(3, 2 + len(broken))] and scanner.labels[k] == label
+
+
+def test_licence_query_equals_loops(spark, tmp_path):
+    rng = np.random.default_rng(2)
+    parts = ["under the MIT License", "Apache License, Version 2", "CC-BY-NC", "plain words", "under the", "mit license", "apache", "cc by", "ncé"]
+    rows = [(i, ". ".join(rng.choice(parts, int(rng.integers(1, 9))))) for i in range(80)] + [(90, None), (91, "")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    phrases = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
+    got = {r.doc_id: r for r in licence_scan.op8_license_scan(spark, str(tmp_path)).collect()}
+    for i, text in rows:
+        plain = "".join(c if ord(c) >= 128 or c.isalnum() else " " for c in (text or "").lower())
+        words = plain.split()
+        places = [(at, label) for p, label in phrases.items() for at in range(len(words)) if words[at : at + len(p.split())] == p.split()]
+        r = got[i]
+        assert (r.n_words, r.n_base) == (len(words), len(places)) and r.base_labels == ",".join(sorted({x for _, x in places}))
+        assert (r.first_word, r.last_word) == ((min(places)[0], max(places)[0]) if places else (None, None))
+        assert set(r.base_labels.split(",")) - {""} <= set(r.labels.split(",")) and 0 <= r.score <= 1 and (r.score == 1) >= bool(places)
+
+
+@pytest.mark.parametrize("name", ["op6_near_dedup", "op9_url_filters", "op10_quality_rules", "op2_hamming_topk"])
+def test_query_equals_its_sql(spark, name):
+    import duckdb
+
+    from reelspark import llm
+    from tests.test_catalogue import rows
+
+    con, sf = duckdb.connect(), "/root/testdata/sf0.001"
+    for t in ("documents", "embeddings", "pages"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    want, got = con.sql(llm.oracle_sql()[name]).df(), llm.queries()[name](spark, sf).toPandas()
+    assert sorted(got.columns) == sorted(want.columns) and rows(got) == rows(want)
+
+
+def test_kept_columns_of_clashing_names(spark, docs):
+    got = quality_rules.judge(docs, ["doc_id", "n_words"])
+    assert got.columns[:3] == ["doc_id", "n_words_input", "n_words"] and {r.n_words_input for r in got.select("n_words_input", "n_words").collect()} == {"x"}
+    named = docs.selectExpr("doc_id", "text", "'mine' AS mix_source", "7 AS Mix_Slot", "source", "'s' AS score", "'p' AS ids")
+    mixed = mixing.mix(named, ["doc_id", "text"])
+    assert {(r.mix_source, r.Mix_Slot_input) for r in mixed.select("mix_source", "Mix_Slot_input").collect()} == {("mine", 7)} and mixed.count() == len(TEXTS)
+    assert {r.score_input for r in language_profiles.identify(named, language_profiles.fit(named.where("false").selectExpr("*", "'x' AS lang")), ["score"]).select("score_input", "score").collect()} == {"s"}
+    assert {r.score_input for r in toxicity.score(named, None, ["score"]).select("score_input", "score").collect()} == {"s"}
+    assert mixing.arranged(named, ["doc_id", "text"]).columns == named.columns
