@@ -115,3 +115,33 @@ def edge_energy(pixels: Column, side: int) -> Column:
         return bound(mean(t["b"]), lambda m: (square - m * m) / (t["g"] * t["g"] + 1e-6))
 
     return bound(bound(pixels, bends), energy)
+
+
+def cut_out(pictures: DataFrame, keep: list[str], channels: int = 3) -> DataFrame:
+    """keep, w, h and pixels of the part of each raw picture (pixels, w, h; `channels` bytes a pixel) inside its box x1, y1, x2, y2.
+
+    The box is cut at the picture's edge; what is left empty, or a picture with too few bytes, gives null pixels.
+    """
+
+    def look(batches):
+        for batch in batches:
+            made = []
+            for raw, w, h, *box in zip(*(c.to_pylist() for c in batch.columns[-7:])):
+                x1, y1, x2, y2 = (0 if b is None else max(0, min(int(b), m or 0)) for b, m in zip(box, (w, h, w, h)))
+                if not raw or len(raw) < w * h * channels or x2 <= x1 or y2 <= y1:
+                    made.append((None, None, None))
+                else:
+                    part = np.frombuffer(raw, np.uint8, w * h * channels).reshape(h, w, channels)[y1:y2, x1:x2]
+                    made.append((x2 - x1, y2 - y1, part.tobytes()))
+            own = [pa.array([m[i] for m in made], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.binary()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-7], *own], [*keep, "w", "h", "pixels"])
+
+    given = pictures.select(*keep, "pixels", "w", "h", "x1", "y1", "x2", "y2")
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in given.schema.fields[:-7])
+    return given.mapInArrow(look, f"{kinds}, w int, h int, pixels binary")
+
+
+def model_input(pixels: Column, side: int = 112) -> Column:
+    """Numbers of -1 to 1, channel by channel, from a chip of side x side pixels given as an array of interleaved bytes."""
+    at = lambda i: F.get(pixels, (F.pmod(i, F.lit(side * side)) * 3 + F.floor(i / (side * side))).cast("int"))
+    return F.transform(F.sequence(F.lit(0), F.lit(3 * side * side - 1)), lambda i: (at(i) / 127.5 - 1.0).cast("float"))

@@ -476,3 +476,14 @@ def person_detections(boxes):
     kept = greedy.suppress_boxes(found, ["frame"], ["order", "id"])
     n = F.row_number().over(Window.partitionBy("frame").orderBy("order", "id"))
     return kept.withColumn("n", n).where("n <= 40").select("frame", "id")
+
+
+@query(
+    """SELECT id, locked, coalesce(fd <= CASE WHEN locked THEN 0.35e0 ELSE 0.45e0 END, false) AS accepted FROM (SELECT *, coalesce(sum(CASE WHEN fd <= 0.45e0 THEN 1 ELSE 0 END) OVER (PARTITION BY video_id ORDER BY frame_idx ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING), 0) >= 2 AS locked FROM v_frame)""",
+    "v_frame",
+)
+def temporal_lock(frames):
+    """Proposed: after two hits among the five frames before, a stricter distance is asked."""
+    w = Window.partitionBy("video_id").orderBy("frame_idx").rowsBetween(-5, -1)
+    locked = F.coalesce(F.count_if(F.col("fd") <= 0.45).over(w), F.lit(0)) >= 2
+    return frames.withColumn("locked", locked).select("id", "locked", F.coalesce(F.col("fd") <= F.when(F.col("locked"), 0.35).otherwise(0.45), F.lit(False)).alias("accepted"))

@@ -6,6 +6,9 @@ import json
 from collections.abc import Mapping
 from dataclasses import dataclass, fields, replace
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 from ..operators.selection import QUOTAS, Quotas
 
 
@@ -92,3 +95,23 @@ def preset(text: str, base: Parameters = Parameters()) -> Parameters:
     raw = json.loads(text)
     known = {f.name for f in fields(Parameters)} - {"by_category"}
     return replace(base, **{k: v for k, v in raw.items() if k in known})
+
+
+@dataclass(frozen=True)
+class Rotation:
+    """When turned frames are looked at: every frame unless adaptive, else each nth of a streak without a face and some frames after a hit."""
+
+    adaptive: bool = True
+    every: int = 1
+    after_hit: int = 0
+    small_size: int = 0
+
+    def __post_init__(self):
+        for name, least in (("every", 1), ("after_hit", 0), ("small_size", 0)):
+            object.__setattr__(self, name, max(least, int(getattr(self, name))))
+
+    def turns(self, streak: Column, since_hit: Column, place: Column) -> Column:
+        """Whether a frame is looked at turned, from its streak without a face, the frames since the last hit, and its number."""
+        if not self.adaptive:
+            return F.lit(True)
+        return F.coalesce(since_hit <= self.after_hit, F.lit(False)) | ((streak > 0) & (F.pmod(place, F.lit(self.every)) == 0))

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from reelspark.functions import images, probe
 from reelspark.operators import bank
-from reelspark.plans import catalogue
+from reelspark.plans import catalogue, parameters
 from reelspark.plans.bridge import view
 from reelspark.sources import frames
 from reelspark.streaming import capture
@@ -119,3 +119,23 @@ def test_bank_growth(spark):
         units = [base[i] / np.linalg.norm(base[i]) for i in ids]
         assert len(ids) == 20 and all(b - a >= 5 for a, b in zip(ids, ids[1:])) and all(i % 3 for i in ids)
         assert all(a @ b < 0.968 for k, a in enumerate(units) for b in units[:k])
+
+
+def test_cut_out_and_model_input(spark):
+    raw = np.random.default_rng(5).integers(0, 256, (4, 6, 3), dtype=np.uint8)
+    boxes = [(1, 1, 1, 4, 3), (2, -5, -5, 100, 100), (3, 4, 2, 4, 3), (4, None, 0, 2, 2)]
+    rows = spark.createDataFrame([(i, bytearray(raw.tobytes()), 6, 4, *b) for i, *b in boxes] + [(5, None, 6, 4, 0, 0, 1, 1)], "id long, pixels binary, w int, h int, x1 int, y1 int, x2 int, y2 int")
+    got = {r.id: r for r in images.cut_out(rows, ["id"]).collect()}
+    assert bytes(got[1].pixels) == raw[1:3, 1:4].tobytes() and (got[1].w, got[1].h) == (3, 2)
+    assert bytes(got[2].pixels) == raw.tobytes() and got[3].pixels is None and got[5].pixels is None and bytes(got[4].pixels) == raw[0:2, 0:2].tobytes()
+    chip = np.random.default_rng(6).integers(0, 256, (4, 4, 3), dtype=np.uint8)
+    made = spark.createDataFrame([([int(x) for x in chip.ravel()],)], "p array<int>").select(images.model_input(F.col("p"), 4).alias("m")).first().m
+    assert np.allclose(np.array(made).reshape(3, 4, 4), chip.transpose(2, 0, 1) / 127.5 - 1)
+
+
+def test_rotation_rule(spark):
+    rule = parameters.Rotation(every=-3, after_hit=2, small_size=-1)
+    assert (rule.every, rule.after_hit, rule.small_size) == (1, 2, 0)
+    rows = spark.createDataFrame([(0, 0, 4), (1, 3, 6), (2, 4, 7), (5, None, 9)], "streak int, since int, n int")
+    turns = lambda rule: [r[0] for r in rows.select(rule.turns(F.col("streak"), F.col("since"), F.col("n"))).collect()]
+    assert turns(parameters.Rotation(every=3, after_hit=0)) == [True, True, False, True] and turns(parameters.Rotation(adaptive=False)) == [True] * 4
