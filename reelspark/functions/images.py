@@ -145,3 +145,27 @@ def model_input(pixels: Column, side: int = 112) -> Column:
     """Numbers of -1 to 1, channel by channel, from a chip of side x side pixels given as an array of interleaved bytes."""
     at = lambda i: F.get(pixels, (F.pmod(i, F.lit(side * side)) * 3 + F.floor(i / (side * side))).cast("int"))
     return F.transform(F.sequence(F.lit(0), F.lit(3 * side * side - 1)), lambda i: (at(i) / 127.5 - 1.0).cast("float"))
+
+
+def outlined(pictures: DataFrame, keep: list[str], colour: tuple[int, ...] = (0, 255, 0), thick: int = 2) -> DataFrame:
+    """keep, w, h and pixels of raw pictures (pixels, w, h; a byte a channel) with the outlines of their boxes, an array of structs x1, y1, x2, y2, drawn in."""
+
+    def look(batches):
+        for batch in batches:
+            made = []
+            for raw, w, h, boxes in zip(*(c.to_pylist() for c in batch.columns[-4:])):
+                if not raw or len(raw) < w * h * len(colour):
+                    made.append(raw)
+                    continue
+                own = np.frombuffer(raw, np.uint8, w * h * len(colour)).reshape(h, w, len(colour)).copy()
+                for b in boxes or ():
+                    x1, x2 = (max(0, min(w, int(b[k]))) for k in ("x1", "x2"))
+                    y1, y2 = (max(0, min(h, int(b[k]))) for k in ("y1", "y2"))
+                    for part in (own[y1:y2, x1 : min(x2, x1 + thick)], own[y1:y2, max(x1, x2 - thick) : x2], own[y1 : min(y2, y1 + thick), x1:x2], own[max(y1, y2 - thick) : y2, x1:x2]):
+                        part[:] = colour
+                made.append(own.tobytes())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-4], *batch.columns[-3:-1], pa.array(made, pa.binary())], [*keep, "w", "h", "pixels"])
+
+    given = pictures.select(*keep, "pixels", F.col("w").cast("int").alias("w"), F.col("h").cast("int").alias("h"), "boxes")
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in given.schema.fields[:-4])
+    return given.mapInArrow(look, f"{kinds}, w int, h int, pixels binary")

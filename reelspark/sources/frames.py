@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import subprocess
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -56,6 +57,53 @@ class RawFrames(DataSource):
         return RawFrameReader({k.lower(): v for k, v in self.options.items()})
 
 
+class PipeFrameReader(DataSourceReader):
+    """Frames that a command writes to its standard output; each task runs it once for a range of its own and reads frame by frame."""
+
+    def __init__(self, options: dict):
+        self.command, self.width, self.height = json.loads(options["command"]), int(options["width"]), int(options["height"])
+        self.size = self.width * self.height * HALF_BYTES[options.get("pixels", "rgb24")] // 2
+        self.frames, self.stride, self.per_task = int(options["frames"]), max(1, int(options.get("stride", 1))), max(1, int(options.get("framespertask", 256)))
+
+    def partitions(self):
+        return [FrameRange(a, min(self.frames, a + self.per_task)) for a in range(0, self.frames, self.per_task)]
+
+    def read(self, part: FrameRange | None):
+        if part is None:
+            return
+        words = [w.replace("{first}", str(part.first)).replace("{count}", str(part.end - part.first)) for w in self.command]
+        with subprocess.Popen(words, stdout=subprocess.PIPE, stderr=subprocess.DEVNULL) as run:
+            try:
+                for n in range(part.first, part.end):
+                    frame = run.stdout.read(self.size)
+                    if len(frame) < self.size:  # fewer frames than were announced, or a torn last one
+                        return
+                    if n % self.stride == 0:
+                        yield n, self.width, self.height, frame
+            finally:
+                run.kill()
+
+
+class PipeFrames(DataSource):
+    """spark.read.format("pipeframes") with command (a JSON list in which {first} and {count} are filled in), frames, width, height, pixels, stride and framesPerTask."""
+
+    @classmethod
+    def name(cls):
+        return "pipeframes"
+
+    def schema(self):
+        return "frame_idx long, w int, h int, pixels binary"
+
+    def reader(self, schema):
+        return PipeFrameReader({k.lower(): v for k, v in self.options.items()})
+
+
+def read_pipe(spark: SparkSession, command: list[str], frames: int, width: int, height: int, pixels: str = "rgb24", stride: int = 1, per_task: int = 256) -> DataFrame:
+    """Frames from a decoder that is installed on the executors."""
+    spark.dataSource.register(PipeFrames)
+    return spark.read.format("pipeframes").options(command=json.dumps(command), frames=frames, width=width, height=height, pixels=pixels, stride=stride, framesPerTask=per_task).load()
+
+
 def read_frames(spark: SparkSession, path: str, width: int, height: int, pixels: str = "nv12", stride: int = 1, per_task: int = 256) -> DataFrame:
     spark.dataSource.register(RawFrames)
     return spark.read.format("rawframes").options(path=path, width=width, height=height, pixels=pixels, stride=stride, framesPerTask=per_task).load()

@@ -181,3 +181,39 @@ def test_parameters():
         with pytest.raises(ValueError):
             quotas(bad)
     assert preset('{"alpha": 0.5, "other": 1}') == Parameters(alpha=0.5)
+
+
+def test_curate_select_equals_loops(spark):
+    vecs = view(spark, SF, "v_vec").collect()
+    scene = {(r.pool, r.id): r.scene for r in catalogue.queries()["scene_cluster"](spark, SF).collect()}
+    got = {}
+    for r in catalogue.queries()["curate_select"](spark, SF).collect():
+        got.setdefault(r.pool, []).append((r["rank"], r.id, r.scene, r.category, r.quality, r.redundancy, r.score))
+    for pool in {r.scene_hint for r in vecs}:
+        scenes = {}
+        for r in sorted(vecs, key=lambda r: (-r.q, r.id)):
+            if r.scene_hint == pool:
+                scenes.setdefault(scene[pool, r.id], []).append({
+                    "id": r.id, "path": "", "q": r.q, "category": ("portrait", "closeup", "cowboy", "full", "wide")[r.id % 5], "is_profile": r.id % 9 == 0,
+                    "hash": sum(1 << i for i in range(63) if r.embedding[i] > 0), "vec": np.array(r.embedding, float),
+                })
+        want = [(w[0], w[1], w[3], w[4], *w[6:]) for w in loops_selection(scenes, Parameters(most=30))]
+        assert [g[:4] for g in sorted(got[pool])] == [w[:4] for w in want]
+        assert all(math.isclose(a, b, abs_tol=2e-6) for g, w in zip(sorted(got[pool]), want) for a, b in zip(g[4:], w[4:]))
+
+
+def test_picture_measures_equal_loops(spark):
+    low_basis = np.array([[math.cos(math.pi * (2 * x + 1) * u / 64) * (0.5**0.5 if u == 0 else 1) for x in range(32)] for u in range(8)])
+    got = {r.id: r for r in catalogue.queries()["picture_measures"](spark, SF).collect()}
+    for r in view(spark, SF, "v_vec").collect():
+        e = np.array(r.embedding, float)
+        gray = np.clip(np.floor(128 + 3000.0 * np.outer(e[:32], e[32:])), 0, 255)
+        index = lambda i: abs(i) if i < 32 else 62 - i
+        bends = [gray[index(y - 1), x] + gray[index(y + 1), x] + gray[y, index(x - 1)] + gray[y, index(x + 1)] - 4 * gray[y, x] for y in range(32) for x in range(32)]
+        own = got[r.id]
+        assert math.isclose(own.sharpness, math.tanh(math.log1p(np.var(bends) / (gray.mean() ** 2 + 1e-6))), abs_tol=2e-6)
+        low = low_basis @ gray @ low_basis.T
+        low[0, 0] = 0
+        assert own.phash % 2**64 == sum(int(b) << i for i, b in enumerate((low > np.median(low)).ravel()))
+        rows, columns = (np.flatnonzero(gray.mean(axis=a) > 10) for a in (1, 0))
+        assert (own.left, own.top, own.right, own.bottom) == (columns[0], rows[0], columns[-1] + 1, rows[-1] + 1)

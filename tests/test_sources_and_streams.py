@@ -1,4 +1,5 @@
 import json
+import sys
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -139,3 +140,19 @@ def test_rotation_rule(spark):
     rows = spark.createDataFrame([(0, 0, 4), (1, 3, 6), (2, 4, 7), (5, None, 9)], "streak int, since int, n int")
     turns = lambda rule: [r[0] for r in rows.select(rule.turns(F.col("streak"), F.col("since"), F.col("n"))).collect()]
     assert turns(parameters.Rotation(every=3, after_hit=0)) == [True, True, False, True] and turns(parameters.Rotation(adaptive=False)) == [True] * 4
+
+
+def test_frames_from_a_pipe(spark, tmp_path):
+    data = np.random.default_rng(7).integers(0, 256, (10, 18), dtype=np.uint8)  # 3 x 2 rgb24
+    (tmp_path / "v.bin").write_bytes(data.tobytes() + b"torn")
+    code = "import sys; f = open(sys.argv[1], 'rb'); f.seek(18 * int(sys.argv[2])); sys.stdout.buffer.write(f.read(18 * int(sys.argv[3]) + 5))"
+    got = frames.read_pipe(spark, [sys.executable, "-c", code, str(tmp_path / "v.bin"), "{first}", "{count}"], 12, 3, 2, stride=3, per_task=4)
+    assert [(r.frame_idx, bytes(r.pixels)) for r in got.orderBy("frame_idx").collect()] == [(n, data[n].tobytes()) for n in (0, 3, 6, 9)]
+
+
+def test_outlined(spark):
+    rows = spark.createDataFrame([(1, bytearray(8 * 6 * 3), 8, 6, [{"x1": 1.0, "y1": 1.0, "x2": 6.0, "y2": 5.0}]), (2, None, 8, 6, []), (3, bytearray(3), 1, 1, None)], "id long, pixels binary, w int, h int, boxes array<struct<x1: double, y1: double, x2: double, y2: double>>")
+    got = {r.id: r.pixels for r in images.outlined(rows, ["id"], thick=1).collect()}
+    want = np.zeros((6, 8, 3), np.uint8)
+    want[1:5, [1, 5]] = want[[1, 4], 1:6] = (0, 255, 0)
+    assert bytes(got[1]) == want.tobytes() and got[2] is None and bytes(got[3]) == bytes(3)
