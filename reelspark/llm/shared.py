@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -40,8 +41,8 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
 def bounded_batches(spark: SparkSession, most: int = 4 << 20) -> None:
     """Lowers the session's bound on the bytes of an Arrow batch, as whole texts are long; a lower bound is left as it is."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    now = int(spark.conf.get(name).rstrip("b"))
-    if not 0 < now <= most:
+    number, unit = re.fullmatch(r"(-?[0-9]+)\s*([kmgt]?)i?b?", spark.conf.get(name).lower()).groups()
+    if not 0 < int(number) << 10 * " kmgt".index(unit or " ") <= most:
         spark.conf.set(name, most)
 
 
@@ -61,9 +62,11 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def small_or_none(df: DataFrame, rows: int) -> DataFrame:
-    """df marked for broadcast if it has at most that many rows, which is counted first; df as it is otherwise."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def small_or_none(df: DataFrame, rows: int, most: int = 32 << 20) -> DataFrame:
+    """df marked for broadcast if it has at most that many rows and about `most` bytes, which are counted first; df as it is otherwise."""
+    held = [F.octet_length(F.col(c).cast("binary")) if t in ("string", "binary") else F.size(c) * 32 if t.startswith("array") else F.lit(8) for c, t in df.dtypes]
+    seen = df.limit(rows + 1).agg(F.count(F.lit(1)).alias("n"), F.sum(sum((F.coalesce(h, F.lit(0)).cast("long") for h in held), F.lit(0).cast("long"))).alias("bytes")).first()
+    return F.broadcast(df) if seen["n"] <= rows and (seen["bytes"] or 0) <= most else df
 
 
 def local_rows(spark: SparkSession, rows: list[dict]) -> DataFrame:
