@@ -1,34 +1,33 @@
 """Exact top-k search over binary codes by incremental multi-index hashing.
 
-A code is cut into 16-bit segments, and distinct codes are indexed as rows of segment
-and value. In round r every query that is still open looks up, segment by segment, the
-values r bits away from its own: an equi-join. A pair is verified where its nearest
-segment meets first, so it is met once in all rounds. After round r every code within
-m * (r + 1) - 1 bits has been met (m: segments), and a query is closed once its kth
-verified distance is no more than that. Where a round would look up more values than
-there are codes, the queries left are held against all codes instead, in blocks.
-
-Equal codes are one entry, which carries the rows of smallest id, as many as can be in
-any list; so a vector that a third of all rows share is looked up once. Queries of
-equal codes share a search too.
+Codes are cut into 16-bit segments; each block of rows has, for each segment, an
+index from segment values to rows. A query looks up its own segment values, then
+those one bit away, and so on, segment by segment, and verifies whatever it meets.
+After radius r in the first s + 1 segments and r - 1 in the others every code within
+m * r + s bits has been met, so the search ends once the kth verified distance is
+no more than that. Rows and queries meet in blocks, each task returns k rows for each
+of its queries, and a window keeps the best k. A row is copied once for each block of
+queries and a query once for each block of rows.
 
 Cases: a null or empty vector has no code; it neither asks nor is found. Codes of another
 length than the query's are not compared. Equal distances go by the smaller id. A
 query does not find its own id, however many rows have it. Queries of one id are one
 query, of their smallest code. Other rows that share an id each count as a row, and can
-take several places of a list. Fewer than k other rows give fewer results. Empty tables
-give an empty result. Extra columns are not read, so their names cannot clash.
+take several places of a list. Fewer than k other rows give fewer results. Extra columns are not read.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import lru_cache
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import local_rows, materialise, table
+from .shared import materialise, table
 
 SEGMENT = 16
 
@@ -36,77 +35,90 @@ SEGMENT = 16
 @dataclass(frozen=True)
 class Spec:
     k: int = 10
-    #: Queries that meet all codes in one block, where looking up would cost more; codes are copied once for each block.
-    block_queries: int = 4_096
-    #: Whether such queries may be held against all codes; if not, lookups go on to the last radius.
+    #: Rows and queries that meet in one task.
+    block_rows: int = 65_536
+    block_queries: int = 65_536
+    #: Whether a block's rows that are left are all met where a lookup would take more values than there are rows; the result is the same.
     may_scan: bool = True
 
 
-def masks(radius: int) -> list[int]:
-    """All 16-bit values with that many bits set."""
-    return [sum(1 << i for i in c) for c in combinations(range(SEGMENT), radius)]
+@lru_cache
+def masks(radius: int) -> np.ndarray:
+    return np.array([sum(1 << i for i in c) for c in combinations(range(SEGMENT), radius)], np.int64)
 
 
 def sign_codes(rows: DataFrame, key: str, vector: str) -> DataFrame:
-    """id and code: a bit for each coordinate, set if it is positive, padded to whole segments, which are the code's numbers."""
-    v, bit = F.col("v"), lambda i: F.get(F.col("v"), i) > 0
-    segment = lambda s: F.aggregate(F.sequence(F.lit(0), F.lit(SEGMENT - 1)), F.lit(0), lambda h, i: h * 2 + F.when(bit(s * SEGMENT + i), 1).otherwise(0))
-    count = F.ceil(F.size(v) / SEGMENT).cast("int")
-    code = F.transform(F.sequence(F.lit(0), count - 1), segment)
-    return rows.select(F.col(key).cast("long").alias("id"), F.col(vector).alias("v")).where("id IS NOT NULL AND size(v) > 0").select("id", code.alias("code"))
-
-
-def bits_between(a: Column, b: Column) -> Column:
-    """For each segment in how many bits two codes differ."""
-    return F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y)))
-
-
-def added(numbers: Column) -> Column:
-    return F.aggregate(numbers, F.lit(0), lambda n, x: n + x).cast("long")
-
-
-def listed(rows: DataFrame, by: str, order: list[str], k: int) -> DataFrame:
-    """The first 2 k rows for each `by`, at most k of one id: whatever id is left out of them, k are left, or all there are."""
-    once = rows.withColumn("nth", F.row_number().over(Window.partitionBy(by, "id").orderBy(*[c for c in order if c != "id"], "id"))).where(F.col("nth") <= k)
-    return once.withColumn("nth", F.row_number().over(Window.partitionBy(by).orderBy(*order))).where(F.col("nth") <= 2 * k).drop("nth")
+    """id and code: a bit for each coordinate, set if it is positive, padded to whole segments."""
+
+    def run(batches):
+        for batch in batches:
+            kept = [(i, v) for i, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if v and i is not None]
+            codes = [np.packbits(np.pad(np.array([x or 0 for x in v], float) > 0, (0, -len(v) % SEGMENT)).reshape(-1)).tobytes() for _, v in kept]
+            yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in kept], pa.int64()), pa.array(codes, pa.binary())], ["id", "code"])
+
+    return rows.select(F.col(key).alias("id"), F.col(vector).alias("v")).mapInArrow(run, "id long, code binary")
+
+
+class Index:
+    def __init__(self, ids: np.ndarray, codes: np.ndarray):
+        """codes: [row, byte], two bytes for a segment."""
+        self.ids, self.codes = ids, codes
+        self.segments = codes[:, 0::2].astype(np.int64) << 8 | codes[:, 1::2]
+        self.order = [np.argsort(s, kind="stable") for s in self.segments.T]
+        self.starts = [np.searchsorted(s[o], np.arange(2**SEGMENT + 1)) for s, o in zip(self.segments.T, self.order)]
+
+    def rows(self, segment: int, values: np.ndarray) -> np.ndarray:
+        low, high = self.starts[segment][values], self.starts[segment][values + 1]
+        full = high > low
+        low, size = low[full], (high - low)[full]
+        at = np.repeat(low - np.cumsum(size) + size, size) + np.arange(size.sum())
+        return self.order[segment][at]
+
+    def nearest(self, own: int, code: np.ndarray, k: int, may_scan: bool) -> list[tuple[int, int]]:
+        """(distance, id) of the k nearest other rows, in order."""
+        m, seen, best = self.segments.shape[1], np.zeros(len(self.ids), bool), []
+        mine = code[0::2].astype(np.int64) << 8 | code[1::2]
+        for radius in range(SEGMENT + 1):
+            whole = may_scan and m * len(masks(radius)) >= len(self.ids)  # more values than rows: meet all that is left
+            for s in range(m):
+                met = np.flatnonzero(~seen) if whole else self.rows(s, mine[s] ^ masks(radius))
+                met = np.unique(met[~seen[met]])
+                seen[met] = True
+                met = met[self.ids[met] != own]  # before the cut below: rows of the query's own id must not take up its places
+                if len(met):
+                    far = np.bitwise_count(self.codes[met] ^ code).sum(axis=1)
+                    if len(met) > 4 * k:
+                        near = far <= np.partition(far, k - 1)[k - 1]
+                        met, far = met[near], far[near]
+                    best = sorted([*best, *((int(d), int(i)) for d, i in zip(far, self.ids[met]))])[:k]
+                if whole or len(best) == k and best[-1][0] <= m * radius + s:
+                    return best
+        return best
 
 
 def top_k(rows: DataFrame, queries: DataFrame, spec: Spec = Spec()) -> DataFrame:
     """query_id, id, distance and rank; rows and queries: id, code."""
-    spark, k = rows.sparkSession, spec.k
-    queries = materialise(queries.groupBy("id").agg(F.min("code").alias("code")).select(F.col("id").alias("query_id"), "code"), "queries")
-    held = materialise(listed(rows, "code", ["id"], k).groupBy("code").agg(F.array_sort(F.collect_list("id")).alias("ids")), "codes")  # at most 2 k ids each
-    open_ = materialise(queries.select("code").distinct(), "open")
-    most = held.agg(F.max(F.size("code"))).first()[0] or 0
-    codes = held.count()
-    index = held.select("code", "ids", F.posexplode("code").alias("s", "value")).withColumn("length", F.size("code"))
-    best = materialise(local_rows(spark, [{"asked": 0, "id": 0, "distance": 0}]).select(F.array("asked").alias("asked"), F.col("id").cast("long").alias("id"), F.col("distance").cast("long").alias("distance")).where("false"), "best")
-    for radius in range(SEGMENT + 1):
-        if open_.isEmpty():
-            break
-        values = masks(radius)
-        whole = spec.may_scan and most * len(values) >= codes
-        if whole:
-            blocks = -(-open_.count() // spec.block_queries)
-            asked = open_.select(F.col("code").alias("asked"), F.size("code").alias("length"), F.pmod(F.xxhash64("code"), F.lit(blocks)).alias("block"))
-            everywhere = held.select("code", "ids", F.size("code").alias("length"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"))
-            met = everywhere.join(asked, ["length", "block"]).withColumn("far", bits_between(F.col("code"), F.col("asked"))).where(F.array_min("far") >= radius)
-        else:
-            looked = F.explode(F.array(*[F.lit(m) for m in values]))
-            asked = open_.select(F.col("code").alias("asked"), F.size("code").alias("length"), F.posexplode("code").alias("s", "own")).withColumn("mask", looked).withColumn("value", F.col("own").bitwiseXOR(F.col("mask"))).drop("own", "mask")
-            near = F.array_min(F.transform("far", lambda d, s: F.struct(d.alias("d"), s.alias("s"))))
-            met = index.join(asked, ["length", "s", "value"]).withColumn("far", bits_between(F.col("code"), F.col("asked"))).where((near["d"] == radius) & (near["s"] == F.col("s")))
-        found = met.select("asked", F.explode("ids").alias("id"), added(F.col("far")).alias("distance"))
-        best = materialise(listed(best.unionByName(found), "asked", ["distance", "id"], k), "best")
-        if whole:
-            break
-        covered = F.size("asked") * (radius + 1) - 1
-        of_id = best.where(F.col("distance") <= covered).groupBy("asked", "id").agg(F.count(F.lit(1)).alias("n"))
-        closed = of_id.groupBy("asked").agg((F.sum("n") - F.max("n")).alias("sure")).where(F.col("sure") >= k).select(F.col("asked").alias("code"))
-        open_ = materialise(open_.join(closed, "code", "left_anti"), "open")
+    rows, queries = materialise(rows, "codes"), materialise(queries.groupBy("id").agg(F.min("code").alias("code")), "queries")
+    parts = [max(1, -(-df.count() // n)) for df, n in ((rows, spec.block_rows), (queries, spec.block_queries))]
+    block = lambda n: F.pmod(F.xxhash64("id"), F.lit(n).cast("long"))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    left = rows.withColumn("r", block(parts[0])).withColumn("q", every(parts[1]))
+    right = queries.withColumn("q", block(parts[1])).withColumn("r", every(parts[0]))
+
+    def search(key, own: pa.Table, asked: pa.Table) -> pa.Table:
+        found = []
+        sizes = {len(c) for c in asked.column("code").to_pylist()} & {len(c) for c in own.column("code").to_pylist()}
+        for size in sorted(sizes - {0}):
+            pick = lambda t: [(i, c) for i, c in zip(t.column("id").to_pylist(), t.column("code").to_pylist()) if len(c) == size]  # noqa: B023, E731
+            held = pick(own)
+            index = Index(np.array([i for i, _ in held], np.int64), np.frombuffer(b"".join(c for _, c in held), np.uint8).reshape(len(held), size))
+            for i, c in pick(asked):
+                found += [(i, n, d) for d, n in index.nearest(i, np.frombuffer(c, np.uint8), spec.k, spec.may_scan)]
+        return pa.table({"query_id": pa.array([f[0] for f in found], pa.int64()), "id": pa.array([f[1] for f in found], pa.int64()), "distance": pa.array([f[2] for f in found], pa.int64())})
+
+    met = left.groupBy("r", "q").cogroup(right.groupBy("r", "q")).applyInArrow(search, "query_id long, id long, distance long")
     order = Window.partitionBy("query_id").orderBy("distance", "id")
-    own = queries.join(best, F.col("code") == F.col("asked")).where("id <> query_id").select("query_id", "id", "distance")
-    return own.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k)
+    return met.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= spec.k)
 
 
 def op2_hamming_topk(spark, sf_dir: str) -> DataFrame:

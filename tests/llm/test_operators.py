@@ -222,7 +222,7 @@ def test_hamming_equals_brute_force(spark, may_scan):
     rows = [(i, [float(x) for x in rng.normal(size=32)]) for i in range(300)] + [(1000 + i, [1.0] * 32) for i in range(40)] + [(2000, None), (None, [1.0] * 32), (3000, [1.0] * 16), (4000, [])]
     rows += [(i, rows[i][1]) for i in (0, 0, 0, 7)]
     codes = hamming_topk.sign_codes(spark.createDataFrame(rows, "id long, v array<double>"), "id", "v")
-    got = hamming_topk.top_k(codes, codes.where("id % 100 = 0"), hamming_topk.Spec(k=5, block_queries=3, may_scan=may_scan)).toPandas()
+    got = hamming_topk.top_k(codes, codes.where("id % 100 = 0"), hamming_topk.Spec(k=5, block_rows=100, block_queries=3, may_scan=may_scan)).toPandas()
     bits = [(i, np.array(v) > 0) for i, v in rows if i is not None and v is not None]
     for q in (0, 100, 200, 1000, 3000, 4000):
         mine = next(b for i, b in bits if i == q)
