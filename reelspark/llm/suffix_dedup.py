@@ -22,8 +22,8 @@ shuffled twice, to cut segments and to remove spans. A task holds one key's segm
 most `most`) and one document.
 
 Cases: a null or empty text has no spans. A row without doc_id comes after all others.
-Rows that share a doc_id count as one document: (doc_id, start) alone says which window is
-earlier, so repeated rows lose the same bytes. Repeats inside a document, overlapping ones
+Of rows that share a doc_id an earlier start comes first, at one start the text of smaller
+hash; repeated rows lose the same bytes. Repeats inside a document, overlapping ones
 too, count. An empty table gives an empty result. Extra columns pass through `keep` only;
 one that bears the name of a result column comes back with "_input" appended. What is left
 of a text is binary, since a span can end inside a character.
@@ -182,8 +182,12 @@ def merged(shards: list[Shard], length: int) -> tuple[np.ndarray, np.ndarray, np
     return shard, np.concatenate([s.string for s in shards])[rows], np.concatenate([s.offset for s in shards])[rows], interval
 
 
-def later_windows(strings: list[bytes], document: np.ndarray, at: np.ndarray, length: int, shard_bytes: int = 1 << 17) -> tuple[np.ndarray, np.ndarray]:
-    """String and offset of every window that also starts earlier, in order; a string is the text of a document from at on."""
+def later_windows(strings: list[bytes], document: np.ndarray, mark: np.ndarray, at: np.ndarray, length: int, shard_bytes: int = 1 << 17) -> tuple[np.ndarray, np.ndarray]:
+    """String and offset of every window that also starts earlier, in order; a string is the text of a document from at on.
+
+    Earlier is what has the smaller document, of one document the smaller start, of one start the smaller mark.
+    """
+    assert len(strings) < 1 << 16, "too many strings for one merge"
     shards, first, held = [], [0], 0
     for i, s in enumerate(strings):
         held += len(s) + 1
@@ -195,7 +199,8 @@ def later_windows(strings: list[bytes], document: np.ndarray, at: np.ndarray, le
     if not len(string):
         return string, offset
     string = np.array(first)[shard] + string
-    place = np.unique(document, return_inverse=True)[1].astype(np.int64)[string] << 32 | (at[string] + offset)
+    rank = lambda values: np.unique(values, return_inverse=True)[1].astype(np.int64)[string]
+    place = rank(document) << 47 | (at[string] + offset) << 16 | rank(mark)
     least = np.minimum.reduceat(place, np.flatnonzero(np.diff(interval, prepend=-1)))
     later = place > least[interval]
     string, offset = string[later], offset[later]
@@ -227,7 +232,7 @@ def repeated_spans(docs: DataFrame, length: int = 100, most: int = 4096, merge_b
     met = materialise(found.join(again, "key", "left_semi"), "segments")
     firsts = materialise(met.groupBy("key", "segment").agg(F.min(F.struct("doc", "at", "mark", "n")).alias("first"), F.count(F.lit(1)).alias("copies")), "firsts")
     copied = met.join(firsts.where("copies > 1").select("key", "segment", "first"), ["key", "segment"])
-    whole = copied.where((F.col("doc") != F.col("first.doc")) | (F.col("at") != F.col("first.at"))).select("doc", "mark", F.col("at").alias("start"), (F.col("at") + F.col("n") + length - 1).alias("finish"))
+    whole = copied.where(F.struct("doc", "at", "mark") != F.struct("first.doc", "first.at", "first.mark")).select("doc", "mark", F.col("at").alias("start"), (F.col("at") + F.col("n") + length - 1).alias("finish"))
 
     shared = firsts.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key", (F.col("c") > most).alias("common"))
     asked = firsts.select("key", "first.*").join(shared, "key").groupBy("doc", "mark").agg(F.collect_set(F.struct("at", "n", "key", "common")).alias("asked"))
@@ -246,9 +251,10 @@ def repeated_spans(docs: DataFrame, length: int = 100, most: int = 4096, merge_b
     pieces = materialise(texts.mapInArrow(cut, "key long, doc long, mark int, at int, common boolean, body binary"), "pieces")
 
     def settle(keys, doc, mark, at, body):
-        string, offset = later_windows(body, np.array(doc, np.int64), np.array(at, np.int64), length)
+        doc, mark, at = np.array(doc, np.int64), np.array(mark, np.int32), np.array(at, np.int64)
+        string, offset = later_windows(body, doc, mark, at, length)
         i, start, finish = _spans(string, offset, length)
-        doc, mark, at = np.array(doc, np.int64)[i], np.array(mark, np.int32)[i], np.array(at, np.int64)[i]
+        doc, mark, at = doc[i], mark[i], at[i]
         return pa.RecordBatch.from_arrays([doc, mark, (at + start).astype(np.int32), (at + finish).astype(np.int32)], ["doc", "mark", "start", "finish"])
 
     def merge(batches):
@@ -276,8 +282,8 @@ def repeated_spans(docs: DataFrame, length: int = 100, most: int = 4096, merge_b
                 yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), pa.array([d] * n, pa.int64()), pa.array([m] * n, pa.int32()), pa.array(range(a, a + n), pa.int32())], ["window", "doc", "mark", "at"])
 
     single = pieces.where("common").select("doc", "mark", "at", "body").mapInArrow(windows, "window binary, doc long, mark int, at int")
-    earliest = single.groupBy("window").agg(F.min(F.struct("doc", "at")).alias("first"))
-    common = single.join(earliest, "window").where(F.struct("doc", "at") != F.col("first")).select("doc", "mark", F.col("at").alias("start"), (F.col("at") + length).alias("finish"))
+    earliest = single.groupBy("window").agg(F.min(F.struct("doc", "at", "mark")).alias("first"))
+    common = single.join(earliest, "window").where(F.struct("doc", "at", "mark") != F.col("first")).select("doc", "mark", F.col("at").alias("start"), (F.col("at") + length).alias("finish"))
     return whole.unionByName(merged_).unionByName(common)
 
 

@@ -70,19 +70,19 @@ def test_filter_audit_equals_loops(spark):
     assert {r.good_lost for r in filter_audit.audited(filter_audit.histograms(frame, told.where("false"))).collect()} == {0}
 
 
-def passages_loops(docs, length):
-    """docs: (doc_id, text); spans and kept bytes of each."""
+def passages_loops(docs, length, marks=None):
+    """docs: (doc_id, text), marks: what orders texts of one doc_id; spans and kept bytes of each."""
     first = {}
-    bodies = [((1 << 63) - 1 if i is None else i, (t or "").encode()) for i, t in docs]
-    for i, b in bodies:
+    bodies = [((1 << 63) - 1 if i is None else i, (t or "").encode(), m) for (i, t), m in zip(docs, marks or [0] * len(docs))]
+    for i, b, m in bodies:
         for p in range(len(b) - length + 1):
             w = b[p : p + length]
-            first[w] = min(first.get(w, (i, p)), (i, p))
+            first[w] = min(first.get(w, (i, p, m)), (i, p, m))
     found = []
-    for i, b in bodies:
+    for i, b, m in bodies:
         gone = np.zeros(len(b) + 1, bool)
         for p in range(len(b) - length + 1):
-            if (i, p) > first[b[p : p + length]]:
+            if (i, p, m) > first[b[p : p + length]]:
                 gone[p : p + length] = True
         edge = np.diff(np.concatenate([[0], gone[:-1].astype(int), [0]])) if len(b) else np.zeros(1, int)
         found.append((list(zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist())), bytes(np.frombuffer(b, np.uint8)[~gone[:-1]]) if b else b""))
@@ -98,7 +98,9 @@ def planted(rng, n, length):
         parts = [passages[rng.integers(5)] if rng.random() < 0.4 else word(int(rng.integers(1, 2 * length))) for _ in range(rng.integers(1, 6))]
         texts.append("".join(parts))
     texts += [texts[k] for k in rng.integers(7, len(texts), n // 4)]
-    return [(None if rng.random() < 0.05 else int(rng.integers(0, len(texts))) if rng.random() < 0.2 else k, t) for k, t in enumerate(texts)]
+    texts += [texts[-1][:-3] + "z", texts[-2] + "z"]
+    found = [(None if rng.random() < 0.05 else int(rng.integers(0, len(texts))) if rng.random() < 0.2 else k, t) for k, t in enumerate(texts)]
+    return [*found, *((i, t + "z") for i, t in found[10:20])]  # two texts of one doc_id
 
 
 @pytest.mark.parametrize("length,most", [(20, 4096), (20, 2), (100, 4096), (7, 3), (100, 1)])
@@ -107,7 +109,8 @@ def test_passages_equal_loops(spark, length, most):
     docs = planted(rng, 60, length)
     frame = spark.createDataFrame([(k, i, t, "x", "y") for k, (i, t) in enumerate(docs)], "row int, doc_id long, text string, kept string, spans string")
     got = {r.row: r for r in suffix_dedup.without_repeats(frame, ["row", "doc_id", "kept"], length=length, most=most).collect()}
-    want = passages_loops(docs, length)
+    marks = [r.m for r in frame.selectExpr("row", "hash(CAST(coalesce(text, '') AS BINARY)) AS m").orderBy("row").collect()]
+    want = passages_loops(docs, length, marks)
     for k in range(len(docs)):
         assert ([tuple(s) for s in got[k].spans], bytes(got[k].kept)) == want[k], (k, docs[k])
         assert (got[k].doc_id, got[k].kept_input) == (docs[k][0], "x")
