@@ -3,17 +3,26 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df, computed and stored in the folder of spark.checkpoint.dir; a local master without one gets a temporary folder."""
+    """df, written as Parquet to the folder of spark.checkpoint.dir and read back; a local master without one gets a temporary folder.
+
+    What was written is deleted when the application ends, since results may read it until then.
+    """
     spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        if not named and not context.master.startswith("local"):
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not named:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="reelspark-"))
-    return df.checkpoint()
+        named = tempfile.mkdtemp(prefix="reelspark-")
+        spark.conf.set("spark.checkpoint.dir", named)
+    path = f"{named.rstrip('/')}/cut-{uuid.uuid4().hex}"
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -5,7 +5,7 @@ import math
 import numpy as np
 import pytest
 
-from reelspark.operators import greedy
+from reelspark.operators import greedy, scenes, selection
 from reelspark.plans import catalogue, flow
 from reelspark.plans.bridge import view
 from reelspark.plans.parameters import Parameters, preset, quotas, resolve
@@ -153,6 +153,60 @@ def test_scene_queries_equal_loops(spark):
         assert (r.scenes, r.p50, r.p95, r.largest) == pytest.approx((len(sizes[r.pool]), np.percentile(sizes[r.pool], 50), np.percentile(sizes[r.pool], 95), sizes[r.pool].max()))
 
 
+@pytest.mark.parametrize("block_rows,window,pools", [(20, 3, 1), (60, 64, 1), (24, 0, 3), (1_000_000, 5, 2)])
+def test_scenes_in_blocks_equal_loops(spark, block_rows, window, pools):
+    """Blocks far smaller than a scene, and pools of few scenes, whose state goes on through all blocks."""
+    rng = np.random.default_rng(block_rows)
+    items = []
+    for k in range(400):
+        kind = (k // 37) % 6 if pools == 1 else int(rng.integers(40))
+        h = (kind * 0x9E3779B97F4A7C15) % 2**64
+        for bit in rng.choice(64, int(rng.integers(0, 6)), replace=False):
+            h ^= 1 << int(bit)
+        clip = None if k % 7 == 0 else [float(x) for x in rng.normal(0, 0.4, 8) + (np.arange(8) == kind % 8) * 3]
+        items.append({"pool": None if k % pools == 2 else k % pools, "id": k, "ts": float(rng.integers(0, 150)), "path": f"p{k % 50:03d}", "hash": h, "clip": clip, "q": float(rng.integers(0, 10)) / 10})
+    rows = [(x["pool"], x["id"], x["ts"], x["path"], x["hash"] - 2**64 if x["hash"] >= 2**63 else x["hash"], x["clip"], x["q"]) for x in items]
+    frame = spark.createDataFrame(rows, "pool int, id long, ts double, path string, hash long, clip array<double>, q double")
+    got = {r.id: r.scene for r in scenes.cluster_scenes(frame, "pool", 0.9, 7, 4.0, window, block_rows).collect()}
+    want = {}
+    for pool in {x["pool"] for x in items}:
+        own = [x | {"clip": None if x["clip"] is None else np.array(x["clip"]), "path": (x["path"], x["id"])} for x in items if x["pool"] == pool]
+        want |= loops_scenes(own, 0.9, 7, 4.0, window)
+    assert got == want
+    sizes = scenes.in_blocks(frame, ["pool", "ts", "path", "id"], block_rows).groupBy("block").count().collect()
+    assert max(r["count"] for r in sizes) <= block_rows and len(sizes) >= min(400 / block_rows, 2)
+    assert scenes.cluster_scenes(frame.where("false"), "pool").count() == 0
+
+
+@pytest.mark.parametrize("scenes_given,depth,given", [
+    (1, 1, Parameters(most=14, by_category=(("portrait", 3, 5), ("closeup", 2, 4), ("profile", 0, 3), ("wide", 2, 9)))),
+    (2, 2, Parameters(most=40, soft_cap=1, soft_penalty=0.2, by_category=(("wide", 4, 6), ("portrait", 0, 50), ("closeup", 9, 12), ("profile", 0, 2)))),
+    (128, 16, Parameters(most=500)),
+])
+def test_selection_by_heads_equals_loops(spark, scenes_given, depth, given):
+    """One pool of many scenes with a very large one; heads so small that most rounds end for want of a bound."""
+    rng = np.random.default_rng(depth)
+    rows, found = [], {}
+    for k in range(300):
+        pool = [None, 1, 2][int(rng.choice(3, p=[0.1, 0.2, 0.7]))]
+        scene = 5 if rng.random() < 0.4 else int(rng.integers(0, 30))
+        own = found.setdefault(pool, {}).setdefault(scene, [])
+        h = int(rng.integers(0, 40)) * 0x9E3779B97F4A7C15 % 2**64 ^ (1 << int(rng.integers(64)))
+        vec = None if rng.random() < 0.2 else [float(x) for x in rng.integers(-2, 3, 6) / 4]
+        x = {"id": k, "path": "", "q": float(rng.integers(0, 30)) / 30, "category": ["portrait", "closeup", "wide", "odd"][int(rng.integers(4))], "is_profile": bool(rng.random() < 0.3), "hash": h, "vec": vec}
+        rows.append((pool, k, scene, len(own), x["category"], x["is_profile"], x["q"], h - 2**64 if h >= 2**63 else h, vec))
+        own.append(x | {"vec": None if vec is None else np.array(vec)})
+    frame = spark.createDataFrame(rows, "pool int, id long, scene int, place int, category string, is_profile boolean, q double, hash long, vec array<double>")
+    got = {}
+    for r in selection.select_by_quota(frame, "pool", given.quotas(), 25, scenes_given, depth).collect():
+        got.setdefault(r.pool, []).append((r["rank"], r.id, r.scene, r.category, r.quality, r.redundancy, r.score))
+    for pool, own in found.items():
+        want = [(w[0], w[1], w[3], w[4], *w[6:]) for w in loops_selection(own, given)]
+        assert [g[:4] for g in sorted(got[pool])] == [w[:4] for w in want]
+        assert all(math.isclose(a, b, abs_tol=1e-9) for g, w in zip(sorted(got[pool]), want) for a, b in zip(g[4:], w[4:]))
+    assert selection.select_by_quota(frame.where("false"), "pool").count() == 0
+
+
 @pytest.mark.parametrize("most", [3, 7, 18])
 def test_near_hashes_everywhere_equal_loops(spark, most):
     rng = np.random.default_rng(most)
