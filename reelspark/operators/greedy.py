@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import iou
@@ -27,66 +29,175 @@ def drop_near_hashes(rows: DataFrame, group: list[str], order: list[str], key: s
     return rows.groupBy(*group).agg(kept.alias("kept")).select(*group, F.inline("kept"))
 
 
-def near_hash_pairs(hashes: DataFrame, key: str, most: int) -> DataFrame:
-    """Pairs (a, b) of distinct 64-bit hashes within `most` bits, each in both orders.
+def _lookup(rows: int, most: int) -> tuple[int, list[int]]:
+    """Into how many segments to cut 64 bits, and the masks of what a lookup in one must try.
 
-    Multi-index: of m segments at least one differs in at most most // m bits, so one side
-    looks up its segments' values and their neighbours, and the pairs are then confirmed.
+    Of m segments at least one differs in at most most // m bits. Few long segments need
+    many lookups, many short ones meet many rows; the cheapest for that many rows is taken.
     """
-    parts = next((m for m in (4, 8) if most // m <= 2), 16)
-    width, radius = 64 // parts, most // parts
-    masks = [sum(1 << i for i in c) for r in range(radius + 1) for c in combinations(range(width), r)]
-    value = lambda s: F.shiftrightunsigned(F.col(key), s * width).bitwiseAND(F.lit((1 << width) - 1))
-    segments = F.explode(F.array(*[F.struct(F.lit(s).alias("s"), value(s).alias("v")) for s in range(parts)]))
-    held = hashes.select(F.col(key).alias("a"), segments.alias("x")).select("a", "x.s", "x.v")
-    asked = held.select(F.col("a").alias("b"), "s", "v").withColumn("v", F.explode(F.transform(F.array(*[F.lit(m).cast("long") for m in masks]), lambda m: m.bitwiseXOR(F.col("v")))))
-    return held.join(asked, ["s", "v"]).where((F.col("a") != F.col("b")) & (hamming(F.col("a"), F.col("b")) <= most)).select("a", "b").distinct()
-
-
-def drop_near_hashes_everywhere(rows: DataFrame, order: list[str], key: str, most: int) -> DataFrame:
-    """As drop_near_hashes over all rows, which no task holds: order and key of the rows kept.
-
-    Of equal hashes only the first can be kept. Of the rest, in rounds, those without an
-    undecided earlier neighbour are kept and drop their later ones; a round is two joins of
-    pairs, and there are as many rounds as the longest chain of dependent rows.
+    best = None
+    for parts in range(1, 17):
+        width, radius = 64 // parts, most // parts
+        lookups = parts * sum(math.comb(width, r) for r in range(radius + 1))
+        cost = lookups * (1 + rows / 2**width)
+        if best is None or cost < best[0]:
+            best = cost, parts, width, radius
+    _, parts, width, radius = best
+    return parts, [sum(1 << i for i in c) for r in range(radius + 1) for c in combinations(range(width), r)]
+
+
+def drop_near_hashes_everywhere(rows: DataFrame, order: list[str], key: str, most: int, group: list[str] = []) -> DataFrame:
+    """As drop_near_hashes, but no task holds a group (by default all rows are one): group, order and key of the rows kept.
+
+    Of equal hashes only the first can be kept. Hashes are looked up by segments, the
+    number of which follows the number of rows. In rounds, a row that is the first of all
+    undecided rows in the buckets it looks up is kept, and drops the later rows near it.
+    So a cluster of near copies costs a comparison for each row and kept row, not one for
+    each pair. The first undecided row is decided in every round.
     """
-    first = cut(rows.groupBy(key).agg(F.min(F.struct(*order)).alias("o")))
-    place = lambda side: first.select(F.col(key).alias(side), F.col("o").alias(f"o_{side}"))
-    pairs = cut(near_hash_pairs(first, key, most).join(place("a"), "a").join(place("b"), "b").where("o_a < o_b").select("a", "b"))
-    dropped = []
-    while not pairs.isEmpty():
-        kept = pairs.select("a").distinct().join(pairs.select(F.col("b").alias("a")), "a", "left_anti")
-        lost = cut(pairs.join(kept, "a", "left_semi").select("b").distinct())
-        dropped.append(lost)
-        alive = pairs.join(kept, "a", "left_anti").join(lost, "b", "left_anti")
-        pairs = cut(alive.join(lost.select(F.col("b").alias("a")), "a", "left_anti"))
-    for lost in dropped:
-        first = first.join(lost.select(F.col("b").alias(key)), key, "left_anti")
-    return first.select("o.*", key)
-
-
-def diverse_permutation(rows: DataFrame, group: list[str], alpha: float) -> DataFrame:
+    left = cut(rows.groupBy(*group, key).agg(F.min(F.struct(*order)).alias("o")))
+    parts, masks = _lookup(left.count(), most)
+    width = 64 // parts
+    value = lambda s: F.shiftrightunsigned(F.col(key), s * width).bitwiseAND(F.lit((1 << width) - 1 if width < 64 else -1))
+    own = F.explode(F.array(*[F.struct(F.lit(s).alias("s"), value(s).alias("v")) for s in range(parts)]))
+    near = F.explode(F.transform(F.array(*[F.lit(m).cast("long") for m in masks]), lambda m: m.bitwiseXOR(F.col("v"))))
+    bucket = [*group, "s", "v"]
+    same = lambda a, b: [F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in bucket]
+    found = []
+    while not left.isEmpty():
+        held = left.select(*group, key, "o", own.alias("x")).select(*group, key, "o", "x.*")
+        first = held.groupBy(*bucket).agg(F.min("o").alias("first")).alias("m")
+        asked = held.select(*group, key, "o", "s", near.alias("v")).alias("a")
+        free = asked.join(first, same("a", "m")).groupBy(*[f"a.{c}" for c in [*group, key]]).agg(F.min("first").alias("first"), F.first("o").alias("o")).where("first = o").drop("first")
+        free = cut(free)
+        found.append(free)
+        stars = free.select(*group, key, "o", own.alias("x")).select(*group, F.col(key).alias("kept"), "x.s", "x.v").select(*group, "kept", "s", near.alias("v")).alias("a")
+        lost = stars.join(held.alias("h"), same("a", "h")).where(hamming(F.col("kept"), F.col(f"h.{key}")) <= most).select(*[f"h.{c}" for c in [*group, key]]).distinct().alias("l")
+        left = left.alias("r").join(lost, [F.col(f"r.{c}").eqNullSafe(F.col(f"l.{c}")) for c in [*group, key]], "left_anti")
+        left = cut(left)
+    if not found:
+        return left.select(*group, "o.*", key)
+    kept = found[0]
+    for f in found[1:]:
+        kept = kept.unionByName(f)
+    return kept.select(*group, "o.*", key)
+
+
+def drop_near_hashes_of_any(rows: DataFrame, group: list[str], order: list[str], key: str, most: int, block_rows: int = 20_000) -> DataFrame:
+    """As drop_near_hashes; groups of more than block_rows rows, which no task should hold, are settled in rounds. The order must be total."""
+    large = cut(rows.groupBy(*group).agg(F.count(F.lit(1)).alias("n_group")).where(F.col("n_group") > block_rows).select(*group))
+    if large.isEmpty():
+        return drop_near_hashes(rows, group, order, key, most)
+    on = [F.col(f"r.{c}").eqNullSafe(F.col(f"g.{c}")) for c in group]
+    part = lambda how: rows.alias("r").join(large.alias("g"), on, how).select("r.*")
+    names = [*group, *order, key]
+    return drop_near_hashes(part("left_anti"), group, order, key, most).select(*names).unionByName(drop_near_hashes_everywhere(part("left_semi"), order, key, most, group).select(*names))
+
+
+class _Diverse:
+    """Rows of a group in their order, with what each is worth against what is picked; lazily, since that only goes down."""
+
+    def __init__(self, q: np.ndarray, vecs: list, alpha: float, again: np.ndarray | None = None):
+        width = max((len(v) for v in vecs if v is not None), default=0)
+        self.table = np.zeros((len(vecs), width))
+        for i, v in enumerate(vecs):
+            if v is not None:
+                self.table[i, : len(v)] = v
+        self.q, self.alpha = q, alpha
+        self.again = np.zeros(len(q)) if again is None else again.copy()
+        self.worth = alpha * q - (1 - alpha) * self.again
+        self.seen = np.zeros(len(q), np.int64)
+        self.vectors, self.picked = np.zeros((len(q), width)), []
+
+    def next(self) -> tuple[int, float]:
+        """The best row, the first of equal ones, and its worth, once that is up to date."""
+        while True:
+            i = int(np.argmax(self.worth))
+            n = len(self.picked)
+            if self.seen[i] == n or self.worth[i] == -np.inf:
+                return i, float(self.worth[i])
+            dots = (self.vectors[self.seen[i] : n] * self.table[i]).sum(axis=1)
+            self.again[i] = max(self.again[i], dots.max())
+            self.worth[i], self.seen[i] = self.alpha * self.q[i] - (1 - self.alpha) * self.again[i], n
+
+    def pick(self, i: int) -> None:
+        self.vectors[len(self.picked)] = self.table[i]
+        self.picked.append(i)
+        self.worth[i] = -np.inf
+
+
+def diverse_permutation(rows: DataFrame, group: list[str], alpha: float, block_rows: int = 20_000, head: int = 2048) -> DataFrame:
     """Maximal marginal relevance over the whole of each group: group, id and rank (from 0). Columns: id, order, q, vec (or null).
 
-    Ties go to the smaller order. A group is a scene, which one task holds; each step
-    updates the largest similarity to what is picked, so it costs rows times picks.
+    Ties go to the smaller order, which no two rows of a group share. A task holds a group
+    of up to block_rows rows. A larger group is ordered in rounds: its rows lie in parts of
+    that size, and one task picks from the `head` rows that are worth most, as long as the
+    best of them is worth more than the best row beyond; the parts then take note of what
+    was picked. What a row is worth never rises, so nothing beyond could have come first.
     """
+    kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in [*group, "id"])
+    slim = rows.select(*group, "id", "order", F.col("q").cast("double").alias("q"), F.col("vec").cast("array<double>").alias("vec"))
 
     def walk(own: pa.Table) -> pa.Table:
         own = own.sort_by("order")
-        q, vecs = own.column("q").to_numpy().astype(float), own.column("vec").to_pylist()
-        width = max((len(v) for v in vecs if v is not None), default=0)
-        table = np.array([np.pad(np.asarray(v or [], float), (0, width - len(v or []))) for v in vecs]).reshape(len(vecs), width)
-        again, left, picked = np.zeros(len(q)), np.ones(len(q), bool), []
-        while left.any():
-            best = int(np.argmax(np.where(left, alpha * q - (1 - alpha) * again, -np.inf)))
-            picked.append(best)
-            left[best] = False
-            again = np.maximum(again, table @ table[best])
-        return pa.table([*(own.column(c).take(picked) for c in [*group, "id"]), pa.array(range(len(picked)), pa.int32())], names=[*group, "id", "rank"])
-
-    kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in [*group, "id"])
-    return rows.select(*group, "id", "order", "q", "vec").groupBy(*group).applyInArrow(walk, f"{kinds}, rank int")
+        state = _Diverse(own.column("q").to_numpy().astype(float), own.column("vec").to_pylist(), alpha)
+        for _ in range(len(own)):
+            state.pick(state.next()[0])
+        return pa.table([*(own.column(c).take(state.picked) for c in [*group, "id"]), pa.array(range(len(state.picked)), pa.int32())], names=[*group, "id", "rank"])
+
+    large = cut(slim.groupBy(*group).agg(F.count(F.lit(1)).alias("n_group")).where(F.col("n_group") > block_rows))
+    if large.isEmpty():
+        return slim.groupBy(*group).applyInArrow(walk, f"{kinds}, rank int")
+    on = [F.col(f"r.{c}").eqNullSafe(F.col(f"g.{c}")) for c in group]
+    small = slim.alias("r").join(large.alias("g"), on, "left_anti").groupBy(*group).applyInArrow(walk, f"{kinds}, rank int")
+    parts = F.ceil(F.col("n_group") / block_rows).cast("int")
+    left = cut(slim.alias("r").join(large.alias("g"), on).select(F.struct(*[f"r.{c}" for c in group]).alias("g"), F.pmod(F.xxhash64("order"), parts).cast("int").alias("part"), parts.alias("parts"), "id", "order", "q", "vec", F.lit(0.0).alias("again")))
+    key = "g " + left.schema["g"].dataType.simpleString()
+    id_kind, order_kind = (left.schema[c].dataType.simpleString() for c in ("id", "order"))
+
+    def choose(own: pa.Table) -> pa.Table:
+        own = own.sort_by("order")
+        place = own.column("n").to_numpy()
+        beyond = np.flatnonzero(place > head)  # the best row that is not in the head, if any
+        inside = own.filter(pa.array(place <= head))
+        state = _Diverse(inside.column("q").to_numpy(), inside.column("vec").to_pylist(), alpha, inside.column("again").to_numpy())
+        limit = own.column("worth").to_numpy()[beyond[0]] if len(beyond) else -np.inf
+        after = own.column("order")[int(beyond[0])].as_py() if len(beyond) else None
+        for turn in range(len(inside)):
+            i, worth = state.next()
+            if turn and (worth < limit or worth == limit and inside.column("order")[i].as_py() > after):
+                break
+            state.pick(i)
+        done = own.column("done")[0].as_py()
+        made = inside.take(state.picked)
+        return pa.table([*(made.column(c) for c in ("g", "parts", "id", "order", "vec")), pa.array(range(done, done + len(made)), pa.int32())], names=["g", "parts", "id", "order", "vec", "rank"])
+
+    def note(own: pa.Table, new: pa.Table) -> pa.Table:
+        if not len(own) or not len(new):
+            return own
+        vecs, again = own.column("vec").to_pylist(), own.column("again").to_numpy().copy()
+        table = _Diverse(again, vecs, alpha).table
+        for v in new.column("vec").to_pylist():
+            if v is not None:
+                width = min(len(v), table.shape[1])
+                again = np.maximum(again, (table[:, :width] * np.asarray(v[:width], float)).sum(axis=1))
+        gone = pc.is_in(own.column("order"), value_set=new.column("order").combine_chunks())
+        return own.set_column(own.column_names.index("again"), "again", pa.array(again)).filter(pc.invert(gone))
+
+    worth = alpha * F.col("q") - (1 - alpha) * F.col("again")
+    done, found = large.select(F.struct(*group).alias("g"), F.lit(0).alias("done")), []
+    while not left.isEmpty():
+        best = Window.partitionBy("g").orderBy(F.desc("worth"), "order")
+        heads = left.withColumn("worth", worth).withColumn("n", F.row_number().over(best)).where(F.col("n") <= head + 1).join(done, "g")
+        picks = cut(heads.groupBy("g").applyInArrow(choose, f"{key}, parts int, id {id_kind}, `order` {order_kind}, vec array<double>, rank int"))
+        found.append(picks)
+        done = cut(picks.groupBy("g").agg((F.max("rank") + 1).alias("done")))
+        told = picks.select("g", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "order", "vec")
+        schema = f"{key}, part int, parts int, id {id_kind}, `order` {order_kind}, q double, vec array<double>, again double"
+        left = cut(left.groupBy("g", "part").cogroup(told.groupBy("g", "part")).applyInArrow(note, schema))
+    for picks in found:
+        small = small.unionByName(picks.select("g.*", "id", "rank"))
+    return small
 
 
 def suppress_boxes(rows: DataFrame, group: list[str], order: list[str], limit: float = 0.45) -> DataFrame:

@@ -50,9 +50,10 @@ def _matrix(vecs: list, width: int | None = None) -> tuple[np.ndarray, np.ndarra
 
 
 def _again(again: np.ndarray, table: np.ndarray, has: np.ndarray, vec: np.ndarray | None, rules: Quotas) -> np.ndarray:
-    """Redundancy of rows after one more pick; each row's sum is its own, so that equal rows stay equal."""
-    seen = again if vec is None else np.maximum(again, (table[:, : len(vec)] * vec[: table.shape[1]]).sum(axis=1))
-    return np.where(has, seen, rules.no_vector)
+    """Redundancy of rows after one more pick, which counts only if it has a vector; each row's sum is its own, so that equal rows stay equal."""
+    if vec is None:
+        return again
+    return np.where(has, np.maximum(again, (table[:, : len(vec)] * vec[: table.shape[1]]).sum(axis=1)), rules.no_vector)
 
 
 def _far(hashes: np.ndarray, picked: int, rules: Quotas) -> np.ndarray:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scores, vectors
 from ..operators import greedy, scenes, selection
+from ..operators.lineage import cut
 from .catalogue import DOT, query
 from .parameters import Parameters
 
@@ -27,28 +28,40 @@ def curated(items: DataFrame, given: Parameters = Parameters()) -> DataFrame:
     """The pick log of each pool: rank, id, path, scene, category, quality, redundancy, score and is_profile.
 
     Steps: gate by identity and sharpness, sequential scenes, near copies dropped inside
-    scenes, diversity order inside scenes, then quotas. What is sequential runs inside a
-    pool or a scene; pools and scenes run in parallel.
+    scenes (of all rows of a pool if not scene_aware), diversity order inside scenes, then
+    quotas. Each step deals a pool or a scene that is too large for a task to many.
+    Without scene_aware a pool is one scene, number -1. Ids are one for each row of a pool.
     """
     gated = items.where((F.col("face_fd") <= given.fd_max) & (F.col("sharpness") >= given.sharp_min))
     ratio = scores.ratio_class(F.col("w"), F.col("h"))
-    scored = gated.withColumns({
+    scored = cut(gated.withColumns({
         "q": scores.quality(*[F.col(c) for c in ("face_fd", "sharpness", "exposure", "face_quality", "wmark", "border")]),
         "category": scores.category(ratio, F.col("face_frac")), "is_profile": F.abs("yaw") >= given.profile_yaw,
-    })
-    found = scenes.cluster_scenes(scored, "pool", given.scene_similarity, given.most_bits, given.scene_gap, given.scene_window)
-    placed = scored.join(found, ["pool", "id"]).withColumn("minus_q", -F.col("q"))
+    }))
+    if given.scene_aware:
+        found = scenes.cluster_scenes(scored, "pool", given.scene_similarity, given.most_bits, given.scene_gap, given.scene_window)
+        placed = cut(scored.join(found, ["pool", "id"]).withColumn("minus_q", -F.col("q")))
+    else:
+        placed = scored.withColumns({"scene": F.lit(-1), "minus_q": -F.col("q")})
     order = ["minus_q", "face_fd", "ts", "path", "id"]
-    kept = greedy.drop_near_hashes(placed, ["pool", "scene"], order, "hash", given.scene_bits).select("pool", "scene", "id")
-    whole = placed.join(kept, ["pool", "scene", "id"])
+    kept = greedy.drop_near_hashes_of_any(placed, ["pool", "scene"], order, "hash", given.scene_bits if given.scene_aware else given.most_bits)
+    whole = placed.join(kept.select("pool", "scene", "id"), ["pool", "scene", "id"])
     whole = whole.withColumns({"vec": vectors.mixed(F.col("clip"), F.col("feat"), given.ground_weight, given.face_weight), "order": F.row_number().over(Window.partitionBy("pool", "scene").orderBy(*order)), "shown": F.col("q")})
     whole = whole.withColumn("q", scores.boosted(scores.clamp(F.col("q"), 0.0, 1.0), F.col("face_frac"), given.closeup_boost, given.closeup_from))
+    whole = cut(whole)
     ranked = greedy.diverse_permutation(whole, ["pool", "scene"], given.alpha).withColumnRenamed("rank", "place")
     ready = whole.select("pool", "scene", "id", "category", "is_profile", "q", "hash", "vec").join(ranked, ["pool", "scene", "id"])
     picked = selection.select_by_quota(ready, "pool", given.quotas())
     return picked.join(scored.select("pool", "id", "path", "is_profile"), ["pool", "id"])
 
 
+@query(on="v_vec")
+def curate_flow_plain(vecs):
+    """Curation without scenes: near copies dropped over the whole pool, then one diversity order; the tests hold every column against loops."""
+    found = curated(candidates(vecs), Parameters(scene_aware=False, most_bits=16))
+    return found.select("pool", "rank", "id", "path", "scene", "category", "is_profile", *[F.round(c, 6).alias(c) for c in ("quality", "redundancy", "score")])
+
+
 @query(on="v_vec")
 def curate_flow(vecs):
     """Curation end to end; the tests hold every column against loops."""

@@ -61,7 +61,8 @@ def loops_selection(scenes, given):
                 if barred(x):
                     own.remove(x)
                     continue
-                again = 0.0 if not picked else given.no_vector if x["vec"] is None else max([0.0, *(float(x["vec"] @ p["vec"]) for p in picked if p["vec"] is not None)])
+                base = [p["vec"] for p in picked if p["vec"] is not None]
+                again = 0.0 if not base else given.no_vector if x["vec"] is None else max([0.0, *(float(x["vec"] @ v) for v in base)])
                 offers.append((given.alpha * x["q"] - (1 - given.alpha) * again - penalty(s), s, x, again))
                 break
         if not offers:
@@ -108,7 +109,7 @@ def mixed(clip, feat, a, b):
     return total / (np.linalg.norm(total) + 1e-6)
 
 
-@pytest.mark.parametrize("given", [GIVEN, Parameters(scene_similarity=0.3, most_bits=12, scene_bits=16, soft_cap=2, soft_penalty=0.15, most=90, by_category=SMALL)])
+@pytest.mark.parametrize("given", [GIVEN, Parameters(scene_similarity=0.3, most_bits=12, scene_bits=16, soft_cap=2, soft_penalty=0.15, most=90, by_category=SMALL), Parameters(scene_aware=False, most_bits=16), Parameters(scene_similarity=0.3, ground_weight=0.0, face_weight=0.0)])
 def test_curation_equals_loops(spark, given):
     frame = flow.candidates(view(spark, SF, "v_vec"))
     items = []
@@ -118,12 +119,12 @@ def test_curation_equals_loops(spark, given):
             q = 0.45 * unit(1 - max(0.0, r.face_fd) / 0.5) + 0.3 * r.sharpness + 0.2 * r.exposure + 0.05 * min(1.0, r.face_quality / 1200)
             q = unit(q * max(0.0, 1 - 0.6 * r.wmark) * max(0.0, 1 - 0.6 * min(0.4, r.border)))
             clip, feat = (None if v is None else np.array(v, float) for v in (r.clip, r.feat))
-            items.append({**r.asDict(), "q": q, "clip": clip, "vec": mixed(clip, feat, 1.0, 0.6), "category": category(ratio(r.w, r.h), r.face_frac), "is_profile": abs(r.yaw) >= 50})
-    scene = loops_scenes(items, given.scene_similarity, given.most_bits, given.scene_gap, given.scene_window)
-    members = {}
+            items.append({**r.asDict(), "q": q, "clip": clip, "vec": mixed(clip, feat, given.ground_weight, given.face_weight), "category": category(ratio(r.w, r.h), r.face_frac), "is_profile": abs(r.yaw) >= 50})
+    scene = loops_scenes(items, given.scene_similarity, given.most_bits, given.scene_gap, given.scene_window) if given.scene_aware else dict.fromkeys((x["id"] for x in items), -1)
+    members, bits = {}, given.scene_bits if given.scene_aware else given.most_bits
     for x in sorted(items, key=lambda x: (-x["q"], x["face_fd"], x["ts"], x["path"])):
         own = members.setdefault(scene[x["id"]], [])
-        if not any(near(x["hash"], y["hash"], given.scene_bits) for y in own):
+        if not any(near(x["hash"], y["hash"], bits) for y in own):
             own.append(x)
     for s, own in members.items():
         for x in own:
@@ -179,7 +180,7 @@ def test_scenes_in_blocks_equal_loops(spark, block_rows, window, pools):
 
 
 @pytest.mark.parametrize("scenes_given,depth,given", [
-    (1, 1, Parameters(most=14, by_category=(("portrait", 3, 5), ("closeup", 2, 4), ("profile", 0, 3), ("wide", 2, 9)))),
+    (1, 1, Parameters(most=8, by_category=(("portrait", 2, 4), ("closeup", 1, 4), ("profile", 0, 2), ("wide", 1, 9)))),
     (2, 2, Parameters(most=40, soft_cap=1, soft_penalty=0.2, by_category=(("wide", 4, 6), ("portrait", 0, 50), ("closeup", 9, 12), ("profile", 0, 2)))),
     (128, 16, Parameters(most=500)),
 ])
@@ -226,6 +227,47 @@ def test_near_hashes_everywhere_equal_loops(spark, most):
     assert greedy.drop_near_hashes_everywhere(frame.where("false"), ["order", "id"], "hash", most).count() == 0
 
 
+def test_near_hashes_of_a_dense_cluster(spark):
+    """3000 different hashes around one: all but the first go, without a pair for each two of them; groups by themselves."""
+    rng = np.random.default_rng(1)
+    rows = [(k % 2, k, sum(1 << int(b) for b in rng.choice(63, 3, replace=False))) for k in range(3000)]
+    frame = spark.createDataFrame(rows, "pool int, id long, hash long")
+    assert sorted(tuple(r) for r in greedy.drop_near_hashes_everywhere(frame, ["id"], "hash", 7, ["pool"]).collect()) == sorted([(0, 0, rows[0][2]), (1, 1, rows[1][2])])
+
+
+@pytest.mark.parametrize("block_rows", [40, 100_000])
+def test_near_hashes_of_large_groups_equal_loops(spark, block_rows):
+    rng = np.random.default_rng(block_rows)
+    rows = [(None if k % 3 == 0 else int(k % 3 == 1 or rng.random() < 0.1), k, int(rng.integers(0, 2**12)) << 40) for k in range(120)]
+    want = []
+    for pool in (None, 0, 1):
+        kept = []
+        for row in rows:
+            if row[0] == pool and not any(near(row[2], k[2], 2) for k in kept):
+                kept.append(row)
+        want += kept
+    frame = spark.createDataFrame(rows, "pool int, id long, hash long")
+    got = greedy.drop_near_hashes_of_any(frame, ["pool"], ["id"], "hash", 2, block_rows).select("pool", "id", "hash").collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
+
+
+@pytest.mark.parametrize("block_rows,head", [(30, 7), (90, 64), (100_000, 1)])
+def test_diverse_permutation_of_large_groups_equals_loops(spark, block_rows, head):
+    """Few values, so that many rows are worth the same."""
+    rng = np.random.default_rng(head)
+    rows = [(None if k < 20 else k % 2, k, k * 7 % 260, float(rng.integers(0, 6)) / 6, None if k % 11 == 0 else [float(x) for x in rng.integers(-2, 3, 4) / 4]) for k in range(260)]
+    frame = spark.createDataFrame(rows, "pool int, id long, `order` long, q double, vec array<double>")
+    got = {}
+    for r in greedy.diverse_permutation(frame, ["pool"], 0.75, block_rows, head).collect():
+        got.setdefault(r.pool, {})[r["rank"]] = r.id
+    for pool in (None, 0, 1):
+        left, order = [x for x in sorted(rows, key=lambda x: x[2]) if x[0] == pool], []
+        while left:
+            dots = lambda x: [sum(a * b for a, b in zip(x[4], y[4])) for y in order if x[4] and y[4]]  # noqa: B023, E731
+            order.append(left.pop(int(np.argmax([0.75 * x[3] - 0.25 * max([0.0, *dots(x)]) for x in left]))))
+        assert [got[pool][k] for k in range(len(order))] == [x[1] for x in order]
+
+
 def test_parameters():
     found = resolve({"alpha": 3.0, "most": 50}, {"PC_MMR_ALPHA": "0.1", "PC_SCENE_NN_WINDOW": "-4", "PC_FD_MAX": "x", "PC_SCENE_AWARE": "No", "PC_SCENE_SOFT_PENALTY": " ", "PC_SCENE_SOFT_BONUS": "0.2", "PC_SCENE_SIM": "-1", "PC_DEDUP_HAMM": "6.9"})
     assert (found.alpha, found.most, found.scene_window, found.fd_max, found.scene_aware, found.soft_penalty, found.scene_similarity, found.most_bits) == (1.0, 50, 0, 0.45, False, 0.2, -1.0, 6)
