@@ -47,40 +47,50 @@ def _lookup(rows: int, most: int) -> tuple[int, list[int]]:
 
 
 def drop_near_hashes_everywhere(rows: DataFrame, order: list[str], key: str, most: int, group: list[str] = []) -> DataFrame:
-    """As drop_near_hashes, but no task holds a group (by default all rows are one): group, order and key of the rows kept.
+    """As drop_near_hashes, but no task holds a group (by default all rows are one): group, order and key of the rows kept. The order must be total.
 
     Of equal hashes only the first can be kept. Hashes are looked up by segments, the
-    number of which follows the number of rows. In rounds, a row that is the first of all
-    undecided rows in the buckets it looks up is kept, and drops the later rows near it.
-    So a cluster of near copies costs a comparison for each row and kept row, not one for
-    each pair. The first undecided row is decided in every round.
+    number of which follows the number of rows. First come rounds of stars: a row that is
+    the first of all undecided rows in the buckets it looks up is kept, and drops the
+    later rows near it, so that a cluster of near copies costs a comparison for each of
+    its rows, not one for each pair. Once a round drops less than an eighth of the rows,
+    the pairs that are left are found, and rows without an undecided earlier neighbour are
+    kept and drop their later ones; there are as many rounds as the longest chain of
+    dependent rows.
     """
-    left = cut(rows.groupBy(*group, key).agg(F.min(F.struct(*order)).alias("o")))
-    parts, masks = _lookup(left.count(), most)
+    first = cut(rows.groupBy(*group, key).agg(F.min(F.struct(*order)).alias("o")).withColumn("k", F.monotonically_increasing_id()))
+    left, n = first, first.count()
+    parts, masks = _lookup(n, most)
     width = 64 // parts
     value = lambda s: F.shiftrightunsigned(F.col(key), s * width).bitwiseAND(F.lit((1 << width) - 1 if width < 64 else -1))
-    own = F.explode(F.array(*[F.struct(F.lit(s).alias("s"), value(s).alias("v")) for s in range(parts)]))
-    near = F.explode(F.transform(F.array(*[F.lit(m).cast("long") for m in masks]), lambda m: m.bitwiseXOR(F.col("v"))))
-    bucket = [*group, "s", "v"]
-    same = lambda a, b: [F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in bucket]
-    found = []
-    while not left.isEmpty():
-        held = left.select(*group, key, "o", own.alias("x")).select(*group, key, "o", "x.*")
-        first = held.groupBy(*bucket).agg(F.min("o").alias("first")).alias("m")
-        asked = held.select(*group, key, "o", "s", near.alias("v")).alias("a")
-        free = asked.join(first, same("a", "m")).groupBy(*[f"a.{c}" for c in [*group, key]]).agg(F.min("first").alias("first"), F.first("o").alias("o")).where("first = o").drop("first")
-        free = cut(free)
-        found.append(free)
-        stars = free.select(*group, key, "o", own.alias("x")).select(*group, F.col(key).alias("kept"), "x.s", "x.v").select(*group, "kept", "s", near.alias("v")).alias("a")
-        lost = stars.join(held.alias("h"), same("a", "h")).where(hamming(F.col("kept"), F.col(f"h.{key}")) <= most).select(*[f"h.{c}" for c in [*group, key]]).distinct().alias("l")
-        left = left.alias("r").join(lost, [F.col(f"r.{c}").eqNullSafe(F.col(f"l.{c}")) for c in [*group, key]], "left_anti")
-        left = cut(left)
-    if not found:
-        return left.select(*group, "o.*", key)
-    kept = found[0]
-    for f in found[1:]:
-        kept = kept.unionByName(f)
-    return kept.select(*group, "o.*", key)
+    bucket = lambda s, m: F.xxhash64(*group, F.lit(s), value(s).bitwiseXOR(F.lit(m)))  # noqa: E731  rows of other buckets that share it are sorted out
+    told = F.struct("k", "o", key, *group)
+    held = lambda df: df.select(told.alias("h"), F.explode(F.array(*[bucket(s, 0) for s in range(parts)])).alias("b"))
+    asking = lambda df: df.select(told.alias("a"), F.explode(F.array(*[bucket(s, m) for s in range(parts) for m in masks])).alias("b"))
+    follows = (F.col("a.o") < F.col("h.o")) & (hamming(F.col(f"a.{key}"), F.col(f"h.{key}")) <= most)
+    for c in group:
+        follows &= F.col(f"a.{c}").eqNullSafe(F.col(f"h.{c}"))
+    lost = []
+    while n:
+        least = held(left).groupBy("b").agg(F.min("h.o").alias("first"))
+        free = asking(left).join(least, "b").groupBy("a.k").agg(F.min("first").alias("first"), F.first("a.o").alias("o")).where("first = o").select("k")
+        kept = cut(left.join(free, "k"))
+        gone = cut(asking(kept).join(held(left), "b").where(follows).select("h.k").distinct())
+        lost.append(gone)
+        left = cut(left.join(kept.select("k").unionByName(gone), "k", "left_anti"))
+        before, n = n, left.count()
+        if before - n < before / 8:
+            break
+    pairs = cut(asking(left).join(held(left), "b").where(follows).select(F.col("a.k").alias("a"), F.col("h.k").alias("b")).distinct())
+    while not pairs.isEmpty():
+        kept = pairs.select("a").distinct().join(pairs.select(F.col("b").alias("a")), "a", "left_anti")
+        gone = cut(pairs.join(kept, "a", "left_semi").select("b").distinct())
+        lost.append(gone.select(F.col("b").alias("k")))
+        out = kept.unionByName(gone.select(F.col("b").alias("a")))
+        pairs = cut(pairs.join(out, "a", "left_anti").join(gone, "b", "left_anti"))
+    for gone in lost:
+        first = first.join(gone, "k", "left_anti")
+    return first.select(*group, "o.*", key)
 
 
 def drop_near_hashes_of_any(rows: DataFrame, group: list[str], order: list[str], key: str, most: int, block_rows: int = 20_000) -> DataFrame:
