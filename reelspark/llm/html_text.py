@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import re
 from html import unescape
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -53,7 +54,7 @@ IMPLIED = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "t
 CLOSES_P = BLOCKS - {"html", "body", "td", "th", "tr", "tbody", "thead", "tfoot", "legend", "summary"}
 
 _MARK = re.compile(r"""<(?:!--|(/?)([a-zA-Z][^\s/>]*)((?:[^'">]|"[^"]*"|'[^']*')*+)>|[/!?a-zA-Z])""")
-_ATTRIBUTE = re.compile(r"""([^\s=/"']+)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""")
+_ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 
@@ -65,48 +66,82 @@ def marks(name: str) -> set[str]:
     return set(words) & DROPPED_WORDS
 
 
+class _Open(NamedTuple):
+    """An open element."""
+
+    tag: str
+    element: int  #: The innermost block element.
+    gone: bool  #: Dropped for its tag, role or attributes.
+    mark: int  #: The innermost element that is marked by its words; 0: none.
+    linked: bool
+    titled: bool  #: Headers hold titles.
+    main: bool  #: In an article or main.
+    heading: bool
+
+
+class _Prose(NamedTuple):
+    """Characters outside links that stand directly in a marked element, or in none."""
+
+    all: int
+    main: int
+    heading: int
+
+
 class Page:
     """Elements (parent, tag, last step of the path, depth) and blocks (element, text, characters inside links) of a page.
 
-    An element marked by a word that holds more than half of the prose is the article after all: the page is read again with it.
+    An element marked by a word that holds more than half of the prose is the article after
+    all, unless prose in an article or main, or under a heading, stands outside of it.
     """
 
     def __init__(self, html: str):
-        self._spared: set[int] = set()
-        self._start(html)
-        while self._lost and 2 * max(self._lost.values()) > sum(self._lost.values()) + sum(max(0, len(t) - n) for _, t, n in self.blocks):
-            most = max(self._lost, key=self._lost.get)
-            if most in self._never:
-                break
-            self._spared.add(most)
-            self._start(html)
-
-    def _start(self, html: str) -> None:
-        self._opened, self._lost, self._never = 0, {}, set()
         self.parent, self.tag, self.step, self.depth = [-1], [""], [""], [0]
         self.blocks: list[tuple[int, str, int]] = []
-        self._text: list[str] = []
-        self._linked: list[str] = []
-        #: Tag, block element, dropped (0 if not, -1 if for its tag or role, else the number of the element whose words say so), in a link, where headers hold titles.
-        self._stack: list[tuple[str, int, int, bool, bool]] = [("", 0, 0, False, False)]
+        #: Pieces of the block that is read: mark, text, linked; and the blocks read.
+        self._pieces: list[tuple[int, str, bool]] = []
+        self._read_blocks: list[tuple[int, list[tuple[int, str, bool]]]] = []
+        #: Of the page itself and of each marked element: the marked one around it, prose, whether it is never the article.
+        self._around, self._prose, self._never = [-1], [_Prose(0, 0, 0)], [False]
+        self._stack = [_Open("", 0, False, 0, False, False, False, False)]
         self._held: dict[str, int] = {}  # open elements by tag
         self._read(html)
+        shown = self._shown()
+        for element, pieces in self._read_blocks:
+            seen = [(t, linked) for mark, t, linked in pieces if shown[mark]]
+            text = " ".join(unescape("".join(t for t, _ in seen)).split())
+            if text:
+                self.blocks.append((element, text, len(" ".join(unescape("".join(t for t, linked in seen if linked)).split()))))
+
+    def _shown(self) -> list[bool]:
+        """Whether what stands directly in each marked element is part of the page's text."""
+        n = len(self._around)
+        held, inner = [p.all for p in self._prose], [[] for _ in range(n)]
+        for m in range(n - 1, 0, -1):  # an outer one comes before an inner one
+            held[self._around[m]] += held[m]
+            inner[self._around[m]].append(m)
+        shown, outside = [True] + [False] * (n - 1), self._prose[0]
+        at = 0
+        while not (outside.main or outside.heading and outside.all > outside.heading):
+            most = max(inner[at], key=held.__getitem__, default=0)
+            if not most or 2 * held[most] <= held[0] or self._never[most]:
+                break
+            shown[most] = True
+            outside, at = _Prose(*map(sum, zip(outside, self._prose[most]))), most
+        return shown
 
     def _end_block(self) -> None:
-        text = " ".join(unescape("".join(self._text)).split())
-        if text and not self._stack[-1][2]:
-            self.blocks.append((self._stack[-1][1], text, len(" ".join(unescape("".join(self._linked)).split()))))
-        self._text, self._linked = [], []
+        if self._pieces:
+            self._read_blocks.append((self._stack[-1].element, self._pieces))
+            self._pieces = []
 
     def _add(self, text: str) -> None:
-        _, _, dropped, linked, _ = self._stack[-1]
-        if text and dropped >= 0:
-            if dropped:
-                self._lost[dropped] += 0 if linked else len(" ".join(text.split()))
-                return
-            self._text.append(text)
-            if linked:
-                self._linked.append(text)
+        top = self._stack[-1]
+        if text and not top.gone:
+            self._pieces.append((top.mark, text, top.linked))
+            n = 0 if top.linked else len(" ".join(text.split()))
+            if n:
+                prose = self._prose[top.mark]
+                self._prose[top.mark] = _Prose(prose.all + n, prose.main + n * (top.main and not top.heading), prose.heading + n * top.heading)
 
     def _open(self, tag: str, attributes: str) -> None:
         if tag in CLOSES_P:
@@ -114,24 +149,22 @@ class Page:
         if tag in IMPLIED:
             for old in IMPLIED[tag]:
                 self._close(old, {"ul", "ol", "table", "dl", "select"})
-        _, element, dropped, linked, titled = self._stack[-1]
+        top = self._stack[-1]
         known = {k.lower(): v.strip("\"'") for k, v in _ATTRIBUTE.findall(attributes)} if attributes.strip() else {}
         names = f"{known.get('class', '')} {known.get('id', '')}".split()
-        self._opened += 1
-        if dropped >= 0 and tag not in ("html", "body", "main"):
-            heading = re.fullmatch("h[1-6]", tag)  # its id is made from the title
-            told = known.get("class", "").split() if heading else names
-            inside = titled or any(n.lower() in OWN_HEADER for n in names)
+        element, gone, mark = top.element, top.gone, top.mark
+        heading = re.fullmatch("h[1-6]", tag) is not None
+        if not gone and tag not in ("html", "body", "main"):
+            told = known.get("class", "").split() if heading else names  # a heading's id is made from the title
+            inside = top.titled or any(n.lower() in OWN_HEADER for n in names)
             marked = set().union(*map(marks, told)) - ({"header"} if inside else set())
-            surely = bool(tag in DROPPED and not (tag == "header" and inside) or known.get("role", "").lower() in ROLES or known.get("aria-hidden") == "true" or re.search(r"(?:^|\s)hidden(?=[\s=/]|$)", attributes) or "display:none" in known.get("style", "").replace(" ", "").lower())
-            if surely:
-                dropped = -1
-            elif marked and not dropped and self._opened not in self._spared:
-                dropped = self._opened
-                self._lost[dropped] = 0
-                if marked & NEVER:
-                    self._never.add(dropped)
-        titled = titled or tag == "article" or any(n.lower() in HOLDS_HEADER for n in names)
+            gone = bool(tag in DROPPED and not (tag == "header" and inside) or known.get("role", "").lower() in ROLES or known.get("aria-hidden") == "true" or "hidden" in known or "display:none" in known.get("style", "").replace(" ", "").lower())
+            if marked and not gone:
+                self._around.append(mark)
+                self._prose.append(_Prose(0, 0, 0))
+                self._never.append(bool(marked & NEVER))
+                mark = len(self._around) - 1
+        titled = top.titled or tag == "article" or any(n.lower() in HOLDS_HEADER for n in names)
         if tag in BLOCKS:
             self._end_block()
             self.parent.append(element)
@@ -142,7 +175,7 @@ class Page:
         elif tag == "br":
             self._add(" ")
         if tag not in VOID:
-            self._stack.append((tag, element, dropped, linked or tag == "a", titled))
+            self._stack.append(_Open(tag, element, gone, mark, top.linked or tag == "a", titled, top.main or tag in ("article", "main"), top.heading or heading))
             self._held[tag] = self._held.get(tag, 0) + 1
 
     def _close(self, tag: str, scope: set[str]) -> None:

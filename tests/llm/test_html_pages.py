@@ -75,3 +75,33 @@ def test_votes_ties_repeats_and_clashing_names(spark):
     assert got.columns == ["page_id", "text_input", "text"]
     assert sorted((r.page_id, r.text) for r in got.collect()) == [(1, a), (1, a), (2, b), (3, a), (4, b), (5, a)]
     assert html_text.extract(frame.where("false"), ["page_id"]).count() == 0
+
+
+@pytest.mark.parametrize("word", "sidebar newsletter-signup related-posts footer site-header notice promo share search copyright login-form popup cookie-notice comments".split())
+def test_furniture_with_most_of_the_prose_is_not_the_article(word):
+    furniture = "A long text beside the article. " * 17
+    page = html_text.Page(f"<article><h1>News</h1><p>A short article of one line only.</p></article><div class={word}><p>{furniture}</p></div>")
+    assert page.text(None) == "News\n\nA short article of one line only."
+    page = html_text.Page(f"<h1>News</h1><p>A short article.</p><div class={word}><p>{furniture}</p><article>{furniture}</article></div>")
+    assert page.text(None) == "News\n\nA short article."
+
+
+def test_an_element_that_holds_all_the_prose_is_the_article():
+    long = "The article itself stands here. " * 9
+    for outside in ("", "<h1>News</h1>", "<p>Some words.</p>"):
+        found = html_text.Page(f"<body>{outside}<div class=sidebar><p>{long}</p><div class=promo>Buy now.</div></div></body>").text(None)
+        assert long.strip() in found and "Buy" not in found
+
+
+def test_hidden_is_an_attribute_not_a_word():
+    page = html_text.Page('<article><p title="the hidden valley">One.</p><section data-x="a hidden gem"><p>Two.</p></section><p hidden>Three.</p><p HIDDEN="">Four.</p><p data-hidden=1>Five.</p></article>')
+    assert page.text(None) == "One.\n\nTwo.\n\nFive."
+
+
+def test_deeply_marked_pages_take_linear_time():
+    """Of nested marked elements those that hold more than half of the prose are shown."""
+    began = time.process_time()
+    text = html_text.Page("<div class=sidebar>x " * 20_000 + "the end").text(None)
+    assert set(text.split()) == {"x"} and 10_000 < len(text.split()) < 10_020
+    assert html_text.Page("<div class=sidebar>" * 20_000 + "text").text(None) == "text"
+    assert time.process_time() - began < 20
