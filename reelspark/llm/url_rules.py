@@ -8,8 +8,8 @@ picks one rule. Only DataFrame functions are used.
 
 Cases: a null url, or one without "://", has an empty host and path and meets no
 rule. Repeated rows each get their row back. An empty table gives an empty result.
-Columns of the input are kept only as far as `keep` names them, so extra columns
-cannot clash.
+Columns of the input are kept only as far as `keep` names them; one that bears the
+name of a result column comes back with "_input" appended.
 """
 
 from __future__ import annotations
@@ -17,7 +17,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import local_rows, small_or_none, table
+from .shared import kept_names, local_rows, small_or_none, table
+
+OWN = ("host", "path", "rule", "verdict")
 
 #: Rules of the contract (fixed values).
 RULES = [
@@ -74,7 +76,7 @@ def judge(pages: DataFrame, rules: DataFrame, keep: list[str], url: str = "url",
     most_labels, most_parts = deepest["h"] or 0, deepest["p"] or 0
 
     host, path = host_and_path(F.col(url))
-    judged = pages.select(*keep, host.alias("host"), path.alias("path"))
+    judged = pages.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], host.alias("host"), path.alias("path"))
     distinct = judged.select(F.col("host").alias("u_host"), F.col("path").alias("u_path")).distinct()
     asked = (
         distinct.withColumn("suffix", F.explode(host_suffixes(F.col("u_host"), most_labels)))
@@ -95,7 +97,7 @@ def judge(pages: DataFrame, rules: DataFrame, keep: list[str], url: str = "url",
         .agg(F.max(F.struct(F.length(rule).alias("n"), (F.col("verdict") == "block").alias("blocks"), rule.alias("rule"), F.col("verdict").alias("ruled"))).alias("best"))
     )
     return judged.join(best, (F.col("host") == F.col("u_host")) & (F.col("path") == F.col("u_path")), "left").select(
-        *keep, "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.ruled", F.lit(default)).alias("verdict")
+        *[F.col(f"k{i}").alias(c) for i, c in enumerate(kept_names(keep, OWN))], "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.ruled", F.lit(default)).alias("verdict")
     )
 
 

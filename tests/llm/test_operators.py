@@ -29,6 +29,14 @@ def test_url_rules(spark):
     assert url_rules.judge(pages.where("false"), local_rows(spark, url_rules.RULES), ["page_id"]).count() == 0
 
 
+def test_url_rules_keep_repeated_rows_and_clashing_names(spark):
+    rows = [(1, "http://a.net/x", "own", "r"), (1, "http://a.net/x", "own", "r"), (2, None, None, None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, host string, k0 string")
+    got = url_rules.judge(pages, local_rows(spark, url_rules.RULES), ["page_id", "host", "k0", "url"])
+    assert got.columns == ["page_id", "host_input", "k0", "url", "host", "path", "rule", "verdict"]
+    assert sorted(map(tuple, got.collect())) == [(1, "own", "r", "http://a.net/x", "a.net", "/x", "net/", "block")] * 2 + [(2, None, None, None, "", "", None, "allow")]
+
+
 def brute_repeat(words):
     seen = {}
     for i in range(len(words) - 2):
