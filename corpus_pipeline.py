@@ -34,14 +34,15 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document of smallest doc_id of each group; of rows that share that doc_id, the least by its other columns. Rows without doc_id stay."""
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    own, given = docs.toDF(*names), dict(zip(docs.columns, names))  # names of the stage's own cannot clash
     kept = near_dedup.near_duplicates(docs).where("id = component_id").groupBy(F.col("id").alias("kept_id")).agg(F.count(F.lit(1)).alias("kept_rows"))
-    met = docs.join(kept.hint("shuffle_hash"), F.col("doc_id") == F.col("kept_id"))
-    found = met.where("kept_rows = 1").select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
-    if kept.where("kept_rows > 1").isEmpty():
-        return found
-    others = [c for c in docs.columns if c != "doc_id"]
-    least = met.where("kept_rows > 1").select("doc_id", *others).groupBy("doc_id").agg(F.min(F.struct(*others)).alias("least_row"))
-    return found.unionByName(least.select(*[F.col("doc_id") if c == "doc_id" else F.col("least_row")[c].alias(c) for c in docs.columns]))
+    met = own.join(kept.hint("shuffle_hash"), F.col(given["doc_id"]) == F.col("kept_id"))
+    found = met.where("kept_rows = 1").select(*names).unionByName(own.where(F.col(given["doc_id"]).isNull()))
+    if not kept.where("kept_rows > 1").isEmpty():
+        least = met.where("kept_rows > 1").groupBy("kept_id").agg(F.min(F.struct(*names)).alias("least_row"))
+        found = found.unionByName(least.select("least_row.*"))
+    return found.toDF(*docs.columns)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

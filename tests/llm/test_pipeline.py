@@ -54,6 +54,14 @@ def rows_of(df):
     return sorted(map(tuple, df.collect()), key=repr)
 
 
+def test_near_copies_with_clashing_names(spark):
+    text = " ".join(f"word{k}" for k in range(60))
+    rows = [(1, text, 5, 6, "x"), (2, text + " more", 5, 6, "y"), (3, "other words", 1, 2, "z"), (3, "other words", 0, 2, "z"), (None, "n", 1, 1, "n")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, kept_id long, kept_rows long, c0 string")
+    got = corpus_pipeline.near_copies(spark, frame, "")
+    assert got.columns == frame.columns and rows_of(got) == sorted([rows[0], rows[3], rows[4]], key=repr)
+
+
 def test_quality_stage(corpus, spark):
     got = corpus_pipeline.quality(spark, corpus, "")
     assert got.columns == corpus.columns
