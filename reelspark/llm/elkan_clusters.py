@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import bounded_batches, kept_names, local_rows, materialise, table
+from .shared import bounded_batches, discard, kept_names, local_rows, materialise, table
 
 OWN = ("cluster", "distance", "computed")
 #: Relative error of a step in double precision, with room to spare.
@@ -149,25 +149,17 @@ def clustered(rows: DataFrame, keep: list[str], id: str = "vec_id", vector: str
     stored = found
     for turn in range(rounds):
         new = materialise(now.mapInArrow(moved(Bounds(old, centroids), turn == 0, False), f"{kinds}v array<int>, cluster int, upper double, lower array<double>, computed long"), "bounds")
-        _delete(stored)
+        discard(stored)
         now = stored = new
         sums = now.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.array(*[F.sum(F.col("v")[i].cast("long")) for i in range(size)]).alias("sums")).collect()
         old, centroids = centroids, centroids.copy()
         for r in sums:
             centroids[r["cluster"]] = [s // r["n"] for s in r["sums"]]
     done = materialise(now.mapInArrow(moved(Bounds(old, centroids), rounds == 0, True), f"{kinds}cluster int, distance long, computed long"), "clusters")
-    _delete(stored)
+    discard(stored)
     return done.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(kept_names(keep, OWN))], *OWN), centroids.tolist()
 
 
-def _delete(df: DataFrame) -> None:
-    """Deletes the files of a table that nothing reads any more."""
-    spark = df.sparkSession
-    for name in df.inputFiles():
-        at = spark._jvm.org.apache.hadoop.fs.Path(name)
-        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, False)
-
-
 def op13_centroid_clusters(spark, sf_dir: str) -> DataFrame:
     found, centroids = clustered(table(spark, sf_dir, "embeddings"), ["vec_id"])
     digests = [{"c": i, "centroid_sha256": hashlib.sha256(",".join(map(str, c)).encode()).hexdigest()} for i, c in enumerate(centroids)] or [{"c": -1, "centroid_sha256": ""}]

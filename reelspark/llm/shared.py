@@ -25,7 +25,7 @@ def shared_folder(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
-def materialise(df: DataFrame, tag: str) -> DataFrame:
+def materialise(df: DataFrame, tag: str, codec: str | None = None) -> DataFrame:
     """Writes df as Parquet to the shared folder and reads it back: lineage ends there and any executor can read it.
 
     What was written is deleted when the application ends, since results may read it until then.
@@ -34,10 +34,18 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     path = f"{shared_folder(spark)}/{tag}-{uuid.uuid4().hex}"
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Deletes the files of a materialised table that nothing reads any more."""
+    spark = df.sparkSession
+    for name in df.inputFiles():
+        at = spark._jvm.org.apache.hadoop.fs.Path(name)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, False)
+
+
 def bounded_batches(spark: SparkSession, most: int = 4 << 20) -> None:
     """Lowers the session's bound on the bytes of an Arrow batch, as whole texts are long; a lower bound is left as it is."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"

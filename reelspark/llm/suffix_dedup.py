@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import bounded_batches, kept_names, materialise, table
+from .shared import bounded_batches, discard, kept_names, materialise, table
 
 OWN = ("spans", "kept")
 #: Positions that are hashed at a time.
@@ -228,9 +228,10 @@ def repeated_spans(docs: DataFrame, length: int = 100, most: int = 4096, merge_b
                 yield pa.RecordBatch.from_arrays([key.view(np.int64), own.view(np.int64), doc[i], mark[i], (start - at[i]).astype(np.int32), n.astype(np.int32)], ["key", "segment", "doc", "mark", "at", "n"])
 
     found = docs.select("doc", "mark", "text").mapInArrow(find, "key long, segment long, doc long, mark int, at int, n int")
-    again = materialise(found.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key"), "keys")
-    met = materialise(found.join(again, "key", "left_semi"), "segments")
-    firsts = materialise(met.groupBy("key", "segment").agg(F.min(F.struct("doc", "at", "mark", "n")).alias("first"), F.count(F.lit(1)).alias("copies")), "firsts")
+    again = materialise(found.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key"), "keys", "zstd")
+    met = materialise(found.join(again, "key", "left_semi"), "segments", "zstd")
+    discard(again)
+    firsts = materialise(met.groupBy("key", "segment").agg(F.min(F.struct("doc", "at", "mark", "n")).alias("first"), F.count(F.lit(1)).alias("copies")), "firsts", "zstd")
     copied = met.join(firsts.where("copies > 1").select("key", "segment", "first"), ["key", "segment"])
     whole = copied.where(F.struct("doc", "at", "mark") != F.struct("first.doc", "first.at", "first.mark")).select("doc", "mark", F.col("at").alias("start"), (F.col("at") + F.col("n") + length - 1).alias("finish"))
 
@@ -248,7 +249,7 @@ def repeated_spans(docs: DataFrame, length: int = 100, most: int = 4096, merge_b
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.binary()))], ["key", "doc", "mark", "at", "common", "body"])
 
     texts = docs.join(asked.hint("shuffle_hash"), ["doc", "mark"]).select("doc", "mark", "text", "asked")
-    pieces = materialise(texts.mapInArrow(cut, "key long, doc long, mark int, at int, common boolean, body binary"), "pieces")
+    pieces = materialise(texts.mapInArrow(cut, "key long, doc long, mark int, at int, common boolean, body binary"), "pieces", "zstd")
 
     def settle(keys, doc, mark, at, body):
         doc, mark, at = np.array(doc, np.int64), np.array(mark, np.int32), np.array(at, np.int64)
