@@ -1,11 +1,12 @@
 """Exact top-k search over binary codes by incremental multi-index hashing.
 
-Codes are cut into 16-bit segments; each block of rows has, for each segment, an
-index from segment values to rows. A query looks up its own segment values, then
-those one bit away, and so on, segment by segment, and verifies whatever it meets.
-After radius r in the first s + 1 segments and r - 1 in the others every code within
-m * r + s bits has been met, so the search ends once the kth verified distance is
-no more than that. Rows and queries meet in blocks, each task returns k rows for each
+Codes are cut into m segments of about as many bits as the logarithm of a block's rows,
+16 at most; each block of rows has, for each segment, an index from segment values to
+rows. A query looks up its own segment values, then those one bit away, and so on,
+segment by segment, and verifies whatever it meets. After radius r in the first s + 1
+segments and r - 1 in the others every code within m * r + s bits has been met, so the
+search ends once the kth verified distance is no more than that. All lookups of a query
+together are at most m times twice the block's rows. Rows and queries meet in blocks, each task returns k rows for each
 of its queries, and a window keeps the best k. A row is copied once for each block of
 queries and a query once for each block of rows.
 
@@ -20,16 +21,16 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 from functools import lru_cache
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import materialise, table
 
-SEGMENT = 16
+WIDEST = 16  # bits of a segment; codes are padded to a multiple of as many
 
 
 @dataclass(frozen=True)
@@ -39,12 +40,14 @@ class Spec:
     block_rows: int = 65_536
     block_queries: int = 65_536
     #: Whether a block's rows that are left are all met where a lookup would take more values than there are rows; the result is the same.
-    may_scan: bool = True
+    may_scan: bool = False
 
 
 @lru_cache
-def masks(radius: int) -> np.ndarray:
-    return np.array([sum(1 << i for i in c) for c in combinations(range(SEGMENT), radius)], np.int64)
+def masks(width: int, radius: int) -> np.ndarray:
+    """The values of `width` bits of which `radius` are set; none if there are not so many."""
+    values = np.arange(2**width)
+    return values[np.bitwise_count(values) == radius]
 
 
 def sign_codes(rows: DataFrame, key: str, vector: str) -> DataFrame:
@@ -52,20 +55,31 @@ def sign_codes(rows: DataFrame, key: str, vector: str) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            kept = [(i, v) for i, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if v and i is not None]
-            codes = [np.packbits(np.pad(np.array([x or 0 for x in v], float) > 0, (0, -len(v) % SEGMENT)).reshape(-1)).tobytes() for _, v in kept]
-            yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in kept], pa.int64()), pa.array(codes, pa.binary())], ["id", "code"])
+            ids, sizes = batch.column(0), pc.list_value_length(batch.column(1))
+            for size in pc.unique(sizes.drop_null()).to_pylist():
+                own = batch.filter(pc.and_(pc.is_valid(ids), pc.equal(sizes, size)))
+                if size and len(own):
+                    bits = pc.fill_null(own.column(1).flatten(), 0).to_numpy(zero_copy_only=False).reshape(len(own), size) > 0
+                    codes = np.packbits(np.pad(bits, ((0, 0), (0, -size % WIDEST))), axis=1)
+                    yield pa.RecordBatch.from_arrays([own.column(0).cast(pa.int64()), pa.array([c.tobytes() for c in codes], pa.binary())], ["id", "code"])
 
     return rows.select(F.col(key).alias("id"), F.col(vector).alias("v")).mapInArrow(run, "id long, code binary")
 
 
 class Index:
     def __init__(self, ids: np.ndarray, codes: np.ndarray):
-        """codes: [row, byte], two bytes for a segment."""
-        self.ids, self.codes = ids, codes
-        self.segments = codes[:, 0::2].astype(np.int64) << 8 | codes[:, 1::2]
-        self.order = [np.argsort(s, kind="stable") for s in self.segments.T]
-        self.starts = [np.searchsorted(s[o], np.arange(2**SEGMENT + 1)) for s, o in zip(self.segments.T, self.order)]
+        """codes: [row, byte]. Segments follow each other; their widths differ by one bit at most."""
+        self.ids, self.codes, self.verified = ids, codes, 0
+        bits = 8 * codes.shape[1]
+        self.cuts = np.array_split(np.arange(bits), -(-bits // min(WIDEST, max(1, len(ids).bit_length()))))
+        self.segments = self.values(codes)
+        self.order = [np.argsort(s, kind="stable") for s in self.segments]
+        self.starts = [np.searchsorted(s[o], np.arange(2 ** len(c) + 1)) for s, o, c in zip(self.segments, self.order, self.cuts)]
+
+    def values(self, codes: np.ndarray) -> list[np.ndarray]:
+        """For each segment, its value in each code."""
+        bits = np.unpackbits(codes, axis=1)
+        return [bits[:, c] @ (1 << np.arange(len(c), dtype=np.int64)) for c in self.cuts]
 
     def rows(self, segment: int, values: np.ndarray) -> np.ndarray:
         low, high = self.starts[segment][values], self.starts[segment][values + 1]
@@ -76,15 +90,16 @@ class Index:
 
     def nearest(self, own: int, code: np.ndarray, k: int, may_scan: bool) -> list[tuple[int, int]]:
         """(distance, id) of the k nearest other rows, in order."""
-        m, seen, best = self.segments.shape[1], np.zeros(len(self.ids), bool), []
-        mine = code[0::2].astype(np.int64) << 8 | code[1::2]
-        for radius in range(SEGMENT + 1):
-            whole = may_scan and m * len(masks(radius)) >= len(self.ids)  # more values than rows: meet all that is left
-            for s in range(m):
-                met = np.flatnonzero(~seen) if whole else self.rows(s, mine[s] ^ masks(radius))
-                met = np.unique(met[~seen[met]])
+        m, seen, best = len(self.cuts), np.zeros(len(self.ids), bool), []
+        mine = [int(v[0]) for v in self.values(code[None])]
+        for radius in range(1 + max(len(c) for c in self.cuts)):
+            whole = may_scan and sum(len(masks(len(c), radius)) for c in self.cuts) >= len(self.ids)  # more values than rows: meet all that is left
+            for s, cut in enumerate(self.cuts):
+                met = np.flatnonzero(~seen) if whole else self.rows(s, mine[s] ^ masks(len(cut), radius))
+                met = met[~seen[met]]  # a lookup meets a row once
                 seen[met] = True
                 met = met[self.ids[met] != own]  # before the cut below: rows of the query's own id must not take up its places
+                self.verified += len(met)
                 if len(met):
                     far = np.bitwise_count(self.codes[met] ^ code).sum(axis=1)
                     if len(met) > 4 * k:
