@@ -65,9 +65,10 @@ def border_share(box: tuple[Column, Column, Column, Column], width: float, heigh
     return F.coalesce(F.when(x.isNotNull() & y.isNotNull() & a.isNotNull() & b.isNotNull(), clamp(1 - F.greatest(corner, size) / max(1.0, width * height), 0.0, 1.0)), F.lit(0.0))
 
 
-def corner_marks(x: Column, y: Column, w: Column, h: Column, width: float, height: float) -> Column:
+def corner_marks(x: Column, y: Column, w: Column, h: Column, width: Column | float, height: Column | float) -> Column:
     """Whether a region looks like text in a corner of the picture: it touches a corner square, is 1.5 to 12 times as wide as high and not tiny."""
-    side = max(1, int(0.22 * min(width, height)))
+    width, height = F.lit(width), F.lit(height)
+    side = F.greatest(F.lit(1).cast("long"), F.floor(0.22 * F.least(width, height)))
     across, down = (x < side) | (x + w > width - side), (y < side) | (y + h > height - side)
     shape = (w / (h + 1e-6)).between(1.5, 12.0)
     return across & down & shape & (w * h >= 80)

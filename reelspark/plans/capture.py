@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions import color, crops, geometry, images, probe, scores, vectors
+from ..functions import align, color, crops, geometry, images, probe, regions, scores, vectors
 from ..operators import greedy
+from ..streaming import lock
 from .catalogue import IOU, _fixed, query
 
 CLAMP = "greatest(0e0, least({}, {}))"
@@ -211,12 +212,39 @@ def exposure_hist(vecs):
     return vecs.select("id", F.round(images.exposure(_gray(vecs)), 6).alias("exposure"))
 
 
+def _pictures(vecs):
+    code = F.transform(_gray(vecs), lambda p: F.lpad(F.hex(p.cast("int")), 2, "0"))
+    return vecs.select("id", F.unhex(F.concat_ws("", code)).alias("pixels"), F.lit(32).alias("w"), F.lit(32).alias("h"))
+
+
 @query(on="v_vec")
 def picture_measures(vecs):
     """Sharpness, perceptual hash and content box; held against loops in the tests."""
-    code = F.transform(_gray(vecs), lambda p: F.lpad(F.hex(p.cast("int")), 2, "0"))
-    made = vecs.select("id", F.unhex(F.concat_ws("", code)).alias("pixels"), F.lit(32).alias("w"), F.lit(32).alias("h"))
-    return images.measure(made, ["id"]).withColumn("sharpness", F.round("sharpness", 6))
+    return images.measure(_pictures(vecs), ["id"]).withColumn("sharpness", F.round("sharpness", 6))
+
+
+@query(on="v_vec")
+def picture_regions(vecs):
+    """Pictures, how many stable regions they have and how much of their corners looks like text; the tests hold them against flood fills."""
+    made = _pictures(vecs)
+    found = regions.stable_regions(made.withColumn("own", F.col("pixels")), ["id", "own"], least=4)
+    return found.select("id", F.col("own").alias("pixels"), F.size("regions").alias("regions"), regions.corner_score(F.col("regions"), F.col("w"), F.col("h")).alias("score"))
+
+
+@query(on="v_vec")
+def face_chips(vecs):
+    """Chips of pictures whose five points lie near the template; the first or the second of them is misplaced."""
+    points = [F.lit(v * 32 / 112) + F.pmod(F.col("id") * (k + 3), F.lit(7)) / 10 + F.when(F.col("id") % 3 == k, 9.0).otherwise(0.0) for k, v in enumerate(v for point in align.TEMPLATE for v in point)]
+    return align.aligned(_pictures(vecs).withColumn("points", F.array(*points)), ["id"], channels=1)
+
+
+@query(on="v_frame")
+def lock_frames(frames):
+    """The lock on a face along videos of two faces a frame, boxes made up from ids; the tests hold its steps and saves against loops."""
+    x, y = F.pmod("id", F.lit(3)) * 200.0, F.pmod("id", F.lit(9)) * 1.0
+    frame = F.floor(F.col("frame_idx") / 2)
+    faces = frames.select("video_id", F.timestamp_micros(frame * 40_000).alias("ts"), frame.alias("frame_idx"), "id", "fd", x.alias("x1"), y.alias("y1"), (x + 50).alias("x2"), (y + 60).alias("y2"))
+    return lock.locked_frames(faces)
 
 
 _C, _D, _E = "(id % 256 - 16)", "(id * 7 % 256 - 128)", "(id * 13 % 256 - 128)"

@@ -2,6 +2,7 @@ import json
 import sys
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from reelspark.functions import images, probe
@@ -156,3 +157,45 @@ def test_outlined(spark):
     want = np.zeros((6, 8, 3), np.uint8)
     want[1:5, [1, 5]] = want[[1, 4], 1:6] = (0, 255, 0)
     assert bytes(got[1]) == want.tobytes() and got[2] is None and bytes(got[3]) == bytes(3)
+
+
+def test_frame_filters_reach_the_reader(spark, tmp_path):
+    data = np.random.default_rng(0).integers(0, 256, (40, 12), dtype=np.uint8)
+    (tmp_path / "v.raw").write_bytes(data.tobytes())
+    held = frames.read_frames(spark, str(tmp_path / "v.raw"), 4, 2, stride=2, per_task=4)
+    n = F.col("frame_idx")
+    for rule, want in (((n >= 7) & (n < 19), range(8, 19, 2)), ((n > 8) & (n <= 12), (10, 12)), (n == 14, (14,)), (n.isin(2, 3, 30) & (n > 2), (30,)), (n.isin(2, 4) & (n == 9), ()), ((n < 6) & (n < 4), (0, 2)), (n > 1000, ()), ((n >= 30) & (F.length("pixels") == 12) & (n != 32), (30, 34, 36, 38))):
+        assert sorted((r.frame_idx, bytes(r.pixels)) for r in held.where(rule).collect()) == [(k, data[k].tobytes()) for k in want]
+    own = held.where((n >= 7) & (n < 19))
+    plan = own._jdf.queryExecution().executedPlan().toString()
+    assert "rawframes" in plan and ") Filter" not in plan and "- Filter" not in plan
+    assert own.rdd.getNumPartitions() == 3
+    reader = frames.RawFrameReader({"path": str(tmp_path / "v.raw"), "width": "4", "height": "2", "framespertask": "4"})
+    assert list(reader.pushFilters([frames.GreaterThan(("frame_idx",), 30), frames.EqualTo(("w",), 4), frames.In(("frame_idx",), (31, 39, None))])) == [frames.EqualTo(("w",), 4)]
+    assert [(r.first, r.end) for r in reader.partitions()] == [(31, 35), (39, 40)]
+
+
+def test_growing_file_is_streamed_once_over_restarts(spark, tmp_path):
+    data = np.random.default_rng(1).integers(0, 256, (25, 12), dtype=np.uint8)
+    path = tmp_path / "v.raw"
+    for end, torn in ((7, b"torn"), (7, b"torn"), (16, b""), (25, b"x")):
+        path.write_bytes(data[:end].tobytes() + torn)
+        run = frames.stream_frames(spark, str(path), 4, 2, per_task=4).writeStream.format("parquet").option("path", str(tmp_path / "out"))
+        assert run.option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start().awaitTermination(120)
+        assert sorted((r.frame_idx, bytes(r.pixels)) for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [(n, data[n].tobytes()) for n in range(end)]
+    stream = frames.RawFrameStream({"path": str(path), "width": "4", "height": "2"})
+    path.write_bytes(data[:3].tobytes())
+    with pytest.raises(ValueError, match="shorter"):
+        stream.partitions({"frames": 7}, {"frames": 9})
+
+
+def test_failing_decoder_is_an_error(spark):
+    with pytest.raises(Exception, match="ended with 3 after 1 of 4"):
+        frames.read_pipe(spark, [sys.executable, "-c", "import sys; sys.stdout.buffer.write(bytes(18)); sys.exit(3)"], 4, 3, 2).collect()
+    assert frames.read_pipe(spark, [sys.executable, "-c", "import sys; sys.stdout.buffer.write(bytes(20))"], 4, 3, 2).count() == 1
+
+
+def test_last_picture_of_a_name_stays(spark, tmp_path):
+    rows = spark.createDataFrame([("a", n, k, bytearray([n, k])) for n in (1, 3, 2) for k in (0, 1)] + [("b", 9, 0, None), (None, 9, 0, bytearray(b"x"))], "name string, frame long, person long, content binary")
+    frames.write_pictures(rows.repartition(4), str(tmp_path / "set"), ("frame", "person"))
+    assert [p.name for p in (tmp_path / "set").iterdir()] == ["a"] and (tmp_path / "set" / "a").read_bytes() == bytes([3, 1])
