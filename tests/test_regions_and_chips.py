@@ -33,10 +33,15 @@ def stable_by_sets(gray, delta, least, most, change, apart):
     for tone, own in enumerate(levels):
         for c in own:
             born.setdefault(c, tone)
-    growth = {c: (len(next(d for d in levels[min(255, t + delta)] if c <= d)) - len(c)) / len(c) for c, t in born.items()}
+    inside = [{pixel: c for c in own for pixel in c} for own in levels]
+    at = {c: next(iter(c)) for c in born}
+    growth = {c: (len(inside[min(255, t + delta)][at[c]]) - len(c)) / len(c) for c, t in born.items()}
     growth[frozenset(np.ndindex(gray.shape))] = np.inf
-    parent = {c: min((d for d in born if c < d), key=len, default=None) for c in born}
-    good = {c for c in born if growth[c] < change and least <= len(c) <= most and (parent[c] is None or growth[c] <= growth[parent[c]]) and all(growth[c] < growth[d] for d in born if parent[d] == c)}
+    parent = {c: next((inside[t][at[c]] for t in range(born[c], 256) if inside[t][at[c]] != c), None) for c in born}
+    children = {}
+    for c, d in parent.items():
+        children.setdefault(d, []).append(c)
+    good = {c for c in born if growth[c] < change and least <= len(c) <= most and (parent[c] is None or growth[c] <= growth[parent[c]]) and all(growth[c] < growth[d] for d in children.get(c, ()))}
     kept = set()
     for c in good:
         around = min((d for d in good if c < d), key=len, default=None)
