@@ -225,7 +225,7 @@ def picture_measures(vecs):
 
 @query(on="v_vec")
 def picture_regions(vecs):
-    """Pictures, how many stable regions they have and how much of their corners looks like text; the tests hold them against flood fills."""
+    """Pictures, how many stable regions they have and how much of their corners looks like text; the tests hold some against flood fills."""
     made = _pictures(vecs)
     found = regions.stable_regions(made.withColumn("own", F.col("pixels")), ["id", "own"], least=4)
     return found.select("id", F.col("own").alias("pixels"), F.size("regions").alias("regions"), regions.corner_score(F.col("regions"), F.col("w"), F.col("h")).alias("score"))
@@ -240,7 +240,7 @@ def face_chips(vecs):
 
 @query(on="v_frame")
 def lock_frames(frames):
-    """The lock on a face along videos of two faces a frame, boxes made up from ids; the tests hold its steps and saves against loops."""
+    """The lock on a face along videos of two faces a frame, boxes made up from ids. The tests hold the operator: its saves against loops, its steps by small cases."""
     x, y = F.pmod("id", F.lit(3)) * 200.0, F.pmod("id", F.lit(9)) * 1.0
     frame = F.floor(F.col("frame_idx") / 2)
     faces = frames.select("video_id", F.timestamp_micros(frame * 40_000).alias("ts"), frame.alias("frame_idx"), "id", "fd", x.alias("x1"), y.alias("y1"), (x + 50).alias("x2"), (y + 60).alias("y2"))
