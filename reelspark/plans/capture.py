@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions import align, color, crops, geometry, images, probe, regions, scores, vectors
+from ..functions import align, color, crops, geometry, images, pictures, probe, regions, scores, vectors
 from ..operators import greedy
 from ..streaming import lock
 from .catalogue import IOU, _fixed, query
@@ -223,6 +223,14 @@ def picture_measures(vecs):
     return images.measure(_pictures(vecs), ["id"]).withColumn("sharpness", F.round("sharpness", 6))
 
 
+@query(f"SELECT id, 32 AS w, 32 AS h, 3 AS channels, 8 AS bits, md5(list_aggregate(list_transform(g, lambda p: repeat(printf('%02X', CAST(p AS INTEGER)), 3)), 'string_agg', '')) AS digest FROM (SELECT id, {_GRAY} AS g FROM v_vec)", "v_vec")
+def picture_files(vecs):
+    """Pictures written as PNG of three channels and read back: what the files say of themselves, and a digest of all pixels."""
+    three = F.regexp_replace(F.hex("pixels"), "(..)", "$1$1$1")
+    files = pictures.encoded(_pictures(vecs).withColumn("pixels", F.unhex(three)), ["id"])
+    return pictures.decoded(files, ["id"]).select("id", "w", "h", "channels", "bits", F.md5(F.hex("pixels").cast("binary")).alias("digest"))
+
+
 @query(on="v_vec")
 def picture_regions(vecs):
     """Pictures, how many stable regions they have and how much of their corners looks like text; the tests hold some against flood fills."""
