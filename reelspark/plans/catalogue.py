@@ -277,12 +277,12 @@ def transfer_curves(items):
 
 
 def queries() -> dict:
-    from . import capture, detail, flow  # noqa: F401  register more queries
+    from . import capture, capture_flow, detail, flow  # noqa: F401  register more queries
 
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import capture, detail, flow  # noqa: F401
+    from . import capture, capture_flow, detail, flow  # noqa: F401
 
     return dict(ORACLE)
