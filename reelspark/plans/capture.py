@@ -6,8 +6,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import align, color, crops, geometry, images, pictures, probe, regions, scores, vectors
-from ..operators import greedy
-from ..streaming import lock
+from ..operators import bank, greedy
+from ..streaming import copies, lock
 from .catalogue import IOU, _fixed, query
 
 CLAMP = "greatest(0e0, least({}, {}))"
@@ -255,6 +255,21 @@ def lock_frames(frames):
     return lock.locked_frames(faces)
 
 
+@query(on="v_vec")
+def bank_changes(vecs):
+    """What enters the bank of each label, and in whose place, along ids half a second apart; distances made up from ids. The tests hold it against loops."""
+    i = F.col("id")
+    given = vecs.select("scene_hint", F.timestamp_micros(i * 500_000).alias("ts"), "id", ((i * 53 % 100) / 180.0).alias("fd"), F.when(i % 11 != 0, F.col("q")).alias("q"), F.when(i % 7 != 0, F.col("embedding")).alias("vec"))
+    return bank.managed(given, "scene_hint", bank.BankSpec(apart=0.4, pause=1, most=8))
+
+
+@query(on="v_vec")
+def copies_in_time(vecs):
+    """Each vector and the earlier one of its label, kept less than a minute before, that its hash is a near copy of; the tests hold it against loops."""
+    given = vecs.select("scene_hint", F.timestamp_micros(F.col("id") * 500_000).alias("ts"), "id", F.when(F.col("id") % 13 != 0, vectors.sign_hash("embedding")).alias("hash"))
+    return copies.near_copies(given, "scene_hint", 20, 60.0)
+
+
 _C, _D, _E = "(id % 256 - 16)", "(id * 7 % 256 - 128)", "(id * 13 % 256 - 128)"
 _RGB = [f"1.16438356e0 * {_C} + 1.79274107e0 * {_E}", f"1.16438356e0 * {_C} - 0.21324861e0 * {_D} - 0.53290933e0 * {_E}", f"1.16438356e0 * {_C} + 2.11240179e0 * {_D}"]
 

@@ -5,6 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from reelspark.operators import bank
+from reelspark.plans import catalogue
+from reelspark.plans.bridge import view
 from reelspark.streaming import copies
 
 RNG = np.random.default_rng(21)
@@ -169,3 +171,17 @@ def test_bank_of_a_stream_equals_the_table(spark, tmp_path):
     last = [(v, end + v, 10**6 + v, None, None, None) for v in range(2)] + [(9, end + 10**9, 10**6 + 9, None, None, None)]
     got = streamed(spark, tmp_path, df, lambda s: bank.managed_stream(s, "video", SPEC, "3 seconds"), shuffled(df, rows, last, SCHEMA, spark))
     assert changes(got.where("id < 1000000")) == bank_by_loops(rows, SPEC)
+
+
+SF = "/root/testdata/sf0.001"
+
+
+def test_queries_equal_loops(spark):
+    vecs = view(spark, SF, "v_vec").collect()
+    sign = lambda v: sum(1 << k for k in range(63) if v[k] > 0)
+    rows = [(r.scene_hint, r.id * 500_000, r.id, None if r.id % 13 == 0 else sign(r.embedding)) for r in vecs]
+    got = {r.id: r.copy_of for r in catalogue.queries()["copies_in_time"](spark, SF).collect()}
+    assert got == copies_by_loops(rows, 20, 60.0) and any(v is not None for v in got.values())
+    held = [(r.scene_hint, r.id * 500_000, r.id, (r.id * 53 % 100) / 180.0, None if r.id % 11 == 0 else r.q, None if r.id % 7 == 0 else list(r.embedding)) for r in vecs]
+    found = sorted((r.scene_hint, r.id, r.kind, r.instead_of) for r in catalogue.queries()["bank_changes"](spark, SF).collect())
+    assert found == bank_by_loops(held, bank.BankSpec(apart=0.4, pause=1, most=8)) and {k for _, _, k, _ in found} == {"add", "replace"}
