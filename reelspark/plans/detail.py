@@ -260,10 +260,8 @@ def flip_sum(vecs):
 @query("SELECT id, (frame_idx % 6 = 0) AS heavy, arg AS stage FROM (SELECT *, CASE WHEN id % 3 = 0 THEN 'upright' WHEN id % 5 = 0 THEN 'scaled' WHEN id % 7 = 0 THEN 'turned' ELSE 'none' END AS arg FROM v_frame)", "v_frame")
 def detection_stage(frames):
     """The first stage that found anything, over stages computed before, and the frames of the heavy cadence."""
-    stages = F.array(*[F.struct(F.lit(k).alias("place"), F.lit(name).alias("stage"), (F.col("id") % by == 0).cast("int").alias("found")) for k, (name, by) in enumerate((("upright", 3), ("scaled", 5), ("turned", 7)))])
-    rows = frames.select("id", "frame_idx", F.explode(stages).alias("s"))
-    first = rows.groupBy("id", "frame_idx").agg(F.min_by("s.stage", F.when(F.col("s.found") > 0, F.col("s.place"))).alias("stage"))
-    return first.select("id", (F.pmod("frame_idx", F.lit(6)) == 0).alias("heavy"), F.coalesce("stage", F.lit("none")).alias("stage"))
+    stage = F.coalesce(*[F.when(F.col("id") % by == 0, name) for name, by in (("upright", 3), ("scaled", 5), ("turned", 7))], F.lit("none"))
+    return frames.select("id", (F.pmod("frame_idx", F.lit(6)) == 0).alias("heavy"), stage.alias("stage"))
 
 
 @query(f"SELECT id, least(c, 0.2e0) AS probe, {FIXED.format("greatest(0.1e0, c * CASE WHEN id % 4 IN (1, 3) THEN 0.8e0 ELSE 0.6e0 END)")} AS turned FROM (SELECT id, (id % 90) / 100e0 AS c FROM v_frame)", "v_frame")
