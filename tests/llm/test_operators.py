@@ -142,6 +142,18 @@ def test_toxicity(spark, docs, empty):
     assert {r.score for r in toxicity.score(docs, None, ["doc_id"]).collect()} == {0.0}
 
 
+def test_toxicity_takes_one_row_of_a_repeated_id(spark):
+    rng = np.random.default_rng(1)
+    rows = [(i, " ".join([*rng.choice([f"w{k}" for k in range(300)], 20), *(["vile"] if i % 2 else [])]), i % 2) for i in range(300)]
+    again = [(i, f"vile scum {i} {k}", i % 2) for i in range(0, 40, 2) for k in range(6)] + [(2, None, 0), (2, "", 0)]
+    schema = "doc_id long, text string, toxic int"
+    labels = spark.createDataFrame(rows, schema).select("doc_id", "toxic")
+    whole = spark.createDataFrame(rows + again, schema)
+    least = whole.groupBy("doc_id").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
+    scores = lambda docs: {r.doc_id: r.score for r in toxicity.score(spark.createDataFrame(rows, schema), toxicity.fit(docs, labels), ["doc_id"]).collect()}
+    assert scores(whole) == scores(least.repartition(5))
+
+
 def brute_components(rows, size):
     sets = {}
     for i, t in rows:
