@@ -29,68 +29,138 @@ def drop_near_hashes(rows: DataFrame, group: list[str], order: list[str], key: s
     return rows.groupBy(*group).agg(kept.alias("kept")).select(*group, F.inline("kept"))
 
 
-def _lookup(rows: int, most: int) -> tuple[int, list[int]]:
-    """Into how many segments to cut 64 bits, and the masks of what a lookup in one must try.
+def _lookup(rows: int, most: int, bits: list[int]) -> tuple[list[int], list[list[int]], float]:
+    """Into which segments to cut the bits that vary, what a lookup in each must try, and what a row's lookups cost, in rows.
 
     Of m segments at least one differs in at most most // m bits. Few long segments need
     many lookups, many short ones meet many rows; the cheapest for that many rows is taken.
     """
     best = None
-    for parts in range(1, 17):
-        width, radius = 64 // parts, most // parts
-        lookups = parts * sum(math.comb(width, r) for r in range(radius + 1))
+    for parts in range(1, min(16, max(1, len(bits))) + 1):
+        width, radius = len(bits) // parts, most // parts
+        lookups = parts * sum(math.comb(width, r) for r in range(min(radius, width) + 1))
         cost = lookups * (1 + rows / 2**width)
         if best is None or cost < best[0]:
-            best = cost, parts, width, radius
-    _, parts, width, radius = best
-    return parts, [sum(1 << i for i in c) for r in range(radius + 1) for c in combinations(range(width), r)]
-
-
-def drop_near_hashes_everywhere(rows: DataFrame, order: list[str], key: str, most: int, group: list[str] = []) -> DataFrame:
-    """As drop_near_hashes, but no task holds a group (by default all rows are one): group, order and key of the rows kept. The order must be total.
-
-    Of equal hashes only the first can be kept. Hashes are looked up by segments, the
-    number of which follows the number of rows. First come rounds of stars: a row that is
-    the first of all undecided rows in the buckets it looks up is kept, and drops the
-    later rows near it, so that a cluster of near copies costs a comparison for each of
-    its rows, not one for each pair. Once a round drops less than an eighth of the rows,
-    the pairs that are left are found, and rows without an undecided earlier neighbour are
-    kept and drop their later ones; there are as many rounds as the longest chain of
-    dependent rows.
-    """
-    first = cut(rows.groupBy(*group, key).agg(F.min(F.struct(*order)).alias("o")).withColumn("k", F.monotonically_increasing_id()))
-    left, n = first, first.count()
-    parts, masks = _lookup(n, most)
-    width = 64 // parts
-    value = lambda s: F.shiftrightunsigned(F.col(key), s * width).bitwiseAND(F.lit((1 << width) - 1 if width < 64 else -1))
-    bucket = lambda s, m: F.xxhash64(*group, F.lit(s), value(s).bitwiseXOR(F.lit(m)))  # noqa: E731  rows of other buckets that share it are sorted out
-    told = F.struct("k", "o", key, *group)
-    held = lambda df: df.select(told.alias("h"), F.explode(F.array(*[bucket(s, 0) for s in range(parts)])).alias("b"))
-    asking = lambda df: df.select(told.alias("a"), F.explode(F.array(*[bucket(s, m) for s in range(parts) for m in masks])).alias("b"))
-    follows = (F.col("a.o") < F.col("h.o")) & (hamming(F.col(f"a.{key}"), F.col(f"h.{key}")) <= most)
-    for c in group:
-        follows &= F.col(f"a.{c}").eqNullSafe(F.col(f"h.{c}"))
+            best = cost, parts, width, radius, lookups
+    cost, parts, width, radius, lookups = best
+    if lookups > 1024:
+        return [], [], math.inf
+    cuts = [bits[s * width : (s + 1) * width] for s in range(parts)]
+    signed = lambda at: (n := sum(1 << i for i in at)) - (1 << 64 if n >= 1 << 63 else 0)
+    return [signed(c) for c in cuts], [[signed(x) for r in range(min(radius, width) + 1) for x in combinations(c, r)] for c in cuts], cost
+
+
+def _known(hashes: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes as unsigned numbers, and which are there."""
+    return pc.fill_null(hashes.cast(pa.int64()), 0).to_numpy().view(np.uint64), pc.is_valid(hashes).to_numpy()
+
+
+def _settled(own: pa.Table, key: str, most: int) -> pa.Table:
+    """What is kept of a group's rows in the order of k."""
+    own = own.sort_by("k")
+    hashes, known = _known(own.column(key))
+    alive = np.ones(len(own), bool)
+    for i in range(len(own)):
+        if alive[i] and known[i]:
+            alive[i + 1 :] &= (np.bitwise_count(hashes[i + 1 :] ^ hashes[i]) > most) | ~known[i + 1 :]
+    return own.filter(pa.array(alive))
+
+
+def _untouched(own: pa.Table, new: pa.Table, key: str, most: int) -> pa.Table:
+    """Rows that are near none of the new ones."""
+    if not len(own) or not len(new):
+        return own
+    hashes, known = _known(own.column(key))
+    left, given = np.arange(len(own)), _known(new.column(key))
+    for h in given[0][given[1]]:
+        left = left[(np.bitwise_count(hashes[left] ^ h) > most) | ~known[left]]
+        if not len(left):
+            break
+    return own.take(pa.array(left))
+
+
+def _kept_by_blocks(first: DataFrame, key: str, most: int, block_rows: int) -> list[DataFrame]:
+    """The k of rows kept, a round after another: the next rows of each group settle in one task, the blocks behind them drop what is near."""
+    left = cut(first.select("g", "k", key, F.expr(f"k div {block_rows}").alias("block")))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in left.schema.fields)
+    found = []
+    while True:
+        sizes = left.groupBy("g", "block").agg(F.count(F.lit(1)).alias("n"))
+        upto = F.sum("n").over(Window.partitionBy("g").orderBy("block"))
+        turn = cut(sizes.withColumn("now", (upto <= block_rows) | (upto == F.col("n"))))
+        if turn.isEmpty():
+            return found
+        after = turn.where("NOT now").select("g", "block")
+        kept = cut(left.join(turn.where("now"), ["g", "block"], "left_semi").groupBy("g").applyInArrow(lambda own: _settled(own, key, most), schema))
+        found.append(kept.select("k"))
+        told = kept.select("g", key).join(after, "g")
+        left = cut(left.join(after, ["g", "block"], "left_semi").groupBy("g", "block").cogroup(told.groupBy("g", "block")).applyInArrow(lambda own, new: _untouched(own, new, key, most), schema))
+
+
+def _lost_by_lookups(first: DataFrame, key: str, most: int, segments: list[int], masks: list[list[int]], n: int) -> list[DataFrame]:
+    """The k of rows dropped, by rounds of stars, then by the pairs that are left."""
+    left = first
+    part = lambda s: F.col(key).bitwiseAND(F.lit(segments[s]).cast("long"))
+    bucket = lambda s, m: F.xxhash64("g", F.lit(s), part(s).bitwiseXOR(m))  # noqa: E731  rows of other buckets that share it are sorted out
+    tried = lambda s: F.transform(F.array(*[F.lit(m).cast("long") for m in masks[s]]), lambda m: bucket(s, m))
+    each = range(len(segments))
+    held = lambda df, *more: df.select(F.col("k").alias("h"), *[F.col(c).alias(f"h_{c}") for c in more], F.explode(F.array(*[bucket(s, F.lit(0).cast("long")) for s in each])).alias("b"))
+    asking = lambda df, *more: df.select(F.col("k").alias("a"), *[F.col(c).alias(f"a_{c}") for c in more], F.explode(F.flatten(F.array(*[tried(s) for s in each]))).alias("b"))
+    follows = (F.col("a") < F.col("h")) & (hamming(F.col(f"a_{key}"), F.col(f"h_{key}")) <= most) & F.col("a_g").eqNullSafe(F.col("h_g"))
+    met = lambda those, all_: asking(those, key, "g").join(held(all_, key, "g"), "b").where(follows)
     lost = []
     while n:
-        least = held(left).groupBy("b").agg(F.min("h.o").alias("first"))
-        free = asking(left).join(least, "b").groupBy("a.k").agg(F.min("first").alias("first"), F.first("a.o").alias("o")).where("first = o").select("k")
+        least = held(left).groupBy("b").agg(F.min("h").alias("first"))
+        free = asking(left).join(least, "b").groupBy("a").agg(F.min("first").alias("first")).where("first = a").select(F.col("a").alias("k"))
         kept = cut(left.join(free, "k"))
-        gone = cut(asking(kept).join(held(left), "b").where(follows).select("h.k").distinct())
+        gone = cut(met(kept, left).select(F.col("h").alias("k")).distinct())
         lost.append(gone)
         left = cut(left.join(kept.select("k").unionByName(gone), "k", "left_anti"))
         before, n = n, left.count()
         if before - n < before / 8:
             break
-    pairs = cut(asking(left).join(held(left), "b").where(follows).select(F.col("a.k").alias("a"), F.col("h.k").alias("b")).distinct())
+    pairs = cut(met(left, left).select("a", F.col("h").alias("b")).distinct())
     while not pairs.isEmpty():
         kept = pairs.select("a").distinct().join(pairs.select(F.col("b").alias("a")), "a", "left_anti")
         gone = cut(pairs.join(kept, "a", "left_semi").select("b").distinct())
         lost.append(gone.select(F.col("b").alias("k")))
         out = kept.unionByName(gone.select(F.col("b").alias("a")))
         pairs = cut(pairs.join(out, "a", "left_anti").join(gone, "b", "left_anti"))
-    for gone in lost:
-        first = first.join(gone, "k", "left_anti")
-    return first.select(*group, "o.*", key)
+    return lost
+
+
+def drop_near_hashes_everywhere(rows: DataFrame, order: list[str], key: str, most: int, group: list[str] = [], block_rows: int = 20_000, by_lookups: bool | None = None) -> DataFrame:
+    """As drop_near_hashes, but no task holds a group (by default all rows are one): group, order and key of the rows kept. The order must be total.
+
+    Of equal hashes only the first can be kept. Rows are numbered in their order, so that
+    all that is shuffled afterwards is a number, a hash and a group. Where that is cheaper
+    (or by_lookups says so), hashes are looked up by segments of the bits that vary, the
+    number of which follows the number of rows. First come rounds of stars: a row that is
+    the first of all undecided rows in the buckets it looks up is kept, and drops the
+    later rows near it, so that a cluster of near copies costs a comparison for each of
+    its rows, not one for each pair. Once a round drops less than an eighth of the rows,
+    the pairs that are left are found, and rows without an undecided earlier neighbour are
+    kept and drop their later ones; there are as many rounds as the longest chain of
+    dependent rows. Else, as with thresholds so wide that a lookup meets about as many rows
+    as there are, rows meet the kept ones block by block: each row is compared once with
+    each row kept before it.
+    """
+    g = F.struct(*group).alias("g") if group else F.lit(0).alias("g")
+    least = cut(rows.groupBy(*group, key).agg(F.min(F.struct(*order)).alias("o")).select(g, "o", key))
+    first = cut(least.sort("g", "o").withColumn("k", F.monotonically_increasing_id()))
+    seen = first.agg(F.count(F.lit(1)).alias("n"), F.bit_or(key).alias("any"), F.bit_and(key).alias("all")).first()
+    bits = [i for i in range(64) if ((seen["any"] or 0) ^ (seen["all"] or 0)) >> i & 1]
+    segments, masks, cost = _lookup(seen["n"], most, bits)
+    # A lookup goes through a shuffle; a comparison inside a block is some hundred times cheaper.
+    if segments and (200 * cost < seen["n"] if by_lookups is None else by_lookups):
+        for gone in _lost_by_lookups(first.select("k", "g", key), key, most, segments, masks, seen["n"]):
+            first = first.join(gone, "k", "left_anti")
+    else:
+        kept = first.select("k").limit(0)
+        for more in _kept_by_blocks(first, key, most, block_rows):
+            kept = kept.unionByName(more)
+        first = first.join(kept, "k", "left_semi")
+    return first.select(*[f"g.{c}" for c in group], "o.*", key)
 
 
 def drop_near_hashes_of_any(rows: DataFrame, group: list[str], order: list[str], key: str, most: int, block_rows: int = 20_000) -> DataFrame:
@@ -101,7 +171,7 @@ def drop_near_hashes_of_any(rows: DataFrame, group: list[str], order: list[str],
     on = [F.col(f"r.{c}").eqNullSafe(F.col(f"g.{c}")) for c in group]
     part = lambda how: rows.alias("r").join(large.alias("g"), on, how).select("r.*")
     names = [*group, *order, key]
-    return drop_near_hashes(part("left_anti"), group, order, key, most).select(*names).unionByName(drop_near_hashes_everywhere(part("left_semi"), order, key, most, group).select(*names))
+    return drop_near_hashes(part("left_anti"), group, order, key, most).select(*names).unionByName(drop_near_hashes_everywhere(part("left_semi"), order, key, most, group, block_rows).select(*names))
 
 
 class _Diverse:
@@ -136,7 +206,7 @@ class _Diverse:
         self.worth[i] = -np.inf
 
 
-def diverse_permutation(rows: DataFrame, group: list[str], alpha: float, block_rows: int = 20_000, head: int = 2048) -> DataFrame:
+def diverse_permutation(rows: DataFrame, group: list[str], alpha: float, block_rows: int = 20_000, head: int = 2048, first: int | None = None) -> DataFrame:
     """Maximal marginal relevance over the whole of each group: group, id and rank (from 0). Columns: id, order, q, vec (or null).
 
     Ties go to the smaller order, which no two rows of a group share. A task holds a group
@@ -144,6 +214,8 @@ def diverse_permutation(rows: DataFrame, group: list[str], alpha: float, block_r
     that size, and one task picks from the `head` rows that are worth most, as long as the
     best of them is worth more than the best row beyond; the parts then take note of what
     was picked. What a row is worth never rises, so nothing beyond could have come first.
+    With `first`, a group of more than block_rows rows is left once so many have a rank;
+    its other rows, all of which come later, are not returned.
     """
     kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in [*group, "id"])
     slim = rows.select(*group, "id", "order", F.col("q").cast("double").alias("q"), F.col("vec").cast("array<double>").alias("vec"))
@@ -197,11 +269,15 @@ def diverse_permutation(rows: DataFrame, group: list[str], alpha: float, block_r
     worth = alpha * F.col("q") - (1 - alpha) * F.col("again")
     done, found = large.select(F.struct(*group).alias("g"), F.lit(0).alias("done")), []
     while not left.isEmpty():
-        best = Window.partitionBy("g").orderBy(F.desc("worth"), "order")
-        heads = left.withColumn("worth", worth).withColumn("n", F.row_number().over(best)).where(F.col("n") <= head + 1).join(done, "g")
+        best = lambda *keys: Window.partitionBy(*keys).orderBy(F.desc("worth"), "order")
+        heads = left.withColumn("worth", worth).withColumn("n", F.row_number().over(best("g", "part"))).where(F.col("n") <= head + 1)  # of each part, so that no task sees a group
+        heads = heads.withColumn("n", F.row_number().over(best("g"))).where(F.col("n") <= head + 1).join(done, "g")
         picks = cut(heads.groupBy("g").applyInArrow(choose, f"{key}, parts int, id {id_kind}, `order` {order_kind}, vec array<double>, rank int"))
         found.append(picks)
         done = cut(picks.groupBy("g").agg((F.max("rank") + 1).alias("done")))
+        if first is not None:
+            done = done.where(F.col("done") < first)
+            left = left.join(done, "g", "left_semi")
         told = picks.select("g", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "order", "vec")
         schema = f"{key}, part int, parts int, id {id_kind}, `order` {order_kind}, q double, vec array<double>, again double"
         left = cut(left.groupBy("g", "part").cogroup(told.groupBy("g", "part")).applyInArrow(note, schema))

@@ -24,13 +24,36 @@ def candidates(vecs: DataFrame) -> DataFrame:
     )
 
 
-def curated(items: DataFrame, given: Parameters = Parameters()) -> DataFrame:
+def _independent(whole: DataFrame, ranked: DataFrame, picked: DataFrame, most_bits: int, block_rows: int) -> bool:
+    """Whether the picks are those of the whole order, of which ranked may hold only the beginning of large scenes.
+
+    They are if, for each list (scene, category, profile flag) of rows without a rank, a row with one that could stand in for
+    all of it was still to be had at the end, and so at each pick: it is of the scene and category, no profile unless they are,
+    and no near copy of a pick. It comes before them, so none of them was ever the first row that its scene could offer.
+    """
+    key, slim = ["pool", "scene"], ["pool", "scene", "id", "category", "is_profile", "hash"]
+    large = whole.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > block_rows).select(*key)
+    rows = whole.select(*slim[:4], F.coalesce("is_profile", F.lit(False)).alias("is_profile"), "hash").join(large, key, "left_semi")
+    behind = cut(rows.join(ranked, [*key, "id"], "left_anti").groupBy(*key, "category", "is_profile").agg(F.count(F.lit(1)).alias("n")))
+    if behind.isEmpty():
+        return True
+    near = F.broadcast(picked.select("pool", "id").join(whole.select("pool", "id", "hash"), ["pool", "id"]).select(F.col("pool").alias("p_pool"), F.col("hash").alias("p_hash")))
+    there = rows.join(ranked, [*key, "id"], "left_semi")
+    left = there.join(near, F.col("pool").eqNullSafe(F.col("p_pool")) & (vectors.hamming(F.col("hash"), F.col("p_hash")) <= most_bits), "left_anti")  # a pick is near itself
+    left = cut(left.groupBy(*key, "category").agg(F.bool_and("is_profile").alias("only_profiles"))).toDF("l_pool", "l_scene", "l_category", "only_profiles")
+    same = F.col("pool").eqNullSafe(F.col("l_pool")) & (F.col("scene") == F.col("l_scene")) & F.col("category").eqNullSafe(F.col("l_category"))
+    return behind.join(left, same & (F.col("is_profile") | ~F.col("only_profiles")), "left_anti").isEmpty()
+
+
+def curated(items: DataFrame, given: Parameters = Parameters(), block_rows: int = 20_000, first: int = 1024) -> DataFrame:
     """The pick log of each pool: rank, id, path, scene, category, quality, redundancy, score and is_profile.
 
     Steps: gate by identity and sharpness, sequential scenes, near copies dropped inside
     scenes (of all rows of a pool if not scene_aware), diversity order inside scenes, then
     quotas. Each step deals a pool or a scene that is too large for a task to many.
     Without scene_aware a pool is one scene, number -1. Ids are one for each row of a pool.
+    Of scenes of more than block_rows rows the diversity order is made as far as the
+    quotas read it: its first rows, four times as many until no pick depends on the rest.
     """
     gated = items.where((F.col("face_fd") <= given.fd_max) & (F.col("sharpness") >= given.sharp_min))
     ratio = scores.ratio_class(F.col("w"), F.col("h"))
@@ -44,14 +67,19 @@ def curated(items: DataFrame, given: Parameters = Parameters()) -> DataFrame:
     else:
         placed = scored.withColumns({"scene": F.lit(-1), "minus_q": -F.col("q")})
     order = ["minus_q", "face_fd", "ts", "path", "id"]
-    kept = greedy.drop_near_hashes_of_any(placed, ["pool", "scene"], order, "hash", given.scene_bits if given.scene_aware else given.most_bits)
+    kept = greedy.drop_near_hashes_of_any(placed, ["pool", "scene"], order, "hash", given.scene_bits if given.scene_aware else given.most_bits, block_rows)
     whole = placed.join(kept.select("pool", "scene", "id"), ["pool", "scene", "id"])
     whole = whole.withColumns({"vec": vectors.mixed(F.col("clip"), F.col("feat"), given.ground_weight, given.face_weight), "order": F.row_number().over(Window.partitionBy("pool", "scene").orderBy(*order)), "shown": F.col("q")})
     whole = whole.withColumn("q", scores.boosted(scores.clamp(F.col("q"), 0.0, 1.0), F.col("face_frac"), given.closeup_boost, given.closeup_from))
     whole = cut(whole)
-    ranked = greedy.diverse_permutation(whole, ["pool", "scene"], given.alpha).withColumnRenamed("rank", "place")
-    ready = whole.select("pool", "scene", "id", "category", "is_profile", "q", "hash", "vec").join(ranked, ["pool", "scene", "id"])
-    picked = selection.select_by_quota(ready, "pool", given.quotas())
+    first = max(first, given.most)
+    while True:
+        ranked = cut(greedy.diverse_permutation(whole, ["pool", "scene"], given.alpha, block_rows, first=first))
+        ready = whole.select("pool", "scene", "id", "category", "is_profile", "q", "hash", "vec").join(ranked.withColumnRenamed("rank", "place"), ["pool", "scene", "id"])
+        picked = cut(selection.select_by_quota(ready, "pool", given.quotas(), block_rows))
+        if _independent(whole, ranked, picked, given.most_bits, block_rows):
+            break
+        first *= 4
     return picked.join(scored.select("pool", "id", "path", "is_profile"), ["pool", "id"])
 
 

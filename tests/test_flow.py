@@ -235,6 +235,36 @@ def test_near_hashes_of_a_dense_cluster(spark):
     assert sorted(tuple(r) for r in greedy.drop_near_hashes_everywhere(frame, ["id"], "hash", 7, ["pool"]).collect()) == sorted([(0, 0, rows[0][2]), (1, 1, rows[1][2])])
 
 
+@pytest.mark.parametrize("most,by_lookups", [(3, True), (3, False), (16, None)])
+def test_near_hashes_by_lookups_and_by_blocks_equal_loops(spark, most, by_lookups):
+    """Hashes of 16 scattered bits, negative ones among them, in groups and blocks of 30 rows; a wide threshold must not make a lookup of each row thousandfold."""
+    rng = np.random.default_rng(most)
+    spread = sum(1 << (4 * i + 3) for i in range(16))
+    wide = spread if most == 3 else 2**64 - 1
+    rows = [(None if k % 4 == 0 else k % 2, k, int(rng.integers(0, 2**64, dtype=np.uint64)) & wide) for k in range(260)]
+    rows = [(p, k, h - 2**64 if h >= 2**63 else h) for p, k, h in rows]
+    want = []
+    for pool in (None, 0, 1):
+        kept = []
+        for row in rows:
+            if row[0] == pool and not any(near(row[2], k[2], most) for k in kept):
+                kept.append(row)
+        want += kept
+    frame = spark.createDataFrame(rows, "pool int, id long, hash long")
+    got = greedy.drop_near_hashes_everywhere(frame, ["id"], "hash", most, ["pool"], 30, by_lookups).select("pool", "id", "hash").collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
+    assert greedy._lookup(50_000, 16, list(range(63)))[2] * 200 > 50_000  # so blocks are taken
+
+
+@pytest.mark.parametrize("most", [25, 60])
+def test_curation_of_large_scenes_reads_the_order_as_far_as_it_must(spark, most):
+    """Of 60 picks some depend on all of the order; the picks are those of the whole one."""
+    items = flow.candidates(view(spark, "/root/testdata/sf0.01", "v_vec").where("id < 260"))
+    given = Parameters(scene_aware=False, most_bits=16, most=most)
+    rows = lambda df: sorted(repr(tuple(r)) for r in df.select("pool", "rank", "id", "scene", "category", "quality", "redundancy", "score").collect())
+    assert rows(flow.curated(items, given, block_rows=50, first=1)) == rows(flow.curated(items, given))
+
+
 @pytest.mark.parametrize("block_rows", [40, 100_000])
 def test_near_hashes_of_large_groups_equal_loops(spark, block_rows):
     rng = np.random.default_rng(block_rows)
