@@ -126,3 +126,16 @@ def test_queries_of_pictures(spark):
         assert r.regions == len(want) and r.score == min(1.0, marks / 25)
     chips = catalogue.queries()["face_chips"](spark, sf_dir).collect()
     assert len(chips) == len(found) and {len(r.pixels) for r in chips} == {112 * 112}
+
+
+@pytest.mark.parametrize("at_once", [1, 700, 1 << 18])
+def test_pictures_looked_at_together_equal_each_alone(spark, at_once):
+    """Sizes differ, one picture is missing; their trees grow side by side without a pixel of one joining another's."""
+    rng = np.random.default_rng(5)
+    pictures = [rng.integers(0, 6, size).astype(np.uint8) * 40 for size in ((9, 14), (1, 1), (1, 12), (13, 1), (20, 20), (6, 7))]
+    alone = [regions.regions(p, least=2) for p in pictures]
+    assert regions.regions_of_all(pictures, least=2) == alone and regions.regions_of_all([], least=2) == []
+    rows = [(i, p.tobytes(), p.shape[1], p.shape[0]) for i, p in enumerate(pictures)]
+    frame = spark.createDataFrame([*rows, (6, None, 3, 3)], "id long, pixels binary, w int, h int").coalesce(1)
+    got = {r.id: r.regions and [tuple(x) for x in r.regions] for r in regions.stable_regions(frame, ["id"], pixels_at_once=at_once, least=2).collect()}
+    assert got == {**{i: [tuple(x.values()) for x in found] for i, found in enumerate(alone)}, 6: None}
