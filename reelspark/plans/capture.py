@@ -114,9 +114,13 @@ def face_in_person(boxes):
 
 @query(f"SELECT id, arg AS partner FROM (SELECT a.id, b.id AS arg, row_number() OVER (PARTITION BY a.id ORDER BY {IOU} DESC, b.id) AS n FROM v_person a JOIN v_person b ON a.frame = b.frame AND a.id <> b.id) WHERE n = 1", "v_person")
 def iou_match(boxes):
+    """Each box's partner in its frame. Pairs are only counted by plain numbers, so that none is sorted or held: first the best overlap, then the least id of it."""
     a, b = (boxes.select("frame", F.col("id").alias(f"id_{k}"), F.struct("x1", "y1", "x2", "y2").alias(k)) for k in "ab")
-    best = a.join(b, "frame").where("id_a <> id_b").groupBy("id_a").agg(F.min_by("id_b", F.struct(-geometry.iou(F.col("a"), F.col("b")), F.col("id_b"))).alias("partner"))
-    return best.withColumnRenamed("id_a", "id")
+    overlap = geometry.iou(F.col("a"), F.col("b"))
+    best = a.join(b, "frame").where("id_a <> id_b").groupBy("frame", "id_a").agg(F.max(overlap).alias("most"))  # both by frame: one exchange
+    those = a.join(best.select(F.col("frame").alias("f"), F.col("id_a").alias("i"), "most"), (F.col("frame") == F.col("f")) & (F.col("id_a") == F.col("i"))).select("frame", "id_a", "a", "most")
+    least = those.join(b, "frame").where((F.col("id_a") != F.col("id_b")) & (overlap == F.col("most"))).groupBy("frame", "id_a").agg(F.min("id_b").alias("partner"))
+    return least.select(F.col("id_a").alias("id"), "partner")
 
 
 @query("SELECT frame, id, row_number() OVER (PARTITION BY frame ORDER BY conf DESC, (x2 - x1) * (y2 - y1) DESC, id) AS place FROM v_person WHERE conf >= 0.05e0 AND x2 - x1 >= 8 AND y2 - y1 >= 8 AND (x2 - x1) * (y2 - y1) >= 1024", "v_person")
