@@ -29,6 +29,10 @@ def drop_near_hashes(rows: DataFrame, group: list[str], order: list[str], key: s
     return rows.groupBy(*group).agg(kept.alias("kept")).select(*group, F.inline("kept"))
 
 
+#: A lookup, which is shuffled and held in memory, counts as so many rows met in a bucket: a rough estimate, not tuned.
+LOOKUP = 16
+
+
 def _lookup(rows: int, most: int, bits: list[int]) -> tuple[list[int], list[list[int]], float]:
     """Into which segments to cut the bits that vary, what a lookup in each must try, and what a row's lookups cost, in rows.
 
@@ -39,10 +43,11 @@ def _lookup(rows: int, most: int, bits: list[int]) -> tuple[list[int], list[list
     for parts in range(1, min(16, max(1, len(bits))) + 1):
         width, radius = len(bits) // parts, most // parts
         lookups = parts * sum(math.comb(width, r) for r in range(min(radius, width) + 1))
-        cost = lookups * (1 + rows / 2**width)
-        if best is None or cost < best[0]:
-            best = cost, parts, width, radius, lookups
-    cost, parts, width, radius, lookups = best
+        weight = lookups * (LOOKUP + rows / 2**width)
+        if best is None or weight < best[0]:
+            best = weight, parts, width, radius, lookups
+    _, parts, width, radius, lookups = best
+    cost = lookups * (1 + rows / 2**width)
     if lookups > 1024:
         return [], [], math.inf
     cuts = [bits[s * width : (s + 1) * width] for s in range(parts)]
@@ -153,13 +158,13 @@ def drop_near_hashes_everywhere(rows: DataFrame, order: list[str], key: str, mos
     segments, masks, cost = _lookup(seen["n"], most, bits)
     # A lookup goes through a shuffle; a comparison inside a block is some hundred times cheaper.
     if segments and (200 * cost < seen["n"] if by_lookups is None else by_lookups):
-        for gone in _lost_by_lookups(first.select("k", "g", key), key, most, segments, masks, seen["n"]):
-            first = first.join(gone, "k", "left_anti")
+        how, rounds = "left_anti", _lost_by_lookups(first.select("k", "g", key), key, most, segments, masks, seen["n"])
     else:
-        kept = first.select("k").limit(0)
-        for more in _kept_by_blocks(first, key, most, block_rows):
-            kept = kept.unionByName(more)
-        first = first.join(kept, "k", "left_semi")
+        how, rounds = "left_semi", _kept_by_blocks(first, key, most, block_rows)
+    found = first.select("k").limit(0)
+    for more in rounds:
+        found = found.unionByName(more)
+    first = first.join(found, "k", how)  # once: a join for each round would hold buffers for each round in every task
     return first.select(*[f"g.{c}" for c in group], "o.*", key)
 
 

@@ -256,6 +256,47 @@ def test_near_hashes_by_lookups_and_by_blocks_equal_loops(spark, most, by_lookup
     assert greedy._lookup(50_000, 16, list(range(63)))[2] * 200 > 50_000  # so blocks are taken
 
 
+def test_near_hashes_of_sixteen_bits_are_not_looked_up(spark):
+    """Hashes of dedup_global: a row looked up by segments moves as hundreds of rows, and tasks hold them."""
+    rng = np.random.default_rng(5)
+    rows = [(k, sum(int(b) << (4 * i) for i, b in enumerate(rng.integers(0, 2, 16)))) for k in range(3000)]
+    kept = []
+    for row in rows:
+        if not any(near(row[1], k[1], 3) for k in kept):
+            kept.append(row)
+    sc = spark.sparkContext
+
+    def moved() -> dict[int, int]:
+        sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+        return {(s := stages.apply(i)).stageId(): s.shuffleWriteRecords() for i in range(stages.size())}
+
+    frame = spark.createDataFrame(rows, "id long, hash long")
+    before = moved()
+    assert sorted(map(tuple, greedy.drop_near_hashes_everywhere(frame, ["id"], "hash", 3).collect())) == kept
+    assert sum(n for stage, n in moved().items() if stage not in before) < 10 * len(rows)
+
+
+def test_lookups_of_a_row_do_not_grow_with_the_rows():
+    """Six times the rows of 1 GB: 64 lookups a row as before, not 696, all of which are shuffled and held in memory."""
+    tried = lambda n: sum(map(len, greedy._lookup(n, 7, list(range(63)))[1]))
+    assert tried(600_000) == tried(100_000) == 64
+
+
+def test_rounds_of_a_long_chain_are_joined_at_once(spark):
+    """Each of 39 rows is near the one before and after it: every second one stays, after ten rounds and by one join."""
+    rows = [(k, (1 << 3 * k) - 1) for k in range(20)]
+    rows += [(20 + k, (1 << 60) - (1 << 3 * k)) for k in range(1, 20)]
+    kept = []
+    for row in rows:
+        if not any(near(row[1], k[1], 5) for k in kept):
+            kept.append(row)
+    found = greedy.drop_near_hashes_everywhere(spark.createDataFrame(rows, "id long, hash long"), ["id"], "hash", 5, by_lookups=True)
+    assert sorted(map(tuple, found.collect())) == kept
+    assert 15 < len(kept) < 25
+    assert found._jdf.queryExecution().analyzed().toString().count("Join LeftAnti") == 1
+
+
 @pytest.mark.parametrize("most", [25, 60])
 def test_curation_of_large_scenes_reads_the_order_as_far_as_it_must(spark, most):
     """Of 60 picks some depend on all of the order; the picks are those of the whole one."""
